@@ -27,11 +27,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def fold_of(doc_id: str | Column, parts: int) -> Column:
-    """crc32 of the id written as text, modulo parts (a null id: as an empty text)."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % parts
-
-
 def fold(parts: int, name: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod parts; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")) % parts

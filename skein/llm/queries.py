@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, media
+from skein.llm import bpe, licenses, media, rules
 from skein.llm.common import table
 
 
@@ -16,12 +16,22 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media_columns, op9_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_media_columns, op6_license_scan, op9_bpe_round_trip, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
