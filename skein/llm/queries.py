@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, licenses, media, rules
+from skein.llm import bpe, licenses, media, rules, simhash
 from skein.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -31,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media_columns, op6_license_scan, op9_bpe_round_trip, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_media_columns, op4_simhash_components, op6_license_scan, op9_bpe_round_trip, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
