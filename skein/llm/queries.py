@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, licenses, media, repeats, rules, simhash
+from skein.llm import bpe, licenses, media, quality, repeats, rules, simhash, suffix_tree, toxicity
 from skein.llm.common import table
 
 
@@ -23,15 +23,27 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
@@ -43,7 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media_columns, op2_repeated_passages, op4_simhash_components, op6_license_scan, op9_bpe_round_trip, op10_quality_rules)}
+    return {
+        f.__name__: f
+        for f in (op1_media_columns, op2_repeated_passages, op3_quality_classifier, op4_simhash_components, op5_suffix_tree_scores, op6_license_scan, op7_toxicity, op9_bpe_round_trip, op10_quality_rules)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
