@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import as_bytes, fold, texts
+from skein.llm.common import add_from_text, as_bytes, fold, texts
 from skein.llm.labelled import SAMPLE, training_sample
 
 FOLDS, HELD_OUT = 4, 2
@@ -31,8 +31,8 @@ RANK = 48
 NEIGHBOURS = 25
 SHARPNESS = 6
 ACCEPT = 0.7
-#: Documents whose products are computed at once.
-BLOCK = 256
+#: A pipeline drops what scores under this: less than ACCEPT, so that doubt keeps a document.
+KEEP = 0.5
 #: Weight of shapes against words.
 SHAPE_WEIGHT = 2.0
 
@@ -122,21 +122,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbours:
     return Neighbours(counted, rows["label"].to_pylist())
 
 
-def score(docs: DataFrame, model: Neighbours) -> DataFrame:
-    """doc_id and score of every whole text."""
+def score(docs: DataFrame, model: Neighbours, name: str = "score") -> DataFrame:
+    """The rows of ``docs`` with the score of their whole texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         shapes: dict[bytes, int] = {}
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                yield pa.record_batch([part.column(0), pa.array(sent.value.score([terms(t, shapes) for t in as_bytes(part.column(1))]), pa.float64())], names=["doc_id", "score"])
+        return lambda texts: sent.value.score([terms(t, shapes) for t in texts])
+
+    return add_from_text(docs, name, "double", pa.float64(), make)
+
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose score is not under ``least``, with their columns."""
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, fit(docs, labels, sample), name).filter(F.col(name) >= least).drop(name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    scored = score(docs, fit(docs, labels, sample))
+    scored = score(texts(docs), fit(docs, labels, sample))
     return scored.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

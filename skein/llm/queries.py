@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, licenses, media, quality, repeats, rules, simhash, suffix_tree, toxicity
+from skein.llm import bpe, licenses, media, packing, quality, repeats, rules, simhash, suffix_tree, toxicity
 from skein.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placed(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
@@ -57,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_media_columns, op2_repeated_passages, op3_quality_classifier, op4_simhash_components, op5_suffix_tree_scores, op6_license_scan, op7_toxicity, op9_bpe_round_trip, op10_quality_rules)
+        for f in (op1_media_columns, op2_repeated_passages, op3_quality_classifier, op4_simhash_components, op5_suffix_tree_scores, op6_license_scan, op7_toxicity, op8_lexical_packing, op9_bpe_round_trip, op10_quality_rules)
     }
 
 

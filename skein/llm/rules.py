@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import BLANK, row_key
+from skein.llm.common import BLANK, cut_lineage, row_key
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -152,6 +152,18 @@ def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float =
     distance = lambda lang: F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, parts(lang)) / 2))
     rows = rows.withColumn("class_distance", F.when(size > 0, F.least(*[distance(lang) for lang in COMMON])))
     rows = rows.select("key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance")
-    rows = rows.join(word_distances(source), "key", "left").drop("key")
+    rows = rows.join(word_distances(source), "key", "left")
     far = (F.col("word_chars") >= GUARD_CHARS) & (F.col("class_distance") > class_limit) | (F.col("n_words") >= GUARD_WORDS) & (F.col("word_distance") > word_limit)
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns."""
+    columns = [f"d{k}" for k in range(len(docs.columns))]
+    inner = docs.toDF(*columns)
+    named = {c: columns[docs.columns.index(c)] for c in ("doc_id", "text", "lang")}
+    plain = inner.select(*[F.col(own).alias(c) for c, own in named.items()])
+    # Keys and verdicts are set aside first: a filter on the verdict would copy the rules' nested expressions into itself.
+    kept = cut_lineage(judge(plain).select("key", "kept")).filter("kept").select("key").distinct()
+    keyed = inner.withColumns({"doc_id": F.col(named["doc_id"]), "text": F.coalesce(F.col(named["text"]), F.lit(""))}).withColumn("key", row_key())
+    return keyed.join(kept, "key", "left_semi").select(*columns).toDF(*docs.columns)

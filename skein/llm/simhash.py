@@ -8,7 +8,8 @@ in size; a crowded count vector has several.  A task reduces the links that it f
 forest, so a group of near copies never yields all its pairs, and components are joined over those forests.
 
 Defined cases: a null or text without words has fingerprint zero and links like any other; equal fingerprints link
-(whatever the texts); a text of one to three words is one shingle; rows that share an id are one node; null ids form a node of their own; other columns are ignored; an empty table gives an empty result.
+(whatever the texts); a text of one to three words is one shingle; rows that share an id are
+fingerprinted each; a null id is larger than any other; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import as_bytes, cut_lineage, texts
+from skein.llm.common import as_bytes, cut_lineage, row_key, texts
 
 RADIUS = 4
 #: Fingerprints of a tile at most.
@@ -56,14 +57,14 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, key and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t) for t in as_bytes(b.column(2))], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(prints, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _directions(radius: int) -> list[tuple[int, ...]]:
@@ -163,14 +164,29 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links within the radius) of every row."""
+    """doc_id, key, fp, root (the smallest fingerprint of the component) and component_id (the smallest doc_id
+    reachable by links within the radius) of every row."""
     prints = cut_lineage(fingerprints(docs))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(prints, radius))
     classes = first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of near duplicates, the one with the smallest doc_id, with its columns."""
+    columns = [f"d{k}" for k in range(len(docs.columns))]
+    inner = docs.toDF(*columns)
+    named = {c: columns[docs.columns.index(c)] for c in ("doc_id", "text")}
+    found = near_duplicates(inner.select(*[F.col(own).alias(c) for c, own in named.items()]), radius)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select("first.key")
+    keyed = inner.withColumns({"doc_id": F.col(named["doc_id"]).cast("long"), "text": F.coalesce(F.col(named["text"]), F.lit(""))}).withColumn("key", row_key())
+    same = keyed.join(kept, "key", "left_semi")
+    # Rows that share id and text share a key: of those, one stays.
+    once = same.groupBy("key").agg(*[F.first(c).alias(c) for c in columns])
+    return once.select(*columns).toDF(*docs.columns)
 
 
 def hexadecimal(fp: str = "fp"):
