@@ -1,17 +1,21 @@
-"""Names of all queries of the library proper, with their DuckDB equivalents."""
+"""All queries of the library proper, with their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import aggregate_queries, filter_queries  # noqa: F401  they register themselves
+from skein.plans.registry import ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Revenue by nation: three joins and an aggregate."""
+    return QUERIES["jon01_inner_top"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
