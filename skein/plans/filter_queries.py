@@ -36,9 +36,9 @@ def text(spark, d):
 
 
 @query("flt10_tolerance", """
-SELECT p_partkey, abs(p_retailprice-1200.0)<=50.0 AS eq, abs(p_retailprice-1200.0)>50.0 AS ne, p_retailprice>1250.0 AS gt, p_retailprice>=1150.0 AS gte, p_retailprice<1150.0 AS lt, p_retailprice<=1250.0 AS lte FROM part""")
+SELECT p_partkey, abs(p_retailprice-950.0)<=10.0 AS eq, abs(p_retailprice-950.0)>10.0 AS ne, p_retailprice>960.0 AS gt, p_retailprice>=940.0 AS gte, p_retailprice<940.0 AS lt, p_retailprice<=960.0 AS lte FROM part""")
 def tolerance(spark, d):
-    return table(spark, d, "part").select("p_partkey", *[P.near(F.col("p_retailprice"), 1200.0, op, 50.0).alias(op) for op in ("eq", "ne", "gt", "gte", "lt", "lte")])
+    return table(spark, d, "part").select("p_partkey", *[P.near(F.col("p_retailprice"), 950.0, op, 10.0).alias(op) for op in ("eq", "ne", "gt", "gte", "lt", "lte")])
 
 
 @query("flt11_arrays", """
