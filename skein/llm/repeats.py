@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import as_bytes, chunks, row_key
+from skein.llm.common import as_bytes, chunks, cut_lineage
 
 LENGTH = 400
 #: String starts among whose rolling hashes a trigger is the least: a string holds so many hash windows.
@@ -176,16 +176,16 @@ def _sorted_groups(length: int):
 
 
 def _phrase_bytes(length: int):
-    """(trigger, key, start, part, crowded): the bytes of the phrases that are listed beside a text."""
+    """(trigger, key, start, part): the bytes of the phrases that are listed beside a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["trigger", "key", "start", "part", "crowded"]
+        names = ["trigger", "key", "start", "part"]
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                rows = [(p["trigger"], key, p["start"], text[p["start"] : p["start"] + p["n"] + length - 1], p["crowded"]) for key, text, ps in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True) for p in ps]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds, strict=True)], names=names)
+                rows = [(p["trigger"], key, p["start"], text[p["start"] : p["start"] + p["n"] + length - 1]) for key, text, ps in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True) for p in ps]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds, strict=True)], names=names)
 
     return run
 
@@ -212,29 +212,34 @@ def repeated(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd
     """(key, runs): for each row of (key, text) with repeats, the byte ranges that repeated strings cover."""
     phrases = parse(keyed, length, spread)
     triggers = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("met"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).filter("met > 1")
-    again = phrases.join(triggers.select("trigger", (F.col("low") != F.col("high")).alias("mixed")), "trigger")
+    # What is left is a fraction of the parse and is used several times, so it is written down once.
+    again = cut_lineage(phrases.join(triggers.select("trigger", (F.col("low") != F.col("high")).alias("mixed")), "trigger"))
     whole = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
 
     # Triggers with different phrases: those that stand once need the suffix order, the others are witnesses.
     mixed = again.filter("mixed")
-    dictionary = mixed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("key", "start", "n")).alias("one"))
+    dictionary = cut_lineage(mixed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("key", "start", "n")).alias("one")))
     sizes = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("different"), F.min("met").alias("least")).filter("least = 1")
-    open_phrases = dictionary.join(sizes, "trigger").select("trigger", "one.*", (F.col("different") > crowd).alias("crowded"))
-    by_text = open_phrases.groupBy("key").agg(F.collect_list(F.struct("trigger", "start", "n", "crowded")).alias("phrases"))
-    parts = keyed.join(by_text, "key").select("key", "text", "phrases").mapInArrow(_phrase_bytes(length), "trigger long, key long, start int, part binary, crowded boolean")
-    ordered = parts.filter("not crowded").repartition("trigger").sortWithinPartitions("trigger").select("trigger", "key", "start", "part").mapInArrow(_sorted_groups(length), "key long, s int, e int")
-    hashed = parts.filter("crowded").select("key", "start", "part").mapInArrow(_hashed_suffixes(length), "hash long, key long, s int")
-    twice = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("hash")
-    counted = hashed.join(twice, "hash").select("key", "s", (F.col("s") + length).alias("e"))
-
-    plain = again.filter("not mixed").select("key", whole.alias("r")).select("key", "r.*")
-    settled = mixed.join(dictionary.filter("met > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("key", whole.alias("r")).select("key", "r.*")
-    every = plain.unionByName(settled).unionByName(ordered).unionByName(counted)
-    return every.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    open_phrases = cut_lineage(dictionary.join(sizes, "trigger").select("trigger", "one.*", (F.col("different") > crowd).alias("crowded")))
 
+    def parts(crowded: bool) -> DataFrame:
+        by_text = open_phrases.filter(F.col("crowded") == crowded).groupBy("key").agg(F.collect_list(F.struct("trigger", "start", "n")).alias("phrases"))
+        return keyed.join(by_text, "key").select("key", "text", "phrases").mapInArrow(_phrase_bytes(length), "trigger long, key long, start int, part binary")
 
-def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd: int = CROWD) -> DataFrame:
-    """All columns of ``docs``, and ``kept`` (binary) and ``spans`` (the maximal removed byte ranges)."""
+    every = again.filter("not mixed").select("key", whole.alias("r")).select("key", "r.*")
+    settled = mixed.join(dictionary.filter("met > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("key", whole.alias("r")).select("key", "r.*")
+    ordered = parts(False).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorted_groups(length), "key long, s int, e int")
+    every = every.unionByName(settled).unionByName(ordered)
+    if not open_phrases.filter("crowded").isEmpty():
+        hashed = parts(True).select("key", "start", "part").mapInArrow(_hashed_suffixes(length), "hash long, key long, s int")
+        twice = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("hash")
+        every = every.unionByName(hashed.join(twice, "hash").select("key", "s", (F.col("s") + length).alias("e")))
+    return cut_lineage(every.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("runs")))
+
+
+def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd: int = CROWD, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, and ``kept`` (binary, or text of its whole characters) and ``spans`` (the maximal
+    removed byte ranges)."""
     columns = [f"d{k}" for k in range(len(docs.columns))]
     keyed = docs.toDF(*columns).withColumn("text", F.coalesce(F.col(columns[docs.columns.index("text")]), F.lit("")))
     keyed = keyed.withColumn("key", F.xxhash64(F.coalesce(F.col(columns[docs.columns.index("doc_id")]).cast("long"), F.lit(-(2**62))), F.col("text")))
@@ -256,13 +261,22 @@ def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd: i
                     edges = [0, *(x for m in merged for x in m), len(text)]
                     kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
                     spans.append([{"start": s, "end": e} for s, e in merged])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(kept, pa.binary()), pa.array(spans, kind)], names=[*columns, "kept", "spans"])
+                kept = pa.array([whole_characters(k) for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], kept, pa.array(spans, kind)], names=[*columns, "kept", "spans"])
 
     kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in columns)
-    out = joined.mapInArrow(run, f"{kinds}, kept binary, spans array<struct<start: bigint, end: bigint>>")
+    out = joined.mapInArrow(run, f"{kinds}, kept {'string' if as_text else 'binary'}, spans array<struct<start: bigint, end: bigint>>")
     return out.toDF(*docs.columns, "kept", "spans")
 
 
 def whole_characters(kept: bytes) -> str:
     """Text of the remaining bytes, without characters that were cut in two."""
     return kept.decode("utf-8", "ignore")
+
+
+def rewrite(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows and columns of ``docs`` with their texts less the repeats; n_chars, where there is one, follows."""
+    out = remove(docs, length, as_text=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.withColumns(changed).select(*docs.columns)
