@@ -22,23 +22,31 @@ def sessions(events: DataFrame, user: str, ts: str, minutes: int = 60) -> DataFr
     t = events.select(user, micros(F.col(ts)).alias("_t"))
     cut = t.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > limit).cast("int"), F.lit(1)))
     runs = cut.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy(user, "_run").applyInPandas(_fold_run(user, limit), f"{user} long, start long, last long, n long")
+    ordered = runs.select(F.col(user).cast("long").alias(user), "_run", "_t").repartition(user, "_run").sortWithinPartitions(user, "_run", "_t")
+    folded = ordered.mapInPandas(_fold(user, limit), f"{user} long, start long, last long, n long")
     return folded.withColumn("session", F.row_number().over(Window.partitionBy(user).orderBy("start")))
 
 
-def _fold_run(user: str, limit: int):
+def _fold(user: str, limit: int):
+    """Folds rows that come ordered by user, stretch and time; between batches one open session is kept."""
     import pandas as pd
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t in sorted(pdf["_t"]):
-            if out and t - out[-1][1] <= limit:
-                out[-1][2], out[-1][3] = t, out[-1][3] + 1
-            else:
-                out.append([pdf[user].iloc[0], t, t, 1])
-        return pd.DataFrame(out, columns=[user, "start", "last", "n"])
+    def run(batches):
+        held = None
+        for pdf in batches:
+            out = []
+            for u, r, t in zip(pdf[user].tolist(), pdf["_run"].tolist(), pdf["_t"].tolist()):
+                if held is not None and held[:2] == [u, r] and t - held[2] <= limit:
+                    held[3], held[4] = t, held[4] + 1
+                    continue
+                if held is not None:
+                    out.append((held[0], *held[2:]))
+                held = [u, r, t, t, 1]
+            yield pd.DataFrame(out, columns=[user, "start", "last", "n"])
+        if held is not None:
+            yield pd.DataFrame([(held[0], *held[2:])], columns=[user, "start", "last", "n"])
 
-    return fold
+    return run
 
 
 def rate_limit(hits: DataFrame, subject: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
@@ -90,8 +98,8 @@ def anomaly(value: Column, mean: Column, std: Column) -> Column:
     return F.when((std > 0) & (far > 3 * std), "critical").when((std > 0) & (far > 2 * std), "high").when(value < 0, "high").when(value > 1000, "medium")
 
 
-def usage_cost(queries: Column, gigabytes: Column, calls: Column, base: Column) -> Column:
-    return F.round(base + 0.001 * queries + 0.1 * gigabytes + 0.01 * calls, 2)
+def usage_cost(queries: Column, gigabytes: Column, calls: Column, base: Column, digits: int = 2) -> Column:
+    return F.round(base + 0.001 * queries + 0.1 * gigabytes + 0.01 * calls, digits)
 
 
 def health(cpu: Column, memory: Column, errors: Column) -> Column:
