@@ -28,7 +28,10 @@ FOLDS, HELD_OUT = 3, 1
 SAMPLE = 12_000
 BUCKETS = 1 << 18
 FACTORS = 6
+#: Passes over the sample, and gradient steps at least, of so many documents each.
 EPOCHS = 15
+STEPS = 1500
+BATCH = 256
 #: Weight of toxic documents against others: as a part of what balances them.
 BALANCE = 1.0
 RATE = 0.08
@@ -97,10 +100,10 @@ class FactorizationMachine:
         places, values = (np.split(x, np.cumsum(sizes)[:-1]) for x in (place, value))
         weight = np.where(y == 1, max(1.0, BALANCE * (1 - p) / p), 1.0)
         order = np.arange(n)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
             rng.shuffle(order)
-            for at in range(0, n, 512):
-                some = order[at : at + 512]
+            for at in range(0, n, BATCH):
+                some = order[at : at + BATCH]
                 place, value = (np.concatenate([x[i] for i in some]) for x in (places, values))
                 row = np.repeat(np.arange(len(some)), sizes[some])
                 margin, s, vx = self._margin(len(some), row, place, value)
