@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, licenses, media, packing, quality, repeats, rules, simhash, suffix_tree, toxicity
+from skein.llm import bpe, licenses, media, oracles, packing, quality, repeats, rules, simhash, suffix_tree, toxicity
 from skein.llm.common import table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
