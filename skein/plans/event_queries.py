@@ -158,9 +158,9 @@ def windows(spark, d):
     return t.select(F.col("w.start").alias("start"), "event_type", "n", "users")
 
 
-@query("str05_error_rate", "SELECT event_id, round(avg(CAST(event_type='error' AS INT)) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW),6) AS rate FROM events WHERE user_id = 8")
+@query("str05_error_rate", "SELECT event_id, round(avg(CAST(event_type='error' AS INT)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW),6) AS rate FROM events")
 def error_rate(spark, d):
-    t = table(spark, d, "events").filter("user_id = 8").withColumn("t", E.micros(F.col("ts")))
+    t = table(spark, d, "events").withColumn("t", E.micros(F.col("ts")))
     w = Window.partitionBy("user_id").orderBy("t").rangeBetween(-300 * _SECONDS, 0)
     return t.select("event_id", F.round(F.avg((F.col("event_type") == "error").cast("int")).over(w), 6).alias("rate"))
 
@@ -281,13 +281,13 @@ def optimised(spark, d):
 
 
 @query("snk01_05_upsert", """
-SELECT 'added' AS what, count(*) AS n FROM customer WHERE c_custkey >= 1000 UNION ALL SELECT 'updated', count(*) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 1000 UNION ALL SELECT 'deleted', count(*) FROM customer WHERE c_custkey < 1000 AND c_custkey % 7 = 0""")
+SELECT 'added' AS what, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'updated', count(*) FROM customer WHERE c_acctbal < 0 AND c_mktsegment <> 'BUILDING' UNION ALL SELECT 'deleted', count(*) FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 9000""")
 def upsert(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    store, batch_ = c.filter("c_custkey < 1000"), c.filter("c_custkey >= 1000 or c_custkey % 3 = 0")
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    store, batch_ = c.filter("c_mktsegment <> 'BUILDING'"), c.filter("c_mktsegment = 'BUILDING' or c_acctbal < 0")
     n = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
     added, updated = batch_.join(store, "c_custkey", "left_anti"), batch_.join(store, "c_custkey", "left_semi")
-    deleted = store.join(store.filter("c_custkey % 7 = 0").select("c_custkey"), "c_custkey", "left_semi")
+    deleted = store.join(store.filter("c_acctbal > 9000").select("c_custkey"), "c_custkey", "left_semi")
     return n(added, "added").union(n(updated, "updated")).union(n(deleted, "deleted"))
 
 

@@ -80,10 +80,10 @@ def keywords(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.keywords(F.col("text")), " ").alias("keywords"))
 
 
-@query("hyb10_score_fusion", "WITH s AS (SELECT vec_id%100 q, vec_id id, (vec_id%10)/10.0 c FROM embeddings WHERE vec_id%2=0), k AS (SELECT vec_id%100 q, vec_id id, (vec_id%5)/5.0 h FROM embeddings WHERE vec_id%3=0) SELECT coalesce(s.q,k.q) AS q, coalesce(s.id,k.id) AS id, round(0.7*coalesce(c,0)+(1-0.7)*coalesce(h,0),6) AS score FROM s FULL JOIN k ON s.q=k.q AND s.id=k.id")
+@query("hyb10_score_fusion", "WITH s AS (SELECT vec_id%100 q, vec_id id, (vec_id%10)/10.0 c FROM embeddings WHERE label < 6), k AS (SELECT vec_id%100 q, vec_id id, (vec_id%5)/5.0 h FROM embeddings WHERE label > 3) SELECT coalesce(s.q,k.q) AS q, coalesce(s.id,k.id) AS id, round(0.7*coalesce(c,0)+(1-0.7)*coalesce(h,0),6) AS score FROM s FULL JOIN k ON s.q=k.q AND s.id=k.id")
 def score_fusion(spark, d):
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 100).alias("q"), F.col("vec_id").alias("id"))
-    s, k = e.filter("id % 2 = 0").withColumn("cosine", (F.col("id") % 10) / 10.0), e.filter("id % 3 = 0").withColumn("hits", (F.col("id") % 5) / 5.0)
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 100).alias("q"), F.col("vec_id").alias("id"), "label")
+    s, k = e.filter("label < 6").drop("label").withColumn("cosine", (F.col("id") % 10) / 10.0), e.filter("label > 3").drop("label").withColumn("hits", (F.col("id") % 5) / 5.0)
     return R.fuse_scores(s, k, 0.7, ["q", "id"]).select("q", "id", F.round("score", 6).alias("score"))
 
 
@@ -137,9 +137,9 @@ def titles(spark, d):
     return table(spark, d, "documents").select("doc_id", C.document_title(F.col("text")).alias("title"), F.size(C.section_titles(F.col("text"))).alias("sections"))
 
 
-@query("chk03_boundary", "WITH h AS (SELECT doc_id, substr(text,1,400) c FROM documents), e AS (SELECT doc_id, c, regexp_extract(c,'(?s)^(.*[.!?。！？؟؛،])(?:\\s|$)',1) h FROM h) SELECT doc_id, length(CASE WHEN length(h) > 0.7*length(c) THEN h ELSE c END) AS n FROM e")
+@query("chk03_boundary", "WITH h AS (SELECT doc_id, text c FROM documents), e AS (SELECT doc_id, c, regexp_extract(c,'(?s)^(.*[.!?。！？؟؛،])(?:\\s|$)',1) h FROM h) SELECT doc_id, length(CASE WHEN length(h) > 0.7*length(c) THEN h ELSE c END) AS n FROM e")
 def boundary(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(C.boundary_trim(F.substring("text", 1, 400))).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.length(C.boundary_trim(F.col("text"))).alias("n"))
 
 
 @query("fun15_threat", "SELECT doc_id, round(CASE WHEN length(text)>1000 THEN 0.3 ELSE 0 END+CASE WHEN contains(lower(text),'idiot') THEN 0.5 ELSE 0 END+CASE WHEN regexp_matches(text,'[0-9]{6,}') THEN 0.4 ELSE 0 END,4) AS score FROM documents")

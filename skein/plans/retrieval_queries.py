@@ -97,13 +97,13 @@ def keyword(spark, d):
     return R.keyword_search(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", 10)
 
 
-@query("hyb07_09_rank_fusion", f"""{_KW}, a AS (SELECT qid, id, 1-(rank-1)/count(*) OVER (PARTITION BY qid) v FROM kw WHERE rank <= 20), s AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY n DESC, id DESC) rank FROM n WHERE id % 2 = 0),
+@query("hyb07_09_rank_fusion", f"""{_KW}, a AS (SELECT qid, id, 1-(rank-1)/count(*) OVER (PARTITION BY qid) v FROM kw WHERE rank <= 20), s AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY n DESC, id DESC) rank FROM n),
  b AS (SELECT qid, id, 1-(rank-1)/count(*) OVER (PARTITION BY qid) v FROM s WHERE rank <= 20), f AS (SELECT coalesce(a.qid,b.qid) qid, coalesce(a.id,b.id) id, coalesce(b.v,0) sem, coalesce(a.v,0) kw FROM a FULL JOIN b ON a.qid=b.qid AND a.id=b.id)
 SELECT qid AS query_id, id, round(sem,4) AS semantic, round(kw,4) AS keyword, round(0.7*sem+0.3*kw,6) AS score FROM f WHERE 0.7*sem+0.3*kw >= 0.3""")
 def fusion(spark, d):
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
     kw = R.keyword_search(docs, asked, "doc_id", "item_id", "text", 20)
-    all_ = R.keyword_search(docs.filter("doc_id % 2 = 0"), asked, "doc_id", "item_id", "text", 1 << 30)
+    all_ = R.keyword_search(docs, asked, "doc_id", "item_id", "text", 1 << 30)
     sem = all_.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("id")))).filter("rank <= 20")
     f = R.fuse(sem, kw, 0.7, ["query_id", "id"]).filter("score >= 0.3")
     return f.select("query_id", "id", F.round("semantic", 4).alias("semantic"), F.round("keyword", 4).alias("keyword"), F.round("score", 6).alias("score"))
@@ -114,17 +114,14 @@ def alpha(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.round(S.adaptive_alpha(F.size(X.words(F.col("text")))), 4).alias("alpha"))
 
 
-_SETS = f"""WITH q AS (SELECT item_id, list_distinct({_WORDS.format('lower(text)')}) a FROM benchmark), t AS (SELECT doc_id, list_distinct({_WORDS.format('lower(text)')}) b FROM documents WHERE n_chars < 3000 AND doc_id % 20 = 0),
- p AS (SELECT item_id, doc_id, len(list_intersect(a,b)) i, len(a) n, len(list_distinct(list_concat(a,b))) u FROM q, t)"""
-
-
-@query("rrk02_hyb12_13_rerank", f"{_SETS} SELECT item_id, doc_id, round(i/u,6) AS jaccard, round(0.8*0.5+0.2*i/n,6) AS simple, round(0.7*0.5+0.3*i/n,6) AS retriever FROM p WHERE i/u >= 0.02")
+@query("rrk02_hyb12_13_rerank", f"""{_KW}, c AS (SELECT qid, kw.id, list_distinct({_WORDS.format('lower(q.text)')}) a, list_distinct({_WORDS.format('lower(t.text)')}) b FROM kw JOIN benchmark q ON qid=item_id JOIN documents t ON kw.id=doc_id WHERE rank <= 20),
+ p AS (SELECT qid, id, len(list_intersect(a,b)) i, len(a) n, len(list_distinct(list_concat(a,b))) u FROM c) SELECT qid AS item_id, id AS doc_id, round(i/u,6) AS jaccard, round(0.8*0.5+0.2*i/n,6) AS simple, round(0.7*0.5+0.3*i/n,6) AS retriever FROM p WHERE i/u >= 0.1""")
 def rerank(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    t = table(spark, d, "documents").filter("n_chars < 3000 and doc_id % 20 = 0").select("doc_id", F.col("text").alias("t"))
-    # The benchmark is a fixed query set, compared with the candidates in full.
-    p = t.join(F.broadcast(q)).select("item_id", "doc_id", X.jaccard(F.col("q"), F.col("t")).alias("j"), X.overlap(F.col("q"), F.col("t")).alias("o"))
-    return p.filter("j >= 0.02").select("item_id", "doc_id", F.round("j", 6).alias("jaccard"), F.round(0.4 + 0.2 * F.col("o"), 6).alias("simple"), F.round(0.35 + 0.3 * F.col("o"), 6).alias("retriever"))
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
+    found = R.keyword_search(docs, asked, "doc_id", "item_id", "text", 20)
+    p = found.join(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id").join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")), "id")
+    p = p.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), X.jaccard(F.col("q"), F.col("t")).alias("j"), X.overlap(F.col("q"), F.col("t")).alias("o"))
+    return p.filter("j >= 0.1").select("item_id", "doc_id", F.round("j", 6).alias("jaccard"), F.round(0.4 + 0.2 * F.col("o"), 6).alias("simple"), F.round(0.35 + 0.3 * F.col("o"), 6).alias("retriever"))
 
 
 @query("hyb16_dedup_prefix", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substr(text,1,100) ORDER BY doc_id) r FROM documents) WHERE r = 1")
@@ -219,4 +216,4 @@ def answers(spark, d):
 
 @query("exp01_08_expansion")
 def expansion(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.posexplode(R.expand(F.substring("text", 1, 60))).alias("position", "variant"))
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(R.expand(F.col("text"))).alias("position", "variant"))
