@@ -25,7 +25,7 @@ from skein.llm.common import texts
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fragments that a task remembers; at twice as many it forgets the older half.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def vocabulary_path() -> str:

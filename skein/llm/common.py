@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task holds in numpy form at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,23 +76,29 @@ def chunks(rows: Iterable[tuple], size: int = CHUNK_BYTES, at: int = 1) -> Itera
         yield held
 
 
-def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.record_batch([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: workers live on, and the next stage needs room as well."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def add_from_text(docs: DataFrame, name: str, kind: str, arrow: pa.DataType, make) -> DataFrame:
     """All rows and columns of ``docs`` with one more, in whole batches: ``make()`` is called once in each task and
     returns a function from a list of texts in UTF-8 to a list or array of values."""
     columns = [f"d{k}" for k in range(len(docs.columns))]
-    inner = docs.toDF(*columns)
-    sent = inner.withColumn("text", F.coalesce(F.col(columns[docs.columns.index("text")]), F.lit("")))
+    inner, place = docs.toDF(*columns), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = make()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(value(as_bytes(part.column(len(columns)))), arrow)], names=[*columns, "value"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value([t or b"" for t in as_bytes(part.column(place))]), arrow)], names=[*columns, "value"])
+        give_back()
 
     kinds = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in columns)
-    return sent.mapInArrow(run, f"{kinds}, value {kind}").toDF(*docs.columns, name)
+    return inner.mapInArrow(run, f"{kinds}, value {kind}").toDF(*docs.columns, name)

@@ -15,7 +15,7 @@ def quality_rules() -> str:
     """Operator 10, from word positions, unpivoted histograms and one row for each text, language and bin."""
     langs = ", ".join(f"({_text(lang)})" for lang in rules.COMMON)
     listed = ", ".join(_text(w) for w in sorted({w for ws in rules.COMMON.values() for w in ws.split()}))
-    classes = " UNION ALL ".join(f"SELECT doc_id, lang, {_text(name)} AS bin, length(regexp_replace(t, {_text(rest)}, '', 'g')) AS n FROM d" for name, rest in rules.CLASSES.items())
+    classes = " UNION ALL ".join(f"SELECT doc_id, lang, {_text(name)} AS bin, length(regexp_replace(t, {_text(f'[^{chars}]+')}, '', 'g')) AS n FROM d" for name, chars in rules.CLASSES.items())
     divergence = "CASE WHEN p > 0 THEN p * log2(p / ((p + r) / 2)) ELSE 0 END + CASE WHEN r > 0 THEN r * log2(r / ((p + r) / 2)) ELSE 0 END"
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bpe import coder, vocabulary_path
-from skein.llm.common import cut_lineage, texts
+from skein.llm.common import cut_lineage, give_back, texts
 
 WINDOW = 2048
 END = 1
 #: Bounds of a shard.
-SHARD_DOCS = 4096
-SHARD_TOKENS = 6_000_000
+SHARD_DOCS = 2048
+SHARD_TOKENS = 3_000_000
 #: The seed's terms that are looked up, and the neighbours that come back.
 QUERY_TERMS = 16
 NEIGHBOURS = 24
@@ -46,9 +46,10 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         kind = _id_type(path)
         end = np.array([END], kind).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 yield pa.record_batch([part.column(0), pa.array([np.frombuffer(bpe.encode(t), "<u4").astype(kind).tobytes() + end for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+        give_back()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -188,6 +189,8 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             if rows:
                 yield _pieces(rows)
             first += used
+            del index
+        give_back()
 
     return tokens.mapInArrow(run, PIECES)
 

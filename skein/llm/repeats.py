@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import as_bytes, chunks, cut_lineage
+from skein.llm.common import as_bytes, chunks, cut_lineage, give_back
 
 LENGTH = 400
 #: String starts among whose rolling hashes a trigger is the least: a string holds so many hash windows.
 SPREAD = 200
 #: A text longer than this is parsed in overlapping pieces; the strings at a seam fall into two phrases of one trigger.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of phrases that are sorted at once.
-SORT_BYTES = 1 << 19
+SORT_BYTES = 1 << 18
 CROWD = 2000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -114,6 +114,7 @@ def parse_pieces(pieces: list[tuple[int, bytes, int]], length: int, spread: int)
 def parse(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """(trigger, phrase, key, start, n): the parse of all texts; a phrase has n strings, from start on."""
     names = ["trigger", "phrase", "key", "start", "n"]
+    spread = min(spread, length // 2)
 
     def pieces(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -126,6 +127,7 @@ def parse(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataF
             found = parse_pieces(group, length, spread)
             if found is not None:
                 yield pa.record_batch([*(pa.array(c, pa.int64()) for c in found[:3]), *(pa.array(c, pa.int64()).cast(pa.int32()) for c in found[3:])], names=names)
+        give_back()
 
     return keyed.select("key", "text").filter(F.octet_length("text") >= length).mapInArrow(run, "trigger long, phrase long, key long, start int, n int")
 
@@ -171,6 +173,7 @@ def _sorted_groups(length: int):
         for rows in groups(batches):
             runs = list(zip(*repeated_runs(rows, length))) or [[]] * 3
             yield pa.record_batch([pa.array(runs[0], pa.int64()), pa.array(runs[1], pa.int32()), pa.array(runs[2], pa.int32())], names=["key", "s", "e"])
+        give_back()
 
     return run
 
@@ -212,8 +215,10 @@ def repeated(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd
     """(key, runs): for each row of (key, text) with repeats, the byte ranges that repeated strings cover."""
     phrases = parse(keyed, length, spread)
     triggers = phrases.groupBy("trigger").agg(F.count(F.lit(1)).alias("met"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).filter("met > 1")
+    # Written down, so that the join below has a plain shuffle on each side and Spark can split a trigger's many rows.
+    triggers = cut_lineage(triggers.select("trigger", (F.col("low") != F.col("high")).alias("mixed")))
     # What is left is a fraction of the parse and is used several times, so it is written down once.
-    again = cut_lineage(phrases.join(triggers.select("trigger", (F.col("low") != F.col("high")).alias("mixed")), "trigger"))
+    again = cut_lineage(phrases.join(triggers, "trigger"))
     whole = F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
 
     # Triggers with different phrases: those that stand once need the suffix order, the others are witnesses.

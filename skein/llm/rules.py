@@ -37,8 +37,8 @@ COMMON = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más o pero",
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il",
 }
-#: Character classes, by what is left when all else is removed.
-CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "blank": r"[^\x20\x09-\x0D]+", "stop": r"[^.,;:!?'\"()-]+", "other": r"[^\x80-\x{10FFFF}]+"}
+#: Character classes, taken out of a text one after another; what is left then, ASCII symbols, is ``symbol``.
+CLASSES = {"lower": "a-z", "blank": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()-", "upper": "A-Z", "digit": "0-9", "other": r"\x80-\x{10FFFF}"}
 
 
 def words() -> Column:
@@ -83,10 +83,13 @@ def _half(p: Column, r: Column) -> Column:
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
-    """Adds the number of characters of each class; the rest, ASCII symbols, is ``symbol``."""
-    docs = docs.withColumns({f"c_{name}": F.length(F.regexp_replace("text", rest, "")) for name, rest in CLASSES.items()})
-    rest = F.length("text") - sum((F.col(f"c_{name}") for name in CLASSES), F.lit(0))
-    return docs.withColumn("c_symbol", rest)
+    """Adds the number of characters of each class.  Every step searches only what the steps before have left."""
+    before = "text"
+    for name, chars in CLASSES.items():
+        docs = docs.withColumn(f"_{name}", F.regexp_replace(before, f"[{chars}]+", ""))
+        docs = docs.withColumn(f"c_{name}", F.length(before) - F.length(f"_{name}"))
+        before = f"_{name}"
+    return docs.withColumn("c_symbol", F.length(before)).drop(*[f"_{name}" for name in CLASSES])
 
 
 def class_references(docs: DataFrame) -> DataFrame:
