@@ -1,9 +1,10 @@
 """Licence scans (operator 6): a positional rare-token index.  DataFrame functions only.
 
 Every template (a notice or the opening of a licence text) is a sequence of words.  The index holds the place of
-each of its words but for function words.  Of a file's words that the index knows, the ones of highest IDF over all
-files are looked up; a posting and an occurrence in the file agree on a relative position, and a template whose
-words meet at one relative position often enough, and whose mandatory phrases all stand in the file, gives its label.
+each of its words but for function words.  A template is looked up in a file where its mandatory phrases all stand and
+enough of its words are held: by those of its words in the file that are of highest IDF over all files, whatever other
+templates the file holds.  A posting and an occurrence in the file agree on a relative position, and a template whose
+words meet at one relative position often enough gives its label.
 The base is plain: each place where the words of one of three phrases stand consecutively.
 
 Defined cases: a null or empty text has no words, labels or places and score 0; repeated rows are scanned alike;
@@ -12,6 +13,8 @@ other columns are ignored; an empty table gives an empty result; ties in IDF go
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ TEMPLATES = [
 ]
 #: Function words, which no posting is kept of.
 COMMON = "the of and or to in a is at as by it with for this that you any are under on"
-#: So many of a file's rarest indexed words are looked up.
+#: So many of a template's words in a file, the rarest, are looked up.
 RAREST = 8
 #: A template is found where this share of its rarest indexed words meets at one relative position.
 SHARE = 0.6
@@ -64,6 +67,16 @@ def _known() -> list[str]:
     return sorted({w for _, text, _ in TEMPLATES for w in text.split()} - set(COMMON.split()))
 
 
+def _choice(k: int) -> Column:
+    """(template, words): the words by which a template is looked up in a file, or null if it can't be found there."""
+    _, text, phrases = TEMPLATES[k]
+    own = sorted(set(text.split()) - set(COMMON.split()))
+    words = F.slice(F.array_intersect("rarest_first", F.array_intersect(F.array(*map(F.lit, own)), "held")), 1, RAREST)
+    least = math.ceil(SHARE * min(RAREST, len(own)))
+    named = F.size(F.array_except(F.array(*map(F.lit, phrases)), "phrases")) == 0
+    return F.when(named, F.when(F.size(words) >= least, F.struct(F.lit(k).alias("template"), words.alias("words"))))
+
+
 def _holds(phrase: str) -> Column:
     """Whether the words of a phrase stand consecutively in ``joined``, the words between single spaces."""
     return F.contains("joined", F.lit(f" {phrase} "))
@@ -113,12 +126,13 @@ def scan(docs: DataFrame) -> DataFrame:
     by_idf = F.broadcast(idf.groupBy().agg(F.expr("transform(array_sort(collect_list(struct(-idf AS idf, word))), x -> x.word)").alias("rarest_first")))
 
     hits = rows.filter(hit).withColumn("key", row_key()).select("key", "held", "words", "phrases").join(by_idf)
-    rare = F.slice(F.array_intersect("rarest_first", "held"), 1, RAREST)
-    hits = hits.withColumn("rare", rare).withColumn("found", F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("rare", x["word"])))
-    met = hits.select("key", "phrases", F.explode("found").alias("x")).select("key", "phrases", "x.word", "x.at").join(postings, "word")
-    lined = met.groupBy("key", "phrases", "template", "label", "top", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"))
-    must = F.create_map(*[x for k, (_, _, ps) in enumerate(TEMPLATES) for x in (F.lit(k), F.array(*map(F.lit, ps)))])
-    sure = lined.filter((F.col("n") >= F.ceil(SHARE * F.col("top"))) & (F.size(F.array_except(must[F.col("template")], "phrases")) == 0))
+    # A row for each template that can be found; the files' words are then read against its words only.
+    choices = F.array_compact(F.array(*[_choice(k) for k in range(len(TEMPLATES))]))
+    hits = hits.select("key", "words", F.explode(choices).alias("choice")).select("key", "words", "choice.template", F.col("choice.words").alias("rare"))
+    found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("rare", x["word"]))
+    met = hits.select("key", "template", F.explode(found).alias("x")).select("key", "template", "x.word", "x.at").join(postings, ["template", "word"])
+    lined = met.groupBy("key", "template", "label", "top", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"))
+    sure = lined.filter(F.col("n") >= F.ceil(SHARE * F.col("top")))
     found = sure.groupBy("key").agg(F.collect_set("label").alias("more"), F.max(F.least(F.lit(1.0), F.col("n") / F.col("top"))).alias("score"))
 
     out = rows.withColumn("key", row_key()).select("key", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(found, "key", "left")

@@ -91,3 +91,14 @@ def test_licences(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert got[10].labels == "mit" and got[7].labels == "cc-by-nc-4.0" and got[6].labels == "gpl,gpl-3.0" and got[11].labels == ""
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_several_notices_in_one_file(spark):
+    texts = {label: text for label, text, _ in licenses.TEMPLATES if label in ("bsd-3-clause", "mit", "isc", "mpl-2.0")}
+    longest = {label: text for label, text, _ in sorted(licenses.TEMPLATES, key=lambda t: len(t[1]))}
+    every = ". ".join(longest.values())
+    made = [f"{texts['bsd-3-clause']}. {texts['mit']}", f"{longest['apache-2.0']}. Licensed under CC BY 4.0. {texts['bsd-3-clause']}", every, texts["isc"]]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(df).collect()}
+    assert {"bsd-3-clause", "mit"} <= got[0] and {"apache-2.0", "cc-by-4.0", "bsd-3-clause"} <= got[1]
+    assert set(longest) <= got[2] and got[3] == {"isc"}
