@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,16 +45,45 @@ def alert_rule(points: DataFrame, key: str, ts: str, order: str, bad: str, cool_
     return ready.repartition(key).sortWithinPartitions(key, "_t", order).mapInPandas(run, f"{order} long, {key} long, state string")
 
 
-def grouped(parts: list[str], least: float, most: int = 40) -> list[list[int]]:
-    """Greedy groups: a sentence joins the first open group with a member of that word overlap; groups may interleave."""
-    words = [set(p.lower().split()) for p in parts]
+def grouped(parts: list[str], least: float) -> list[list[int]]:
+    """Greedy groups: a sentence joins the first open group with a member of that word overlap; groups may interleave.
+
+    Only sentences that share a word can overlap, so members are found by an inverted index of the text's words; equal
+    sets of words are one entry, which stands for the earliest of their groups.  Sets without words overlap with none.
+    """
+    if least <= 0:
+        return [list(range(len(parts)))] if parts else []
     groups: list[list[int]] = []
-    for i, w in enumerate(words):
-        home = next((g for g in groups if len(g) < most and any(len(w & words[j]) / max(1, len(w | words[j])) >= least for j in g)), None)
-        if home is None:
-            groups.append([i])
-        else:
-            home.append(i)
+    home_of: list[int] = []
+    sizes: list[int] = []
+    index: dict[str, list[int]] = {}
+    # Entry of each set, and how many changes of the entries it has met.
+    met: dict[frozenset, tuple[int, int]] = {}
+    changes = 0
+    for i, part in enumerate(parts):
+        w = frozenset(part.lower().split())
+        entry, seen = met.get(w, (None, -1))
+        if entry is not None and seen == changes and least <= 1:
+            groups[home_of[entry]].append(i)
+            continue
+        shared = Counter(chain.from_iterable(index[x] for x in w if x in index))
+        home = min((home_of[k] for k, n in shared.items() if n / (len(w) + sizes[k] - n) >= least), default=len(groups))
+        if home == len(groups):
+            groups.append([])
+        groups[home].append(i)
+        if not w:
+            continue
+        if entry is None:
+            entry = len(home_of)
+            home_of.append(home)
+            sizes.append(len(w))
+            for x in w:
+                index.setdefault(x, []).append(entry)
+            changes += 1
+        elif home < home_of[entry]:
+            home_of[entry] = home
+            changes += 1
+        met[w] = entry, changes
     return groups
 
 
@@ -65,13 +96,11 @@ def semantic_chunks(docs: DataFrame, doc_id: str, text: str, least: float = 0.7,
             for d, parts in zip(b[doc_id], b["parts"]):
                 parts = list(parts)
                 n = 0
-                # Long texts are grouped in stretches, which bounds the work by the number of sentences.
-                for at in range(0, len(parts), 200):
-                    for g in grouped(parts[at : at + 200], least):
-                        content = " ".join(parts[at + i] for i in g)
-                        for cut in range(0, max(1, len(content)), most_chars):
-                            out.append((d, n, at + g[0], at + g[-1], content[cut : cut + most_chars]))
-                            n += 1
+                for g in grouped(parts, least):
+                    content = " ".join(parts[i] for i in g)
+                    for cut in range(0, max(1, len(content)), most_chars):
+                        out.append((d, n, g[0], g[-1], content[cut : cut + most_chars]))
+                        n += 1
             yield pd.DataFrame(out, columns=[doc_id, "chunk", "first", "last", "content"])
 
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), sentences(F.col(text)).alias("parts")).mapInPandas(run, f"{doc_id} long, chunk int, first int, last int, content string")

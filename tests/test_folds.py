@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from skein.operators import folds
@@ -19,6 +20,30 @@ def test_groups_may_interleave():
     assert folds.grouped(["a b c", "x y z", "a b d", "x y w"], 0.5) == [[0, 2], [1, 3]]
 
 
+def quadratic(parts, least):
+    groups = []
+    words = [set(p.lower().split()) for p in parts]
+    for i, w in enumerate(words):
+        home = next((g for g in groups if any(len(w & words[j]) / max(1, len(w | words[j])) >= least for j in g)), None)
+        groups.append([i]) if home is None else home.append(i)
+    return groups
+
+
+def test_groups_of_long_texts():
+    rng = random.Random(4)
+    for least, kinds in ((0.3, 40), (0.7, 40), (0.5, 12), (1.0, 6), (0.0, 6)):
+        parts = [" ".join(f"w{rng.randrange(kinds)}" for _ in range(rng.randrange(7))) for _ in range(500)]
+        assert folds.grouped(parts, least) == quadratic(parts, least)
+    assert folds.grouped([], 0.5) == [] and folds.grouped(["a b"] * 90, 0.5) == [list(range(90))]
+
+
+def test_long_texts_have_no_seams(spark):
+    lines = ["alpha beta gamma."] + [f"x{i} y{i} z{i}." for i in range(300)] + ["alpha beta gamma."]
+    df = spark.createDataFrame([(1, " ".join(lines))], "id long, t string")
+    rows = folds.semantic_chunks(df, "id", "t").collect()
+    assert len(rows) == 301 and (rows[0].first, rows[0].last) == (0, 301)
+
+
 def test_tree_of_headings():
     nodes = folds.tree("# Title\n## One\nshort\nalso short\n## Two\n" + "p" * 2500)
     assert [(level, parent) for level, parent, _ in nodes] == [(1, -1), (2, 0), (3, 1), (2, 0), (3, 3), (4, 4), (4, 4)]
