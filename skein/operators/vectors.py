@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one block of vectors, and of one block of queries.
 ROWS, QUERIES = 4096, 512
+#: Vectors that centroids are fitted on at most, those of least hash of id; rounds of fitting.
+SAMPLE, ROUNDS = 10_000, 15
 
 
 def _double(v: Column) -> Column:
@@ -85,6 +87,69 @@ def batch_topk(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: in
     return ranked.filter(F.col("rank") <= k)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return _unit(np.array(vectors.flatten(), np.float64).reshape(len(vectors), -1))
+
+
+def centroids(rows: DataFrame, id_: str, vector: str, lists: int, seed: int = 5) -> np.ndarray:
+    """Unit centroids by spherical k-means over a sample of at most SAMPLE rows; fewer if the sample is smaller."""
+    sample = rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    if not sample.num_rows:
+        return np.zeros((0, 0))
+    u = _matrix(sample["v"].combine_chunks())
+    c = u[np.random.default_rng(seed).choice(len(u), min(lists, len(u)), replace=False)]
+    for _ in range(ROUNDS):
+        near = (u @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, u)
+        c = np.where(np.bincount(near, minlength=len(c))[:, None] > 0, _unit(sums), c)
+    return c
+
+
+def _assigned(df: DataFrame, id_: str, vector: str, sent, n: int) -> DataFrame:
+    """(id, v, list): a row for each of the n lists nearest to a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(_matrix(b.column(1)) @ sent.value.T), axis=1, kind="stable")[:, :n]
+                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "v", "list"])
+
+    return df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "id long, v array<float>, list int")
+
+
+def bucketed_topk(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, lists: int = 100, probes: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest by cosine among the rows of the ``probes`` lists nearest to a query.
+
+    Every row is in the list of its nearest centroid.  Lists are dealt in blocks of about ROWS rows, so a large one is
+    spread; blocks of queries meet the blocks of the lists they probe only.
+    """
+    fitted_on = centroids(rows, id_, vector, lists)
+    sent = rows.sparkSession.sparkContext.broadcast(fitted_on)
+    indexed, asked = _assigned(rows, id_, vector, sent, 1), _assigned(queries, id_, vector, sent, probes)
+
+    def blocks(of: list[int]) -> Column:
+        return F.element_at(F.array(*map(F.lit, of)) if of else F.array(F.lit(1)), F.col("list") + 1)
+
+    def counted(df: DataFrame, size: int) -> list[int]:
+        found = {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}
+        return [max(1, -(-found.get(i, 0) // size)) for i in range(len(fitted_on))]
+
+    of_rows, of_queries = blocks(counted(indexed, ROWS)), blocks(counted(asked, QUERIES))
+    dealt = lambda of: F.pmod(F.xxhash64("id"), of).cast("int")
+    row_blocks = indexed.groupBy("list", dealt(of_rows).alias("r")).agg(F.collect_list(F.struct("id", "v")).alias("r_rows"))
+    query_blocks = asked.groupBy("list", dealt(of_queries).alias("q")).agg(F.collect_list(F.struct("id", "v")).alias("q_rows"))
+    sent_to = query_blocks.select("list", "q_rows", F.explode(F.sequence(F.lit(0), of_rows - 1)).alias("r"))
+    found = row_blocks.join(sent_to, ["list", "r"]).select("r_rows", "q_rows").mapInArrow(_best(k), "query_id long, id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.col("rank") <= k)
+
+
 def hash_embedding(text: Column, position: Column, dim: int = 768) -> Column:
     """Four numbers in [-1, 1] from the md5 of text and position, then zeros."""
     digest = F.md5(F.concat(text, F.lit("_"), position.cast("string")))

@@ -104,13 +104,9 @@ def metadata_score(spark, d):
 
 @query("vec05_06_bucketed_search")
 def bucketed(spark, d):
-    """Share of the exact ten nearest that lie within one bit of the query's hyperplane bucket."""
-    e = table(spark, d, "embeddings").withColumn("bucket", V.hyperplane_bucket(F.col("embedding"), 64, 3))
-    exact = V.batch_topk(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
-    of = e.select(F.col("vec_id").alias("id"), "bucket")
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("bucket").alias("asked"))
-    near = F.bit_count(F.col("bucket").bitwiseXOR(F.col("asked"))) <= 2
-    return exact.join(of, "id").join(asked, "query_id").agg(F.round(F.avg(near.cast("double")), 4).alias("recall"), F.count(F.lit(1)).alias("n"))
+    """Ten neighbours of each query out of half of the lists: the vectors have no clusters, so few lists hold few of them."""
+    e = table(spark, d, "embeddings")
+    return V.bucketed_topk(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10, lists=100, probes=50)
 
 
 @query("jon10_siblings", "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey) AS best FROM orders")

@@ -1,5 +1,6 @@
 """Every query with a DuckDB equivalent gives the same rows; the others against small brute-force versions."""
 
+import numpy as np
 import pytest
 
 from skein.operators import chunkers
@@ -65,3 +66,24 @@ def test_filters_on_missing_fields(spark):
     assert ids(Condition("k", "eq", "a")) == [2] and ids(Condition("k", "ne", "a")) == [3]
     assert ids(Condition("k", "exists", False)) == [1]
     assert ids(Composite("not", (Condition("k", "eq", "a"),))) == [1, 3]
+
+
+def test_bucketed_search_finds_neighbours(spark):
+    from skein.operators import vectors as V
+    from skein.plans.registry import table
+
+    e = table(spark, SF, "embeddings")
+    exact = {(r.query_id, r.id) for r in V.batch_topk(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10).collect()}
+    got = catalog.queries()["vec05_06_bucketed_search"](spark, SF).collect()
+    assert {r.query_id for r in got} == {q for q, _ in exact} and {r["rank"] for r in got} == set(range(1, 11))
+    assert len(exact & {(r.query_id, r.id) for r in got}) >= 0.9 * len(exact)
+    # Ten clusters: one list of ten holds a vector's neighbours, and all lists together give the exact result.
+    rng = np.random.default_rng(1)
+    middle = rng.standard_normal((10, 16))
+    made = spark.createDataFrame([(i, (middle[i % 10] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(400)], "i long, v array<double>")
+    asked = made.filter("i < 40")
+    pairs = lambda t: {(r.query_id, r.id, r["rank"]) for r in t.collect()}
+    whole = pairs(V.batch_topk(made, asked, "i", "v", 5))
+    assert pairs(V.bucketed_topk(made, asked, "i", "v", 5, lists=20, probes=20)) == whole
+    assert len(pairs(V.bucketed_topk(made, asked, "i", "v", 5, lists=20, probes=6)) & whole) >= 0.9 * len(whole)
+    assert V.bucketed_topk(made, asked.limit(0), "i", "v", 5).count() == 0
