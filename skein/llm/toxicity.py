@@ -3,7 +3,9 @@
 The score of a text is the logistic of a bias, a weight for each of its terms, and the products of its terms' factor
 vectors for each pair of them; so two terms, such as an insult and a mention of a group, can say together what
 neither says alone.  Terms are words without outer punctuation, A-Z folded, hashed.  It is fitted on a bounded sample
-of labelled documents; terms that the sample doesn't show to differ between the labels have no weight.
+of labelled documents.  A term has a weight and a factor vector if it differs between the labels in the sample, or does
+so among the documents that hold a term of that first kind, whatever its effect alone; others have none, as fitting all
+terms of a sample learns it by heart.
 
 Defined cases: a null or empty text has no terms and the bias for a score; without training labels of both kinds every
 score is 0; repeated rows score alike; other columns are ignored; an empty table gives an empty result.
@@ -39,6 +41,8 @@ DECAY = 2e-4
 #: A term needs so many documents of the sample, and such a difference between labels in standard deviations.
 LEAST_DOCS = 4
 LEAST_Z = 3.5
+#: The same among the documents with a term that differs alone; more, as there are as many tests as pairs.
+LEAST_PAIR_Z = 5.0
 REJECT = 0.7
 
 _OUTER = b".,;:!?\"'()[]{}<>*_-#%$&|"
@@ -53,6 +57,30 @@ def terms(text: bytes) -> dict[int, int]:
     return found
 
 
+def _z(held, toxic, p: float, n: int):
+    """By how many standard deviations the toxic of the documents that hold a term differ from the share p of n."""
+    return np.abs(toxic - held * p) / np.sqrt(held * p * (1 - p) * (1 - held / (n + 1)) + 1e-9)
+
+
+def _told_by_pairs(counted: list[dict[int, int]], y: np.ndarray, anchors: list[int]) -> set[int]:
+    """Terms that differ between the labels among the documents with one of the anchors."""
+    every, place = np.unique(np.array([b for row in counted for b in row], np.int64), return_inverse=True)
+    sizes = np.array([len(row) for row in counted])
+    rows = np.split(place, np.cumsum(sizes)[:-1])
+    docs_of: dict[int, list[int]] = {a: [] for a in anchors}
+    for i, row in enumerate(counted):
+        for a in row.keys() & docs_of.keys():
+            docs_of[a].append(i)
+    found = np.zeros(len(every), bool)
+    for docs in docs_of.values():
+        p = y[docs].mean()
+        terms_of = np.concatenate([rows[i] for i in docs])
+        held = np.bincount(terms_of, minlength=len(every))
+        toxic = np.bincount(terms_of, np.repeat(y[docs], sizes[docs]), len(every))
+        found |= (held >= LEAST_DOCS) & (_z(held, toxic, p, len(docs)) >= LEAST_PAIR_Z)
+    return set(every[found].tolist())
+
+
 class FactorizationMachine:
     """Weights of the chosen buckets; the number of these is bounded by BUCKETS."""
 
@@ -88,7 +116,8 @@ class FactorizationMachine:
             if label:
                 toxic_with.update(row.keys())
         p, n = y.mean(), len(y)
-        chosen = [b for b, c in with_term.items() if c >= LEAST_DOCS and abs(toxic_with[b] - c * p) >= LEAST_Z * np.sqrt(c * p * (1 - p) * (1 - c / (n + 1)) + 1e-9)]
+        chosen = [b for b, c in with_term.items() if c >= LEAST_DOCS and _z(c, toxic_with[b], p, n) >= LEAST_Z]
+        chosen = {*chosen, *_told_by_pairs(counted, y, chosen)}
         self.place = {b: i for i, b in enumerate(sorted(chosen))}
         rng = np.random.default_rng(3)
         self.linear = np.zeros(len(chosen))

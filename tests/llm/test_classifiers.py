@@ -66,3 +66,17 @@ def test_pairs_say_more_than_terms():
     wanted = [toxicity.terms(t) for t in (b"insult group w1", b"insult w1", b"group w1")]
     both, one, other = machine.score(wanted)
     assert both > 0.7 > 0.5 > max(one, other)
+
+
+def test_a_mention_without_effect_alone():
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(2000):
+        insult, slur, group = i % 10 < 3, i // 10 % 10 < 3, i // 100 % 2 == 1
+        rows.append(toxicity.terms(" ".join([f"w{rng.randrange(30)}" for _ in range(10)] + ["insult"] * insult + ["slur"] * slur + ["group"] * group).encode()))
+        labels.append(int(insult if group else slur))
+    # Toxic are 0.3 of the texts with a mention of the group and 0.3 of those without.
+    assert sum(labels[i] for i in range(2000) if i // 100 % 2) == sum(labels[i] for i in range(2000) if not i // 100 % 2) == 300
+    machine = toxicity.FactorizationMachine().fit(rows, labels)
+    both, one, other, neither = machine.score([toxicity.terms(t) for t in (b"insult group w1", b"insult w1", b"slur w1", b"slur group w1")])
+    assert min(both, other) > 0.7 > 0.5 > max(one, neither)
