@@ -49,33 +49,16 @@ def _repeats(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words within 8-word windows that the text holds twice or more."""
     windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<long>"))
     found = docs.withColumn("windows", windows).withColumn("again", F.size("windows") > F.size(F.array_distinct("windows")))
-    ordered = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     found = found.withColumn("ordered", F.when(F.col("again"), ordered))
     near = lambda i, step: F.coalesce(F.try_element_at("ordered", i + 1 + step)["h"], F.lit(None))
     same = lambda x, i: F.coalesce(x["h"] == near(i, 1), F.lit(False)) | (F.when(i > 0, F.coalesce(x["h"] == near(i, -1), F.lit(False))).otherwise(False))
-    found = found.withColumn("starts", F.array_sort(F.transform(F.filter("ordered", same), lambda x: x["i"])))
+    found = found.withColumn("starts", F.sort_array(F.transform(F.filter("ordered", same), lambda x: x["i"])))
     reach = F.zip_with("starts", F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     total = F.aggregate(reach, F.lit(0), lambda n, x: n + x)
     return found.withColumn("n_repeat_words", F.when(F.col("again"), total).otherwise(0).cast("long")).drop("windows", "again", "ordered", "starts")
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text, words and the base counts of every row."""
-    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words())
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    rows = _repeats(rows).withColumns(
-        {
-            "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long"),
-            "lines": lines,
-        }
-    )
-    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
-
-
 def _half(p: Column, r: Column) -> Column:
     """What one bin adds to twice the Jensen-Shannon divergence."""
     m = (p + r) / 2
@@ -83,81 +66,98 @@ def _half(p: Column, r: Column) -> Column:
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
-    """Adds the number of characters of each class.  Every step searches only what the steps before have left."""
+    """Adds the number of characters of each class, and ``symbols``, what no class takes.  Every step searches only
+    what the steps before have left."""
     before = "text"
     for name, chars in CLASSES.items():
         docs = docs.withColumn(f"_{name}", F.regexp_replace(before, f"[{chars}]+", ""))
         docs = docs.withColumn(f"c_{name}", F.length(before) - F.length(f"_{name}"))
         before = f"_{name}"
-    return docs.withColumn("c_symbol", F.length(before)).drop(*[f"_{name}" for name in CLASSES])
+    return docs.withColumns({"c_symbol": F.length(before), "symbols": F.col(before)}).drop(*[f"_{name}" for name in CLASSES])
 
 
-def class_references(docs: DataFrame) -> DataFrame:
-    """One row: for each language the shares of the character classes over all its documents."""
-    names = [*CLASSES, "symbol"]
-    counted = class_counts(docs.select("lang", F.coalesce("text", F.lit("")).alias("text")))
-    total = sum((F.col(f"c_{n}") for n in names), F.lit(0))
-    share = lambda lang, name: F.sum(F.when(F.col("lang") == lang, F.col(f"c_{name}"))) / F.sum(F.when(F.col("lang") == lang, total))
-    return counted.agg(*[share(lang, n).alias(f"r_{lang}_{n}") for lang in COMMON for n in names])
+def base(docs: DataFrame) -> DataFrame:
+    """The rows (doc_id, lang, text) with their words, class counts and base counts.  Of the base counts two follow
+    from the classes: word characters are all that aren't blank, and symbols are among what no class takes."""
+    rows = _repeats(class_counts(docs).withColumn("words", words()))
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.withColumns(
+        {
+            "size": F.length("text"),
+            "n_words": F.size("words").cast("long"),
+            "word_chars": (F.length("text") - F.col("c_blank")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace("symbols", "[^#*$%&|<>]+", "")).cast("long"),
+            "lines": lines,
+        }
+    )
+    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines", "symbols")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    return rows.withColumn("base_failed", failed)
 
 
-def _listed(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each common word that a text holds, and one with the empty word for the text itself."""
+def measured(docs: DataFrame) -> DataFrame:
+    """One narrow row for each document: key, doc_id, lang, base counts, size, class counts, and ``bins``, its common
+    words with how often it has them.  The texts are read once; everything else is made from these rows."""
     common = sorted({w for ws in COMMON.values() for w in ws.split()})
-    held = F.concat(F.filter("words", lambda w: w.isin(*common)), F.array(F.lit("")))
-    return docs.withColumn("words", words()).select(*keep, F.size("words").alias("n_words"), F.explode(held).alias("word"))
+    # Sorted, so the end of each run of equal words tells how many there are.
+    rows = base(docs).withColumn("ordered", F.sort_array(F.filter("words", lambda w: w.isin(*common))))
+    ends = F.filter(F.transform("ordered", lambda w, i: F.when(F.coalesce(F.get("ordered", i + 1) != w, F.lit(True)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("ends", ends)
+    bins = F.transform("ends", lambda e, k: F.struct(F.get("ordered", e).alias("word"), (e - F.coalesce(F.when(k > 0, F.get("ends", k - 1)), F.lit(-1))).alias("n")))
+    counts = [f"c_{n}" for n in (*CLASSES, "symbol")]
+    return rows.select(row_key().alias("key"), "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "size", *counts, bins.alias("bins"))
+
+
+def class_references(rows: DataFrame) -> DataFrame:
+    """One row: for each language the shares of the character classes over all its documents."""
+    share = lambda lang, name: F.sum(F.when(F.col("lang") == lang, F.col(f"c_{name}"))) / F.sum(F.when(F.col("lang") == lang, F.col("size")))
+    return rows.agg(*[share(lang, n).alias(f"r_{lang}_{n}") for lang in COMMON for n in (*CLASSES, "symbol")])
 
 
-def word_references(docs: DataFrame) -> DataFrame:
-    """(word, r_<lang>...): the share of each common word among all words of each language's documents; the empty
-    word has the share of all other words."""
-    n = F.when(F.col("word") == "", F.col("n_words")).otherwise(1)
-    sums = _listed(docs, "lang").groupBy("word").agg(*[F.sum(F.when(F.col("lang") == lang, n)).alias(f"n_{lang}") for lang in COMMON])
+def word_references(rows: DataFrame) -> DataFrame:
+    """One row: ``shares``, a map from each common word to its share among all words of each language's documents
+    (null for a language without words), and ``others``, the shares of all other words."""
+    sums = rows.filter(F.col("lang").isin(*COMMON)).select("lang", F.explode(F.concat("bins", F.array(F.struct(F.lit("").alias("word"), F.col("n_words").cast("int").alias("n"))))).alias("b")).groupBy("b.word")
+    sums = sums.agg(*[F.sum(F.when(F.col("lang") == lang, F.col("b.n"))).alias(f"n_{lang}") for lang in COMMON])
     totals = sums.filter("word = ''").select(*[F.col(f"n_{lang}").alias(f"t_{lang}") for lang in COMMON])
-    shares = sums.filter("word <> ''").join(F.broadcast(totals)).select("word", *[(F.coalesce(F.col(f"n_{lang}"), F.lit(0)) / F.col(f"t_{lang}")).alias(f"r_{lang}") for lang in COMMON])
-    others = shares.agg(*[(1 - F.sum(f"r_{lang}")).alias(f"r_{lang}") for lang in COMMON]).select(F.lit("").alias("word"), *[f"r_{lang}" for lang in COMMON])
-    return shares.unionByName(others)
-
-
-def word_distances(docs: DataFrame) -> DataFrame:
-    """(key, word_distance): distance of each text's common-word histogram to the nearest reference.
-
-    A word that the text doesn't hold adds its whole share of the reference, so only the words that it holds are
-    joined.  The words of rows that share id and text are counted together and divided by the number of such rows.
-    """
-    held = _listed(docs.withColumn("key", row_key()), "key").groupBy("key", "n_words", "word").agg(F.count(F.lit(1)).alias("n"))
-    refs = F.broadcast(word_references(docs))
-    item = F.struct("word", "n", *[f"r_{lang}" for lang in COMMON])
-    lists = held.join(refs, "word", "left").groupBy("key", "n_words").agg(F.collect_list(item).alias("bins"))
-    lists = lists.withColumn("rows", F.filter("bins", lambda b: b["word"] == "")[0]["n"])
-    lists = lists.withColumn("rest", F.filter("bins", lambda b: b["word"] == "")[0]).withColumn("bins", F.filter("bins", lambda b: b["word"] != ""))
-    share = lambda b: b["n"] / F.col("rows") / F.col("n_words")
-    total = F.aggregate("bins", F.lit(0.0), lambda a, b: a + share(b))
+    shares = sums.filter("word <> ''").join(F.broadcast(totals)).select("word", *[(F.coalesce(F.col(f"n_{lang}"), F.lit(0)) / F.nullif(f"t_{lang}", F.lit(0))).alias(lang) for lang in COMMON])
+    known = shares.agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct(*COMMON)))).alias("shares"), F.struct(*[(1 - F.sum(lang)).alias(lang) for lang in COMMON]).alias("rest"))
+    # Languages whose documents hold no common word at all have their whole mass in the other words.
+    whole = totals.select(F.struct(*[F.when(F.col(f"t_{lang}") > 0, F.lit(1.0)).alias(lang) for lang in COMMON]).alias("whole"))
+    filled = F.struct(*[F.coalesce(F.col("rest")[lang], F.col("whole")[lang]).alias(lang) for lang in COMMON])
+    return known.join(F.broadcast(whole), how="left").select("shares", filled.alias("others"))
+
+
+def _word_distance() -> Column:
+    """Distance of a text's common-word histogram (``shared``: share in the text, and in each reference) to the nearest
+    reference.  A word that the text doesn't hold adds its whole share of the reference, so the sum starts from all of
+    these and what the text holds is taken off again."""
+    total = F.aggregate("shared", F.lit(0.0), lambda a, b: a + b["p"])
 
     def divergence(lang: str) -> Column:
-        r = f"r_{lang}"
-        seen = F.aggregate("bins", F.lit(0.0), lambda a, b: a + _half(share(b), b[r]))
-        unseen = 1 - F.col("rest")[r] - F.aggregate("bins", F.lit(0.0), lambda a, b: a + b[r])
-        return seen + F.greatest(unseen, F.lit(0.0)) + _half(F.greatest(1 - F.col("total"), F.lit(0.0)), F.col("rest")[r])
+        others = F.col("others")[lang]
+        reference = lambda b: F.coalesce(b["r"][lang], F.lit(0.0))
+        every = F.aggregate("shared", 1 - others, lambda a, b: a + _half(b["p"], reference(b)) - reference(b))
+        return every + _half(F.greatest(1 - total, F.lit(0.0)), others)
 
-    nearest = F.least(*[divergence(lang) for lang in COMMON])
-    return lists.filter("n_words > 0").withColumn("total", total).select("key", F.sqrt(F.greatest(nearest / 2, F.lit(0.0))).alias("word_distance"))
+    return F.sqrt(F.greatest(F.least(*[divergence(lang) for lang in COMMON]) / 2, F.lit(0.0)))
 
 
 def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """Every row's doc_id, base counts, the two distances and ``kept``."""
-    source = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    """Every row's key, doc_id, base counts, the two distances and ``kept``."""
     names = [*CLASSES, "symbol"]
-    # The references are one row and a hundred rows, whatever the number of documents.
-    rows = class_counts(base(source)).withColumn("key", row_key()).join(F.broadcast(class_references(source)))
-    size = F.length("text")
-    parts = lambda lang: [_half(F.col(f"c_{n}") / size, F.col(f"r_{lang}_{n}")) for n in names]
+    # Narrow rows, used for both references and for the verdicts: written down, so that no text is read twice.
+    rows = cut_lineage(measured(docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))))
+    # The references are one row each, whatever the number of documents.
+    told = rows.join(F.broadcast(class_references(rows))).join(F.broadcast(word_references(rows)))
+    parts = lambda lang: [_half(F.col(f"c_{n}") / F.col("size"), F.col(f"r_{lang}_{n}")) for n in names]
     distance = lambda lang: F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, parts(lang)) / 2))
-    rows = rows.withColumn("class_distance", F.when(size > 0, F.least(*[distance(lang) for lang in COMMON])))
-    rows = rows.select("key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance")
-    rows = rows.join(word_distances(source), "key", "left")
+    told = told.withColumn("class_distance", F.when(F.col("size") > 0, F.least(*[distance(lang) for lang in COMMON])))
+    told = told.withColumn("shared", F.transform("bins", lambda b: F.struct((b["n"] / F.col("n_words")).alias("p"), F.col("shares")[b["word"]].alias("r"))))
+    told = told.withColumn("word_distance", F.when(F.col("n_words") > 0, _word_distance()))
     far = (F.col("word_chars") >= GUARD_CHARS) & (F.col("class_distance") > class_limit) | (F.col("n_words") >= GUARD_WORDS) & (F.col("word_distance") > word_limit)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
+    return told.select("key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
