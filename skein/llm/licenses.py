@@ -7,8 +7,9 @@ templates the file holds.  A posting and an occurrence in the file agree on a re
 words meet at one relative position often enough gives its label.
 The base is plain: each place where the words of one of three phrases stand consecutively.
 
-Defined cases: a null or empty text has no words, labels or places and score 0; repeated rows are scanned alike;
-other columns are ignored; an empty table gives an empty result; ties in IDF go to the alphabetically first word.
+Defined cases: a null or empty text has no words, labels or places and score 0; repeated rows are scanned alike and
+each on its own; other columns are ignored; an empty table gives an empty result; ties in IDF go to the alphabetically
+first word; a very long text is read whole, and only the places of template words are kept of it.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import row_key
+from skein.llm.common import cut_lineage
 
-#: What separates words; capital letters are folded first, or are word characters where case doesn't matter.
+#: What separates words; capital letters are folded first.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The one character beyond ASCII that folds to an ASCII letter alone (the Kelvin sign), and a letter that doesn't.
+KELVIN, OTHER = "\u212a", "\u0138"
 
 #: Phrases of the base and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -96,47 +98,59 @@ def _places(phrase: str) -> Column:
     return F.when(_holds(phrase), F.filter(everywhere, starts)).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = _known()
-    n_words = F.size(F.array_remove(F.split("text", SEPARATORS_ANY_CASE), ""))
-    rows = rows.withColumn("n_words", n_words.cast("long"))
-    held = F.array_intersect(F.split(F.lower("text"), SEPARATORS), F.array(*map(F.lit, known)))
-    rows = rows.withColumn("held", held)
-    hit = F.size("held") > 0
-    words = F.when(hit, F.array_remove(F.split(F.translate("text", CAPITALS, SMALL), SEPARATORS), "")).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("words", words)
-    rows = rows.withColumn("joined", F.when(hit, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise(""))
+def fold_capitals(text: Column) -> Column:
+    """The text with A-Z folded.  Letters beyond ASCII are folded as well, which no ASCII word can tell: none of them
+    becomes a word in ASCII but for the Kelvin sign, which is replaced before."""
+    return F.lower(F.replace(text, F.lit(KELVIN), F.lit(OTHER)))
+
 
+def read(docs: DataFrame) -> DataFrame:
+    """One narrow row for each file: doc_id, n_words, base places and labels, the template words that it holds, the
+    mandatory phrases that stand in it and, where there are any, the places of the template words.  The texts are read
+    once; the index is made from these rows."""
+    known = _known()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("words", F.array_remove(F.split(fold_capitals(F.col("text")), SEPARATORS), ""))
+    rows = rows.withColumn("held", F.array_intersect("words", F.array(*map(F.lit, known))))
+    rows = rows.withColumn("joined", F.when(F.size("held") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise(""))
     places = {label: _places(phrase) for phrase, label in PHRASES.items()}
     rows = rows.withColumns({f"at_{label}": p for label, p in places.items()})
     every = F.concat(*[F.col(f"at_{label}") for label in places])
     named = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in places]))
-    rows = rows.withColumns({"every": every, "base": F.array_sort(named)}).withColumns({"n_base": F.size("every").cast("long"), "first_word": F.array_min("every").cast("long"), "last_word": F.array_max("every").cast("long")})
     phrases = sorted({p for _, _, ps in TEMPLATES for p in ps})
-    rows = rows.withColumn("phrases", F.when(hit, F.array_compact(F.array(*[F.when(_holds(p), F.lit(p)) for p in phrases]))).otherwise(F.array().cast("array<string>")))
+    stand = F.when(F.size("held") > 0, F.array_compact(F.array(*[F.when(_holds(p), F.lit(p)) for p in phrases]))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumns({"every": every, "base": F.sort_array(named), "phrases": stand})
+    found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*known))
+    return rows.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.size("every").cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"),
+        "base", "held", "phrases", F.when(F.size("phrases") > 0, found).alias("found"),
+    )
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
+    spark = docs.sparkSession
+    # A row's own number tells rows apart that share id and text.
+    rows = cut_lineage(read(docs).withColumn("key", F.monotonically_increasing_id()))
 
     # The index: postings and IDF have a row for each word of the templates, whatever the number of files.
     frequency = rows.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     total = frequency.filter("word = ''").select(F.col("df").alias("files"))
     idf = frequency.filter("word <> ''").join(F.broadcast(total)).select("word", F.log(F.col("files") / F.col("df") + 1).alias("idf"))
     postings = F.broadcast(_index(spark).join(F.broadcast(idf), "word"))
-    by_idf = F.broadcast(idf.groupBy().agg(F.expr("transform(array_sort(collect_list(struct(-idf AS idf, word))), x -> x.word)").alias("rarest_first")))
+    by_idf = F.broadcast(idf.groupBy().agg(F.expr("transform(sort_array(collect_list(struct(-idf AS idf, word))), x -> x.word)").alias("rarest_first")))
 
-    hits = rows.filter(hit).withColumn("key", row_key()).select("key", "held", "words", "phrases").join(by_idf)
     # A row for each template that can be found; the files' words are then read against its words only.
     choices = F.array_compact(F.array(*[_choice(k) for k in range(len(TEMPLATES))]))
-    hits = hits.select("key", "words", F.explode(choices).alias("choice")).select("key", "words", "choice.template", F.col("choice.words").alias("rare"))
-    found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("rare", x["word"]))
-    met = hits.select("key", "template", F.explode(found).alias("x")).select("key", "template", "x.word", "x.at").join(postings, ["template", "word"])
+    hits = rows.filter(F.size("phrases") > 0).join(by_idf).select("key", "found", F.explode(choices).alias("choice"))
+    looked_up = F.filter("found", lambda x: F.array_contains("choice.words", x["word"]))
+    met = hits.select("key", "choice.template", F.explode(looked_up).alias("x")).select("key", "template", "x.word", "x.at").join(postings, ["template", "word"])
     lined = met.groupBy("key", "template", "label", "top", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"))
     sure = lined.filter(F.col("n") >= F.ceil(SHARE * F.col("top")))
-    found = sure.groupBy("key").agg(F.collect_set("label").alias("more"), F.max(F.least(F.lit(1.0), F.col("n") / F.col("top"))).alias("score"))
+    more = sure.groupBy("key").agg(F.collect_set("label").alias("more"), F.max(F.least(F.lit(1.0), F.col("n") / F.col("top"))).alias("score"))
 
-    out = rows.withColumn("key", row_key()).select("key", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(found, "key", "left")
+    out = rows.select("key", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(more, "key", "left")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.array_join(F.sort_array(F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
