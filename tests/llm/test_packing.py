@@ -61,14 +61,53 @@ def test_neighbours_are_the_best_by_score():
     assert ranked == sorted((d for d in scores if scores[d] > 0), key=lambda d: -scores[d])
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", "a  b", " a", "a ", "a \n b", "é  è ", "\n\n", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>  c", "日本 語　 x", "it's 's  'll", "a\x85 b", "\x00 \x01", "🙂 🙂🙂  .", "a\t b", "１ ２ ٣", "é f", "x" * 3000])
+@pytest.mark.parametrize("text", ["", " ", "  ", "a  b", " a", "a ", "a \n b", "é  è ", "\n\n", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>  c", "日本 語　 x", "it's 's  'll", "a\x85 b", "\x00 \x01", "🙂 🙂🙂  .", "a\t b", "１ ２ ٣", "é f", "x" * 3000, "x1-y2,z" * 900, "中文字符" * 500, "a\u00a0 b", "à la", "a   b", " \u00a0 \u00a0 x"])
 def test_forced_cuts_agree_with_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(bpe.vocabulary_path())
-    coder = bpe.ForcedBoundaryBpe(bpe.vocabulary_path(), memo=3)
+    coder = bpe.ForcedBoundaryBpe(bpe.vocabulary_path())
     want = plain.encode(text, add_special_tokens=False).ids
-    for _ in range(2):
-        ids = np.frombuffer(coder.encode(text), "<u4").tolist()
-        assert ids == want
+    ids = np.frombuffer(coder.encode(text), "<u4").tolist()
+    assert ids == want
     assert coder.decode(ids) == plain.decode(want, skip_special_tokens=False)
+
+
+def test_columns_of_texts_agree_with_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    parts = ["a", "b", "  ", " ", "\n", "é", "à", "中", "'s", "'", "1", "2", ".", "-", "\t", " ", "<|endoftext|>", "the", "\u00a0", " ", "   ", "\r\n", "x" * 70]
+    texts = [None, *("".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(3000))]
+    ids, counts = bpe.ForcedBoundaryBpe(bpe.vocabulary_path()).encode_column(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(bpe.vocabulary_path()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_long_fragment_is_cut():
+    coder = bpe.ForcedBoundaryBpe(bpe.vocabulary_path())
+    assert len(coder.cuts("ab12,cd;" * 50)) > 100
+
+
+def test_ties_go_to_the_earlier_document():
+    docs = [np.array([5, 6, 7])] * 60 + [np.array([5, 8])] * 40
+    held = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=9)
+    index = packing.Bm25Shard(docs, held, len(docs), 2.6)
+    unused = np.ones(len(docs), bool)
+    unused[[3, 4]] = False
+    assert index.neighbours(1, unused).tolist() == [0, 2, *range(5, 5 + packing.NEIGHBOURS - 2)]
+
+
+def test_the_index_is_asked_until_no_neighbour_is_left():
+    # 40 neighbours of the first seed, three at a time, before the others.
+    kin = [0, *range(20, 60)]
+    asked = lambda seed, unused: np.array([d for d in kin if unused[d]][:3] if seed in kin else [], int)
+    order = [doc for doc, start, *_ in packing.fill([10] * 70, asked) if start == 0]
+    assert order[:41] == kin
+
+
+def test_equal_texts_have_equal_keys_and_empty_ones_the_largest():
+    ids = np.array([5000, 70, 6000, 5000, 70, 6000], np.uint32)
+    first, second = packing.lexical_key(ids, np.array([3, 0, 3, 0]))
+    assert first[0] == first[2] and second[0] == second[2] and first[1] == first[3] == 2**63 - 1
