@@ -1,16 +1,19 @@
 """Packing (operator 8): sequences filled by lexical retrieval.
 
-Texts become token ids, each text with an end id behind it.  Documents are dealt into shards of bounded size, and
-each shard has a BM25 inverted index over token ids, with document frequencies and the mean length of the whole
-corpus.  A window starts with the rest of the document that the last window cut, or with the next unused document, its
-seed; the index returns the seed's nearest unused documents, and they fill the window greedily, those that fit whole
-before one that has to be cut.  A window without neighbours left takes the next unused document.  So all sequences are
-full but for what remains at a shard's end, which is laid out in sequences whose lengths are powers of two, and
-nothing is padded.
-
-Defined cases: a null or empty text is its end id alone; ties in score go to the earlier document; repeated rows are
-documents of their own; other columns are ignored; an empty table gives an empty result.  Sequence ids are unique but
-not consecutive.
+Texts become token ids, each text with an end id behind it.  Documents are dealt into shards of bounded size by a
+lexical key, the least hashes of their rarer ids, so that those with many ids in common meet whatever file they came
+from; a range of keys is split wherever it is too long, a group of copies too.  Each shard has a BM25 inverted index
+over token ids, with document frequencies and the mean length of the whole corpus.  A window starts with the rest of the
+document that the last window cut, or with the next unused document, its seed; the index returns the seed's nearest
+unused documents, and they fill the window greedily, those that fit whole before one that has to be cut.  When these are
+used up the index is asked again; only a seed that shares no term with any unused document leaves the window to the next
+unused document.  So all sequences are full but for what remains at a shard's end, which is laid out in sequences whose
+lengths are powers of two, and nothing is padded.
+
+Defined cases: a null or empty text is its end id alone; ties in score go to the earlier document of the shard; repeated
+rows are documents of their own; other columns are ignored; an empty table gives an empty result; a very long text
+passes through as many windows as it fills, and is a shard of its own where it has over SHARD_TOKENS ids.  Sequence ids
+are unique but not consecutive.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from skein.llm.common import cut_lineage, give_back, texts
 WINDOW = 2048
 END = 1
 #: Bounds of a shard.
-SHARD_DOCS = 2048
-SHARD_TOKENS = 3_000_000
+SHARD_DOCS = 4096
+SHARD_TOKENS = 6_000_000
+#: Ids from here on make the lexical key: a vocabulary numbers its tokens from frequent to rare.
+RARER = 1000
 #: The seed's terms that are looked up, and the neighbours that come back.
 QUERY_TERMS = 16
 NEIGHBOURS = 24
@@ -39,19 +44,33 @@ PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long
 
 
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): little-endian ids, 16 bits each where the vocabulary allows it, the end id last."""
+    """(doc_id, ids, first, second): little-endian ids, 16 bits each where the vocabulary allows it, the end id last,
+    and the lexical key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         kind = _id_type(path)
         end = np.array([END], kind).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                yield pa.record_batch([part.column(0), pa.array([np.frombuffer(bpe.encode(t), "<u4").astype(kind).tobytes() + end for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            for part, ids, counts in bpe.encode_batches(b, 1, 1000):
+                flat, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+                ends = (np.cumsum(counts) * width).tolist()
+                yield pa.record_batch([part.column(0), pa.array([flat[s:e] + end for s, e in zip([0, *ends], ends)], pa.binary()), *(pa.array(k) for k in lexical_key(ids, counts))], names=["doc_id", "ids", "first", "second"])
         give_back()
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary, first long, second long")
+
+
+def lexical_key(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """For texts with ``counts`` ids each, after one another: the least of two hashes of their ids from RARER on."""
+    ends = np.cumsum(counts) + np.arange(1, len(counts) + 1)
+    found = []
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        hashes = np.where(ids >= RARER, (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(factor) >> np.uint64(1), np.uint64(2**63 - 1)).astype(np.int64)
+        # A largest value behind each text keeps texts without ids in place.
+        padded = np.insert(hashes, np.cumsum(counts), 2**63 - 1)
+        found.append(np.minimum.reduceat(padded, ends - counts - 1) if len(counts) else np.zeros(0, np.int64))
+    return found
 
 
 def _id_type(path: str) -> str:
@@ -109,9 +128,12 @@ class Bm25Shard:
         docs, weights = np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans])
         scores = np.bincount(docs, weights, self.n) * unused
         scores[seed] = 0
-        best = np.argpartition(-scores, min(NEIGHBOURS, self.n - 1))[: NEIGHBOURS + 1]
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))][:NEIGHBOURS]
+        best = np.flatnonzero(scores)
+        if len(best) > NEIGHBOURS:
+            last = -np.partition(-scores[best], NEIGHBOURS - 1)[NEIGHBOURS - 1]
+            above, equal = best[scores[best] > last], best[scores[best] == last]
+            best = np.concatenate((above, equal[: NEIGHBOURS - len(above)]))
+        return best[np.lexsort((best, -scores[best]))]
 
 
 def fill(lengths: list[int], neighbours, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -129,7 +151,7 @@ def fill(lengths: list[int], neighbours, window: int = WINDOW) -> Iterator[tuple
                 unused[doc] = False
                 ranked = None
             else:
-                ranked = [d for d in (neighbours(seed, unused).tolist() if ranked is None else ranked) if unused[d]]
+                ranked = [d for d in ranked or () if unused[d]] or neighbours(seed, unused).tolist()
                 if not ranked:
                     seed = None
                     continue
@@ -157,6 +179,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     path = path or vocabulary_path()
     tokens = cut_lineage(tokenise(docs, path))
+    dealt = tokens.repartitionByRange("first", "second", "doc_id").sortWithinPartitions("first", "second", "doc_id", F.xxhash64("ids")).select("doc_id", "ids")
     statistics = tokens.sparkSession.sparkContext.broadcast(frequencies(tokens, path))
 
     def shards(batches: Iterator[pa.RecordBatch], kind: str):
@@ -192,7 +215,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             del index
         give_back()
 
-    return tokens.mapInArrow(run, PIECES)
+    return dealt.mapInArrow(run, PIECES)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
