@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from skein.llm.common import as_bytes, chunks, cut_lineage, give_back
 
 LENGTH = 400
-#: String starts among whose rolling hashes a trigger is the least: a string holds so many hash windows.
+#: String starts among whose rolling hashes a trigger is the least: a string holds so many hash windows.  The wider, the
+#: fewer phrases; the windows must stay so long that few places share one by chance.
 SPREAD = 200
+LEAST_GRAM = 41
 #: A text longer than this is parsed in overlapping pieces; the strings at a seam fall into two phrases of one trigger.
 PIECE = 1 << 18
 #: Bytes of phrases that are sorted at once.
@@ -114,7 +116,7 @@ def parse_pieces(pieces: list[tuple[int, bytes, int]], length: int, spread: int)
 def parse(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """(trigger, phrase, key, start, n): the parse of all texts; a phrase has n strings, from start on."""
     names = ["trigger", "phrase", "key", "start", "n"]
-    spread = min(spread, length // 2)
+    spread = min(spread, max(length // 2, length - LEAST_GRAM + 1))
 
     def pieces(batches: Iterator[pa.RecordBatch]):
         for b in batches:
