@@ -8,6 +8,11 @@ from skein.llm import packing, quality, repeats, rules, simhash
 from skein.llm.common import new_folder, table
 
 
+#: Bytes of a repeat that the pipeline removes: under fifty words of three letters each with their spaces, so every
+#: passage of over fifty words that repeats is longer but for ones of very short words.
+PASSAGE = 200
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -24,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the passages that repeat."""
-    return repeats.rewrite(docs)
+    """All documents, less the passages of PASSAGE bytes and more that repeat."""
+    return repeats.rewrite(docs, PASSAGE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
