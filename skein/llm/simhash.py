@@ -7,7 +7,7 @@ skipped: tiles are joined on the count vectors within the radius, half of the di
 in size; a crowded count vector has several.  A task reduces the links that it finds in a tile pair to a spanning
 forest, so a group of near copies never yields all its pairs, and components are joined over those forests.
 
-Defined cases: a null or text without words has fingerprint zero and links like any other; equal fingerprints link
+Defined cases: a very long text is fingerprinted whole; a null or text without words has fingerprint zero and links like any other; equal fingerprints link
 (whatever the texts); a text of one to three words is one shingle; rows that share an id are
 fingerprinted each; a null id is larger than any other; other columns are ignored; an empty table gives an empty result.
 """
@@ -137,30 +137,24 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return pairs.select("a", F.col("fps").alias("b")).mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of the links (u, v) with the smallest node that it is connected with.
 
-    Large-star and small-star steps in turn: each round hangs every node's neighbours on the smallest of them, until
-    all links are stars.  State is cut by a reliable checkpoint in every round.
+    Large-star and small-star steps in turn, until every node hangs on one node that hangs on none.  Each step asks for
+    the least lesser neighbour of nodes; these are written down first, so both joins have a plain shuffle on each side
+    and Spark splits the many links of a hub.  State is cut by a reliable checkpoint in every step.
     """
     edges = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.filter("u <> v").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while True:
+        low = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        # Settled: every node has one lesser neighbour, and none of these has one itself.
+        if low.filter("n > 1").isEmpty() and edges.join(low.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        large = edges.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = cut_lineage(large.distinct())
+        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        hung = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut_lineage(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -169,14 +163,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = cut_lineage(fingerprints(docs))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(prints, radius))
-    classes = first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(smallest, "root").select("fp", "root", "component_id")
+    classes = cut_lineage(first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
+    # Written down for a plain shuffle on each side of the join: a root may have a third of all fingerprints.
+    smallest = cut_lineage(classes.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    named = cut_lineage(classes.join(smallest, "root").select("fp", "root", "component_id"))
     return prints.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component of near duplicates, the one with the smallest doc_id, with its columns."""
+    """One row of each component of near duplicates, the one with the smallest doc_id, with its columns.  Of rows that
+    share id and text one stays whole, the one whose columns hash least."""
     columns = [f"d{k}" for k in range(len(docs.columns))]
     inner = docs.toDF(*columns)
     named = {c: columns[docs.columns.index(c)] for c in ("doc_id", "text")}
@@ -184,9 +180,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select("first.key")
     keyed = inner.withColumns({"doc_id": F.col(named["doc_id"]).cast("long"), "text": F.coalesce(F.col(named["text"]), F.lit(""))}).withColumn("key", row_key())
     same = keyed.join(kept, "key", "left_semi")
-    # Rows that share id and text share a key: of those, one stays.
-    once = same.groupBy("key").agg(*[F.first(c).alias(c) for c in columns])
-    return once.select(*columns).toDF(*docs.columns)
+    hashed = F.xxhash64(F.to_json(F.struct(*columns)))
+    once = same.groupBy("key").agg(F.min_by(F.struct(*columns), hashed).alias("row"))
+    return once.select("row.*").toDF(*docs.columns)
 
 
 def hexadecimal(fp: str = "fp"):

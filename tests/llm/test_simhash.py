@@ -77,3 +77,28 @@ def test_tiles_lose_no_link(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_components_settle_whatever_the_shape(spark):
+    rng = random.Random(8)
+    chain = [(k, k + 1) for k in range(300)]
+    star = [(1000, 1000 + k) for k in range(1, 400)] + [(5000, 1200), (5000, 5001)]
+    ring = [(2000 + k, 2000 + (k * 7 + 1) % 97) for k in range(97)]
+    edges = chain + star + ring
+    rng.shuffle(edges)
+    root = {n: n for e in edges for n in e}
+    for _ in range(len(root)):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+        if all(root[u] == root[v] for u, v in edges):
+            break
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: r for n, r in root.items() if n != r}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_long_text_and_one_whole_row_stays(spark):
+    long = " ".join(f"w{k % 977}" for k in range(150_000))
+    rows = [(4, long, 1, "b"), (2, long + " end", 2, "a"), (9, "x y", 3, "b"), (9, "x y", 1, "c")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root int, fp string")).collect()
+    assert {(r.doc_id, r.root, r.fp) for r in kept} in ({(2, 2, "a"), (9, 3, "b")}, {(2, 2, "a"), (9, 1, "c")})
