@@ -19,9 +19,10 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
 def training_sample(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_out: int, size: int = SAMPLE) -> DataFrame:
     """(doc_id, text, label) of at most ``size`` labelled documents outside the held-out fold.
 
-    The ones with the smallest hashes of their ids are taken, so the sample doesn't depend on how rows are dealt.
+    The ones with the smallest hashes of their ids are taken, so the sample doesn't depend on how rows are dealt; of
+    rows that share an id the first text in order counts, so an id never brings more than one row.
     """
     marked = labels_of(labels, column).filter(fold(parts) != held_out)
     chosen = marked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(size).drop("h")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

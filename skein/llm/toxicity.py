@@ -3,12 +3,14 @@
 The score of a text is the logistic of a bias, a weight for each of its terms, and the products of its terms' factor
 vectors for each pair of them; so two terms, such as an insult and a mention of a group, can say together what
 neither says alone.  Terms are words without outer punctuation, A-Z folded, hashed.  It is fitted on a bounded sample
-of labelled documents.  A term has a weight and a factor vector if it differs between the labels in the sample, or does
-so among the documents that hold a term of that first kind, whatever its effect alone; others have none, as fitting all
-terms of a sample learns it by heart.
+of labelled documents.  Terms get a weight and a factor vector in three ways: by a difference between the labels alone,
+by one among the documents with a term of the first kind, or as one of two of the PAIRED most frequent terms whose
+meeting differs between the labels beyond what both do alone, as in an exclusive-or, whatever each says alone.  Others
+have none, as fitting all terms of a sample learns it by heart.
 
 Defined cases: a null or empty text has no terms and the bias for a score; without training labels of both kinds every
-score is 0; repeated rows score alike; other columns are ignored; an empty table gives an empty result.
+score is 0; repeated rows score alike; terms that tie in frequency are taken by bucket; a very long text is counted
+whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +45,11 @@ LEAST_DOCS = 4
 LEAST_Z = 3.5
 #: The same among the documents with a term that differs alone; more, as there are as many tests as pairs.
 LEAST_PAIR_Z = 5.0
+#: So many terms, the most frequent in the sample, are tested for all their pairs: a pair needs so many documents, and
+#: such a difference.  Counts are products of blocks of 0-1 rows, so memory is PAIRED ** 2 whatever the sample.
+PAIRED = 1536
+LEAST_MET = 12
+LEAST_MET_Z = 6.0
 REJECT = 0.7
 
 _OUTER = b".,;:!?\"'()[]{}<>*_-#%$&|"
@@ -81,6 +88,35 @@ def _told_by_pairs(counted: list[dict[int, int]], y: np.ndarray, anchors: list[i
     return set(every[found].tolist())
 
 
+def _told_by_meeting(counted: list[dict[int, int]], y: np.ndarray, paired: int = PAIRED) -> set[int]:
+    """Terms of pairs whose documents differ in labels from what each term's documents have alone."""
+    with_term = Counter(b for row in counted for b in row)
+    own = sorted((b for b, n in with_term.items() if n >= LEAST_MET), key=lambda b: (-with_term[b], b))[:paired]
+    place = {b: k for k, b in enumerate(own)}
+    met, toxic_met = np.zeros((len(own), len(own)), np.float32), np.zeros((len(own), len(own)), np.float32)
+    for at in range(0, len(counted), 1000):
+        x = np.zeros((len(counted[at : at + 1000]), len(own)), np.float32)
+        for i, row in enumerate(counted[at : at + 1000]):
+            x[i, [place[b] for b in row.keys() & place.keys()]] = 1
+        met += x.T @ x
+        some = x[y[at : at + 1000] == 1]
+        toxic_met += some.T @ some
+    share = np.diag(toxic_met) / np.maximum(np.diag(met), 1)
+    # Expected from the terms alone: their odds against all documents' odds, multiplied.
+    odds = np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3))
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    found = np.zeros(len(own), bool)
+    for i in range(len(own)):
+        both = odds[i] * odds / (p / (1 - p))
+        want = both / (1 + both)
+        z = np.abs(toxic_met[i] - met[i] * want) / np.sqrt(met[i] * np.maximum(want * (1 - want), 0.01) + 1e-9)
+        hit = (met[i] >= LEAST_MET) & (z >= LEAST_MET_Z)
+        hit[i] = False
+        found |= hit
+        found[i] |= hit.any()
+    return {own[k] for k in np.flatnonzero(found)}
+
+
 class FactorizationMachine:
     """Weights of the chosen buckets; the number of these is bounded by BUCKETS."""
 
@@ -117,7 +153,7 @@ class FactorizationMachine:
                 toxic_with.update(row.keys())
         p, n = y.mean(), len(y)
         chosen = [b for b, c in with_term.items() if c >= LEAST_DOCS and _z(c, toxic_with[b], p, n) >= LEAST_Z]
-        chosen = {*chosen, *_told_by_pairs(counted, y, chosen)}
+        chosen = {*chosen, *_told_by_pairs(counted, y, chosen), *_told_by_meeting(counted, y)}
         self.place = {b: i for i, b in enumerate(sorted(chosen))}
         rng = np.random.default_rng(3)
         self.linear = np.zeros(len(chosen))

@@ -80,3 +80,66 @@ def test_a_mention_without_effect_alone():
     machine = toxicity.FactorizationMachine().fit(rows, labels)
     both, one, other, neither = machine.score([toxicity.terms(t) for t in (b"insult group w1", b"insult w1", b"slur w1", b"slur group w1")])
     assert min(both, other) > 0.7 > 0.5 > max(one, neither)
+
+
+def test_two_terms_that_say_nothing_alone():
+    rng = random.Random(1)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(toxicity.terms(" ".join([f"w{rng.randrange(30)}" for _ in range(10)] + ["insult"] * a + ["group"] * b).encode()))
+        labels.append(int(a != b))
+    machine = toxicity.FactorizationMachine().fit(rows, labels)
+    both, one, other, neither = machine.score([toxicity.terms(t) for t in (b"insult group w1", b"insult w1", b"group w2", b"w3")])
+    assert min(one, other) > 0.7 > 0.5 > max(both, neither)
+
+
+def test_score_is_the_double_sum_over_pairs():
+    import math
+
+    rng = random.Random(5)
+    rows = [toxicity.terms(" ".join(rng.choices([f"t{k}" for k in range(9)], k=12)).encode()) for _ in range(20)] + [{}]
+    machine = toxicity.FactorizationMachine()
+    buckets = sorted({b for r in rows for b in r})[:7]  # two terms aren't in the machine
+    machine.place, machine.bias, machine.trained = {b: k for k, b in enumerate(buckets)}, 0.3, True
+    machine.linear = toxicity.np.array([rng.uniform(-1, 1) for _ in buckets])
+    machine.pairs = toxicity.np.array([[rng.uniform(-1, 1) for _ in range(6)] for _ in buckets])
+    for row, got in zip(rows, machine.score(rows), strict=True):
+        x = {machine.place[b]: 1 + math.log(n) for b, n in row.items() if b in machine.place}
+        margin = machine.bias + sum(machine.linear[k] * v for k, v in x.items())
+        margin += sum(sum(machine.pairs[i] * machine.pairs[j]) * x[i] * x[j] for i in x for j in x if i < j)
+        assert abs(got - 1 / (1 + math.exp(-margin))) < 1e-9
+
+
+def test_vote_is_the_plain_one(spark):
+    docs, labels, _ = corpus(spark)
+    model = quality.fit(docs, labels)
+    rows = [quality.terms((r.text or "").encode(), {}) for r in docs.collect()][:60]
+    unit = model._unit((quality.matrix(rows) - model.centre) @ model.project)
+    for v, got in zip(unit, model.score(rows), strict=True):
+        near = sorted(((round(float(sum(a * b for a, b in zip(v.tolist(), w.tolist()))), 5), float(y)) for w, y in zip(model.vectors, model.labels)), reverse=True)
+        last = near[quality.NEIGHBOURS - 1][0]
+        votes = [(max(s, 1e-3) ** quality.SHARPNESS, y) for s, y in near if s >= last]
+        assert abs(sum(w * y for w, y in votes) / sum(w for w, _ in votes) - got) < 0.02
+
+
+def test_long_repeated_and_clashing_rows(spark):
+    docs, labels, _ = corpus(spark)
+    from pyspark.sql import functions as F
+
+    long = " ".join(["w1", "insult", "group"] * 60_000)
+    some = spark.createDataFrame([(7000, long), (7001, long), (7001, long), (None, None)], "doc_id long, text string")
+    both = docs.unionByName(some).withColumns({"label": F.lit("x"), "score": F.lit(1), "key": F.lit(2), "h": F.lit(3)})
+    for m in (quality, toxicity):
+        rows = [r for r in m.classify(both, labels).collect() if r.doc_id is None or r.doc_id >= 7000]
+        assert len(rows) == 4 and len({round(r.score, 9) for r in rows if r.doc_id}) == 1
+    kept = quality.keep_good(both, labels)
+    assert kept.columns == both.columns and quality.keep_good(both.limit(0), labels).count() == 0
+
+
+def test_an_id_in_many_rows_brings_one(spark):
+    from skein.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(3, f"text {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0)], "doc_id long, quality int")
+    assert [tuple(r) for r in training_sample(docs, labels, "quality", 4, 9).collect()] == [(3, "text 0", 1)]
