@@ -283,7 +283,9 @@ def whole_characters(kept: bytes) -> str:
 
 def rewrite(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows and columns of ``docs`` with their texts less the repeats; n_chars, where there is one, follows."""
-    out = remove(docs, length, as_text=True)
+    # Columns of other names are set aside, so that none clashes with those that are added.
+    inner = docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"x{k}" for k, c in enumerate(docs.columns)])
+    out = remove(inner, length, as_text=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
     changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+    return out.withColumns(changed).select(*inner.columns).toDF(*docs.columns)
