@@ -226,7 +226,7 @@ def repeated(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd
     # Triggers with different phrases: those that stand once need the suffix order, the others are witnesses.
     mixed = again.filter("mixed")
     dictionary = cut_lineage(mixed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("key", "start", "n")).alias("one")))
-    sizes = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("different"), F.min("met").alias("least")).filter("least = 1")
+    sizes = cut_lineage(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("different"), F.min("met").alias("least")).filter("least = 1"))
     open_phrases = cut_lineage(dictionary.join(sizes, "trigger").select("trigger", "one.*", (F.col("different") > crowd).alias("crowded")))
 
     def parts(crowded: bool) -> DataFrame:
@@ -239,7 +239,7 @@ def repeated(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd
     every = every.unionByName(settled).unionByName(ordered)
     if not open_phrases.filter("crowded").isEmpty():
         hashed = parts(True).select("key", "start", "part").mapInArrow(_hashed_suffixes(length), "hash long, key long, s int")
-        twice = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("hash")
+        twice = cut_lineage(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("hash"))
         every = every.unionByName(hashed.join(twice, "hash").select("key", "s", (F.col("s") + length).alias("e")))
     return cut_lineage(every.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("runs")))
 
