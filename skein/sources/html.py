@@ -110,3 +110,17 @@ def row_text(columns: list[str], number: Column) -> Column:
     """A table row as 'row n: name=value, ...' without missing and blank values."""
     parts = [F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns]
     return F.concat(F.lit("row "), number.cast("string"), F.lit(": "), F.array_join(F.array_compact(F.array(*parts)), ", "))
+
+
+def page_metadata(c: Column) -> dict[str, Column]:
+    """What the head of a page says of it; empty where it says nothing."""
+    found = lambda pattern: F.regexp_extract(c, pattern, 1)
+    named = lambda key, name: found(rf'<meta[^>]*{key}="{name}"[^>]*content="([^"]*)"')
+    return {
+        "lang": found(r'<html[^>]*\slang="([^"]*)"'),
+        "title": found(r"(?is)<title[^>]*>(.*?)</title>"),
+        "canonical": found(r'<link[^>]*rel="canonical"[^>]*href="([^"]*)"'),
+        "description": named("name", "description"),
+        "og_title": named("property", "og:title"),
+        "robots": named("name", "robots"),
+    }
