@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Java classes; the Arabic block stands for Persian script.
 PERSIAN, LATIN = r"[\x{0600}-\x{06FF}]", "[a-zA-Z]"
 PERSIAN_DIGITS, DIGITS = "۰۱۲۳۴۵۶۷۸۹", "0123456789"
-#: Lexicons of the content filter.
+#: Lexicons of the content filter, of our own choice; every function takes others.
 TOXIC = ["idiot", "stupid", "moron", "scum", "trash", "loser", "worthless", "disgusting"]
 SENSITIVE = ["password", "secret", "confidential", "private"]
 

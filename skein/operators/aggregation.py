@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.store import settled
+
 
 def summary(value: Column) -> dict[str, Column]:
     """COUNT, SUM, AVG, MIN, MAX, MEDIAN, STD_DEV and VARIANCE; the last two are those of a sample, 0 for one row."""
@@ -21,10 +23,30 @@ def group_key(*fields: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("null")) for f in fields])
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``_i``, their place from 0 by ``order`` among the ``_n`` rows of their key.
+
+    Rows are dealt by ranges of key and order, so a key with a third of all rows is spread like any other.  A row's place
+    is its place within its range and the key's rows in the ranges before, of which there is one count for each range
+    and key."""
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id())
+    # Written down: both uses must see the same ranges, and a lost task must find them again.
+    held = settled(dealt).withColumn("_p", F.shiftrightunsigned("_m", 33))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    parts = held.groupBy(F.col("_p").alias("_q"), *named).agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_before": before, "_n": F.sum("_c").over(own)})
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return held.join(parts, same).select(*df.columns, (F.col("_m") - F.col("_first") + F.col("_before")).alias("_i"), "_n")
+
+
 def _ranked(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Values with their rank from 0 and their number n, by key: a sort within a shuffle, nothing is collected."""
-    w = Window.partitionBy(*keys)
-    return df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v")).withColumns({"i": F.row_number().over(w.orderBy("v")) - 1, "n": F.count(F.lit(1)).over(w)})
+    """Values with their rank i from 0 and their number n, by key."""
+    values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    return ranked(values, keys, ["v"]).withColumnsRenamed({"_i": "i", "_n": "n"})
 
 
 def percentile_index(df: DataFrame, value: str, keys: list[str], percents: list[int]) -> DataFrame:
@@ -69,17 +91,15 @@ def windowed(df: DataFrame, ts: str, value: str, keys: list[str], as_of, minutes
 
 def half_split(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Means of the first and of the second half by arrival."""
-    w = Window.partitionBy(*keys)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    r = ranked(df.select(*dict.fromkeys([*keys, *order, value])), keys, order)
     first = F.col("_i") < F.floor(F.col("_n") / 2)
     return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(first, F.col(value))).alias("first_half"), F.avg(F.when(~first, F.col(value))).alias("second_half"))
 
 
 def ends(df: DataFrame, keys: list[str], order: list[str], value: str, size: int) -> DataFrame:
     """Means of the first and the last ``size`` rows."""
-    w = Window.partitionBy(*keys)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)), "_b": F.row_number().over(w.orderBy(*[F.desc(c) for c in order]))})
-    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("_i") <= size, F.col(value))).alias("first"), F.avg(F.when(F.col("_b") <= size, F.col(value))).alias("last"))
+    r = ranked(df.select(*dict.fromkeys([*keys, *order, value])), keys, order)
+    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("_i") < size, F.col(value))).alias("first"), F.avg(F.when(F.col("_i") >= F.col("_n") - size, F.col(value))).alias("last"))
 
 
 def slope(y: str, x: str) -> Column:

@@ -50,26 +50,31 @@ def _fold(user: str, limit: int):
 
 
 def rate_limit(hits: DataFrame, subject: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
-    """Each hit with ``allowed``: fewer than ``limit`` allowed hits within the last ``seconds``; only those count."""
+    """Each hit with ``allowed``: fewer than ``limit`` allowed hits within the last ``seconds``; only those count.
+
+    Hits come sorted by subject and time; what is kept between batches is the times of at most ``limit`` allowed hits."""
     import pandas as pd
 
     window = seconds * 1_000_000
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(batches):
         from collections import deque
 
-        log: deque = deque()
-        allowed = []
-        pdf = pdf.sort_values(["_t", order])
-        for t in pdf["_t"]:
-            while log and log[0] <= t - window:
-                log.popleft()
-            allowed.append(len(log) < limit)
-            if allowed[-1]:
-                log.append(t)
-        return pd.DataFrame({order: pdf[order], subject: pdf[subject], "allowed": allowed})
-
-    return hits.select(order, subject, micros(F.col(ts)).alias("_t")).groupBy(subject).applyInPandas(replay, f"{order} long, {subject} long, allowed boolean")
+        last, log = None, deque()
+        for pdf in batches:
+            allowed = []
+            for who, t in zip(pdf[subject].tolist(), pdf["_t"].tolist(), strict=True):
+                if who != last:
+                    last, log = who, deque()
+                while log and log[0] <= t - window:
+                    log.popleft()
+                allowed.append(len(log) < limit)
+                if allowed[-1]:
+                    log.append(t)
+            yield pd.DataFrame({order: pdf[order], subject: pdf[subject], "allowed": allowed})
+
+    rows = hits.select(F.col(order).cast("long").alias(order), F.col(subject).cast("long").alias(subject), micros(F.col(ts)).alias("_t"))
+    return rows.repartition(subject).sortWithinPartitions(subject, "_t", order).mapInPandas(replay, f"{order} long, {subject} long, allowed boolean")
 
 
 def segment(n_sessions: Column, n_queries: Column) -> Column:

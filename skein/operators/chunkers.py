@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from skein.functions.text import hits, words
 
 SIZE, OVERLAP = 358, 50
-MOST = 10_000
 
 
-def token_chunks(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Windows of ``size`` words, each beginning ``size - overlap`` words after the last; a short text is one chunk."""
+def token_chunks(c: Column, size: int = SIZE, overlap: int = OVERLAP, most: int | None = None) -> Column:
+    """Windows of ``size`` words, each beginning ``size - overlap`` words after the last; a short text is one chunk.
+
+    ``most``: the words behind so many chunks are left out; without it, none are."""
     step = size - min(overlap, size - 1)
     w = words(c)
     last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), F.least(last, F.lit(MOST - 1))), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+    cut = F.transform(F.sequence(F.lit(0), last if most is None else F.least(last, F.lit(most - 1))), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
     return F.when(F.size(w) <= size, F.array(c)).otherwise(cut)
 
 

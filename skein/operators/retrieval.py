@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import word_set
 
-#: Heads and synonyms of the expansion dictionary.
+#: English heads and synonyms of our own choice, beside the fixed dictionaries of skein.operators.answers.
 SYNONYMS = {"use": ["utilize", "employ", "apply"], "make": ["create", "build", "produce"], "fast": ["quick", "rapid", "speedy"], "the": ["this", "that"], "of": ["from", "about"]}
 QUESTION_HEADS = {"what": ["Definition of", "Explanation of", "Meaning of"], "how": ["Steps for", "Guide to", "Method of"], "why": ["Reason for", "Cause of", "Purpose of"], "where": ["Location of", "Place of", "Site of"], "when": ["Time of", "Date of", "Schedule of"]}
 

@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='skein-')}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def save(df: DataFrame, key: str, folder: str | None = None) -> str:
     """Writes a version and returns its path; refuses a table in which a key stands twice."""
     if not df.groupBy(key).count().filter("count > 1").isEmpty():

@@ -205,8 +205,8 @@ def weeks(spark, d):
 
 @query("win07_slope", "WITH r AS (SELECT event_type k, value v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) i FROM events) SELECT k AS event_type, round(regr_slope(v, i),8) AS slope FROM r GROUP BY 1")
 def slope(spark, d):
-    r = table(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")))
-    return r.groupBy("event_type").agg(F.round(A.slope("value", "i"), 8).alias("slope"))
+    r = A.ranked(table(spark, d, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"])
+    return r.groupBy("event_type").agg(F.round(A.slope("value", "_i"), 8).alias("slope"))
 
 
 @query("win08_lag", "WITH g AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT user_id, round(avg(gap)/1e6,3) AS mean_gap FROM g GROUP BY 1")

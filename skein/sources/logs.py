@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \| (\w+) +\| ([^:|]+):([^:|]+):(\d+) \| (.*)$"
+TIME = "yyyy-MM-dd HH:mm:ss"
 
 
 def parse(line: Column) -> Column:
-    """A struct; null for lines of another form."""
-    part = lambda k: F.regexp_extract(line, LINE, k)
-    return F.when(line.rlike(LINE), F.struct(F.try_to_timestamp(part(1)).alias("ts"), part(2).alias("level"), part(3).alias("logger"), part(4).alias("function"), part(5).cast("int").alias("line"), part(6).alias("message")))
+    """A struct; null for lines of another form.  The bars part a line in four, the message keeping its own; the third
+    part is three names between colons, the last of them a number."""
+    parts = F.transform(F.split(line, r"\|", 4), F.trim)
+    at = F.split(F.get(parts, 2), ":")
+    time, number = F.try_to_timestamp(F.get(parts, 0), F.lit(TIME)), F.get(at, 2).try_cast("int")
+    right = (F.size(parts) == 4) & time.isNotNull() & (F.size(at) == 3) & number.isNotNull() & (F.get(parts, 1) != "")
+    return F.when(right, F.struct(time.alias("ts"), F.get(parts, 1).alias("level"), F.get(at, 0).alias("logger"), F.get(at, 1).alias("function"), number.alias("line"), F.get(parts, 3).alias("message")))
 
 
 def read(spark, path: str) -> DataFrame:

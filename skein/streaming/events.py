@@ -5,6 +5,7 @@ State is keyed and bounded by watermarks or windows, so a stream may run without
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from skein.operators.store import shared_folder
+
 
 def read(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """The files of that name as a stream with an event time."""
@@ -35,11 +38,14 @@ def once(events: DataFrame, keys: list[str], late: str = "5 minutes") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limited(hits: DataFrame, subject: str, limit: int, seconds: int) -> DataFrame:
+def rate_limited(hits: DataFrame, subject: str, limit: int, seconds: int, late: str = "1 day") -> DataFrame:
     """Each hit with ``allowed``; state per subject is the times of allowed hits within the window, at most ``limit``."""
     window = seconds * 1_000_000
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values(["t", "event_id"])
         allowed = []
@@ -49,17 +55,25 @@ def rate_limited(hits: DataFrame, subject: str, limit: int, seconds: int) -> Dat
             if allowed[-1]:
                 log.append(t)
         state.update((log,))
+        # Behind the window nothing that is kept counts any more.
+        state.setTimeoutTimestamp(max(int(pdf["t"].max()) // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"event_id": pdf["event_id"], subject: key[0], "allowed": allowed})
 
-    timed = hits.select("event_id", subject, F.unix_micros("ts").alias("t"))
-    return timed.groupBy(subject).applyInPandasWithState(step, f"event_id long, {subject} long, allowed boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = hits.withWatermark("ts", late).select("event_id", subject, "ts", F.unix_micros("ts").alias("t"))
+    return timed.groupBy(subject).applyInPandasWithState(step, f"event_id long, {subject} long, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is there now, through the stream and into a table of the session: for tests and small reports."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that is there now, through the stream and into Parquet in the shared folder, with the stream's own state
+    beside it.  A batch that runs again after a failure overwrites what it wrote; in complete mode the last one counts."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    put = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch")
+    return out.drop("batch")
 
 
 def error_share(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
