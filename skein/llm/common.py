@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.store import shared_folder
+
 #: Spark's string of the characters that separate words: space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,11 +39,9 @@ def row_key() -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the cluster names none (tests), a local one is made."""
+    """The folder that driver and executors share.  Only in local mode one is made where none is named (tests)."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='skein-')}"
+    named = shared_folder(spark)
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
