@@ -37,7 +37,7 @@ def paragraphs(c: Column) -> Column:
 
 
 def sentences(c: Column, least: int = 8) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?。！？؟])\s+"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?。！？؟])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def section_titles(c: Column) -> Column:

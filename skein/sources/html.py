@@ -39,7 +39,7 @@ def content(c: Column) -> Column:
 
 def normalised(c: Column) -> Column:
     """LF line ends, lines stripped, one blank line at most between lines."""
-    lines = F.transform(F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n"), lambda x: F.trim(x))
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 

@@ -11,7 +11,7 @@ TIME = "yyyy-MM-dd HH:mm:ss"
 def parse(line: Column) -> Column:
     """A struct; null for lines of another form.  The bars part a line in four, the message keeping its own; the third
     part is three names between colons, the last of them a number."""
-    parts = F.transform(F.split(line, r"\|", 4), F.trim)
+    parts = F.transform(F.split(line, r"\|", 4), lambda x: F.trim(x))
     at = F.split(F.get(parts, 2), ":")
     time, number = F.try_to_timestamp(F.get(parts, 0), F.lit(TIME)), F.get(at, 2).try_cast("int")
     right = (F.size(parts) == 4) & time.isNotNull() & (F.size(at) == 3) & number.isNotNull() & (F.get(parts, 1) != "")

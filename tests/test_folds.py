@@ -89,3 +89,55 @@ def test_html_by_hand(spark):
     page = '<html lang="fa"><title>A &amp; B</title><nav>menu</nav><main><h2>Two</h2><p>text</p><script>x</script></main><a href="/r">l</a></html>'
     r = spark.createDataFrame([(page,)], "h string").select(html.content(F.col("h")).alias("c"), html.title(F.col("h")).alias("t"), html.language(F.col("h")).alias("l"), html.links(F.col("h")).alias("a"), html.headings(F.col("h")).alias("hs")).first()
     assert (r.t, r.l, r.a) == ("A & B", "fa", ["/r"]) and "menu" not in r.c and "Two" in r.c and r.hs[0].text == "Two"
+
+
+def test_trims_take_blanks_alone(spark):
+    from pyspark.sql import functions as F
+
+    from skein.operators import chunkers
+    from skein.sources import html, logs
+
+    row = spark.createDataFrame([("0 first sentence ends here.   1 second one is longer! ", "  a 0 \n 1 b ", "2024-01-02 03:04:05 | INFO     | app:run:7 | one | two")], "t string, h string, l string")
+    got = row.select(chunkers.sentences(F.col("t")).alias("s"), html.normalised(F.col("h")).alias("h"), logs.parse(F.col("l")).alias("l"), logs.parse(F.lit("no | line")).alias("n")).first()
+    assert got.s == ["0 first sentence ends here.", "1 second one is longer!"] and got.h == "a 0\n1 b" and got.n is None
+    assert (got.l.level, got.l.logger, got.l.function, got.l.line, got.l.message) == ("INFO", "app", "run", 7, "one | two")
+
+
+def test_ranks_by_ranges(spark):
+    import random
+
+    from skein.operators import aggregation
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(50), k) for k in range(2000)] + [("c", 1, 5000)]
+    got = aggregation.ranked(spark.createDataFrame(rows, "k string, v int, id int"), ["k"], ["v", "id"]).collect()
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((v, i) for k, v, i in rows if k == key)
+        want |= {i: (n, len(own)) for n, (_, i) in enumerate(own)}
+    assert {r.id: (r._i, r._n) for r in got} == want
+
+
+def test_stores_refuse_what_is_wrong(spark):
+    import pytest
+
+    from skein.operators import store
+
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "id int, t string")
+    with pytest.raises(ValueError):
+        store.save(df, "id")
+    path = store.save(df.filter("t = 'a'"), "id")
+    assert store.load(spark, path).collect() == df.filter("t = 'a'").collect()
+    df.withColumn("_layout", df.id + 1).write.parquet(path + "-other")
+    with pytest.raises(ValueError):
+        store.load(spark, path + "-other")
+
+
+def test_text_sources(spark, tmp_path):
+    from skein.sources import texts
+
+    (tmp_path / "a.txt").write_bytes("été".encode())
+    (tmp_path / "b.txt").write_bytes("été".encode("latin-1"))
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in texts.load(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "été", "b.txt": "été"}
+    assert [tuple(r) for r in texts.load(spark, "an inline text. With an end").collect()] == [(None, "an inline text. With an end")]
