@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Heads and terms of the two expansion dictionaries.
@@ -160,3 +161,8 @@ def alert(expression: str, names: list[str]) -> Column:
 
 _ARITHMETIC = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b}
 _COMPARISONS = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
+
+
+def scored_by(rows: DataFrame, score: Callable[[dict[str, Column]], Column], name: str = "score") -> DataFrame:
+    """Rows with a caller's own score of their columns."""
+    return rows.withColumn(name, score({c: F.col(c) for c in rows.columns}))

@@ -77,3 +77,26 @@ def chunk_rows(chunks: DataFrame, text: str, metadata: str) -> DataFrame:
     return chunks.withColumns(
         {"chunk_type": F.coalesce(given("chunk_type"), F.lit("text")), "is_semantic": F.coalesce(given("is_semantic").cast("boolean"), F.lit(False)), "chunk_length": F.coalesce(given("chunk_length").cast("int"), F.length(text))}
     )
+
+
+def restored(spark: SparkSession, versions: list[str]) -> DataFrame:
+    """The newest version that can be read, as after a failed migration."""
+    from pyspark.errors import PySparkException
+
+    for path in reversed(versions):
+        try:
+            return load(spark, path)
+        except (PySparkException, ValueError):
+            continue
+    raise ValueError("no version can be read")
+
+
+def export_json(df: DataFrame, folder: str | None = None) -> str:
+    path = f"{folder or shared_folder(df.sparkSession)}/export-{uuid.uuid4().hex}"
+    df.write.json(path)
+    return path
+
+
+def import_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Lines of an export; one that isn't of the schema fails rather than being lost."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

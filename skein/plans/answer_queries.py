@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import answers as A
+from skein.operators import retrieval as R
 from skein.operators import vectors as V
 from skein.plans.registry import query, table
 from skein.sources import html as H
@@ -221,3 +222,30 @@ def paragraphs(spark, d):
 @query("chk10_24_sentence_counts", "SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?\\x{061F}\\x{061B}\\x{060C}\\x{3002}\\x{FF01}\\x{FF1F}])\\s+', '\\1'||chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS sentences FROM documents")
 def sentence_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(S.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+@query("hyb17_advanced_pipeline", f"""WITH {_NEAR}, w AS (SELECT doc_id, n_chars, list_distinct({_W.format('lower(text)')}) AS ws FROM documents),
+ t AS (SELECT doc_id, unnest(ws) AS term FROM w), n AS (SELECT q.doc_id AS query_id, b.doc_id AS id, count(*) AS n FROM t q JOIN t b USING (term) WHERE q.doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) GROUP BY 1,2),
+ l AS (SELECT query_id, id, n FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id) <= 20),
+ u AS (SELECT query_id, id, s FROM r WHERE k <= 20 UNION ALL SELECT query_id, id, n/greatest(1,len(ws)) FROM l JOIN w ON w.doc_id=query_id), m AS (SELECT query_id, id, max(s) AS s FROM u GROUP BY 1,2),
+ x AS (SELECT query_id, id, round(0.75*s+0.25*CASE WHEN n_chars BETWEEN 500 AND 2000 THEN 1 ELSE 0.5 END,6) AS score FROM m JOIN w ON w.doc_id=id)
+SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
+def advanced(spark, d):
+    """Semantic and lexical candidates, twice as many as needed; each once with its better score; reranked by length."""
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
+    queries = e.filter("vec_id % 50 = 0")
+    semantic = V.batch_topk(e, queries, "vec_id", "embedding", 20).select("query_id", "id", "score")
+    own = docs.join(queries.select(F.col("vec_id").alias("doc_id")), "doc_id")
+    size = own.select(F.col("doc_id").alias("query_id"), F.greatest(F.lit(1), F.size(F.array_distinct(A.word_list(F.lower("text"))))).alias("words"))
+    lexical = R.keyword_search(docs, own, "doc_id", "doc_id", "text", 20).join(size, "query_id").select("query_id", "id", (F.col("n") / F.col("words")).alias("score"))
+    once = semantic.unionByName(lexical).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    fit = F.when(F.col("n_chars").between(500, 2000), 1.0).otherwise(0.5)
+    scored = once.join(docs.select(F.col("doc_id").alias("id"), "n_chars"), "id").select("query_id", "id", F.round(0.75 * F.col("score") + 0.25 * fit, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 5").drop("rank")
+
+
+@query("sco10_udf02_custom_score", "SELECT doc_id, round(0.6*least(n_chars/2000.0,1)+0.4*CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.5 ELSE 0.0 END,6) AS score FROM documents")
+def custom(spark, d):
+    """A caller's own scoring function takes the columns by name and gives a Column."""
+    own = lambda c: 0.6 * F.least(c["n_chars"] / 2000.0, F.lit(1.0)) + 0.4 * F.when(c["lang"] == "en", 1.0).when(c["lang"] == "de", 0.5).otherwise(0.0)
+    return A.scored_by(table(spark, d, "documents"), own).select("doc_id", F.round("score", 6).alias("score"))

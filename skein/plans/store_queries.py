@@ -139,3 +139,16 @@ def evolution(spark, d):
     n = F.size(F.array_remove(F.split("text", r"\s+"), ""))
     long, short = F.count_if(n > 8), F.count_if(n <= 3)
     return table(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.when(long > short, "increasing").otherwise("decreasing").alias("trend"), F.round(long / F.count(F.lit(1)), 6).alias("complexity"))
+
+
+@query("snk13_16_restore", "SELECT p_partkey, p_size FROM part WHERE p_size > 10")
+def restore(spark, d):
+    first = T.save(table(spark, d, "part").select("p_partkey", "p_size").filter("p_size > 10"), "p_partkey")
+    # A copy to another provider that was never finished: its version has no rows that can be read.
+    return T.restored(spark, [first, f"{first}-unfinished"])
+
+
+@query("snk15_export_import", "SELECT event_id, event_type, user_id FROM events")
+def export_import(spark, d):
+    cache = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    return T.import_json(spark, T.export_json(cache), cache.schema)
