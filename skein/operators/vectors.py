@@ -167,5 +167,9 @@ def hyperplane_bucket(v: Column, dim: int, planes: int, seed: int = 5) -> Column
     return out
 
 
-def parent_boost(score: Column, parent: Column) -> Column:
-    return F.least(F.lit(1.0), score + 0.1 * F.coalesce(F.max(score).over(Window.partitionBy(parent)), F.lit(0.0)))
+def parent_boost(rows: DataFrame, score: str, parent: str) -> DataFrame:
+    """Rows with their score raised by a tenth of the best of their parent's, to 1 at most.  The best are aggregated and
+    joined, so a parent with very many rows is never one group."""
+    best = rows.groupBy(F.col(parent).alias("_parent")).agg(F.max(score).alias("_best"))
+    joined = rows.join(best, F.col(parent).eqNullSafe(F.col("_parent")))
+    return joined.withColumn(score, F.when(F.col(score).isNotNull(), F.least(F.lit(1.0), F.col(score) + 0.1 * F.col("_best")))).drop("_parent", "_best")

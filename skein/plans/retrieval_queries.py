@@ -73,7 +73,8 @@ def collapse(spark, d):
 
 @query("vec17_parent_boost", "SELECT vec_id, round(least(1.0, (vec_id%97)/100.0 + 0.1*max((vec_id%97)/100.0) OVER (PARTITION BY label)),6) AS score FROM embeddings")
 def boost(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(V.parent_boost((F.col("vec_id") % 97) / 100.0, F.col("label")), 6).alias("score"))
+    scored = table(spark, d, "embeddings").select("vec_id", "label", ((F.col("vec_id") % 97) / 100.0).alias("score"))
+    return V.parent_boost(scored, "score", "label").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("fun20_retrieval_metrics", f"""{_TOP}, k AS (SELECT qid, rank, CAST(lab=qlab AS INT) rel FROM r WHERE rank <= 10), t AS (SELECT q.vec_id qid, count(*) n FROM embeddings q JOIN embeddings e ON q.label=e.label WHERE q.vec_id % 50 = 0 GROUP BY 1)
