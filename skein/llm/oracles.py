@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import licenses, rules
+from skein.llm import infill, licenses, merkle, rules
 
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -70,5 +70,73 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
  array_to_string(list_sort(list_distinct(list_concat(coalesce(ls, []), coalesce(more, [])))), ',') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN bs USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
 
+def infill_ropes() -> str:
+    """Operator 11, from lists of units."""
+    drawn = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    p, s, m = (_text(x.decode()) for x in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us, {drawn} FROM d),
+ c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+   CASE WHEN t = '' OR contains(t, {p}) OR contains(t, {s}) OR contains(t, {m}) OR h3 % 100 >= {infill.RATE} THEN 'plain' WHEN h4 % 100 < {infill.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM u),
+ x AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {p} || pre || {s} || suf || {m} || mid ELSE {s} || suf || {p} || pre || {m} || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM x"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, four bits at a time; the table follows from the polynomial."""
+    entries = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        entries.append(value)
+    table = f"CAST([{', '.join(map(str, entries))}] AS BIGINT[])"
+    half = lambda c: f"xor({c} >> 4, {table}[({c} & 15) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda z: CAST(unicode(z) AS BIGINT))), lambda c, z: {half(half('xor(c, z)'))}), 4294967295)"
+
+
+#: Levels that the SQL of operator 12 writes out: enough for FAN ** LEVELS rows a source.
+LEVELS = 5
+
+
+def merkle_manifest() -> str:
+    """Operator 12, level by level by grouping; a tree that has grown to one node stays as it is."""
+    fields = lambda text: "sha256(" + " || ".join("coalesce(" + f"strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in [text if f == "text" else f for f in merkle.FIELDS]) + ")"
+    lower = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+
+    def level(name: str, k: int, groups: str) -> str:
+        joined, here = "string_agg(digest, '' ORDER BY place)", f"{name}{k - 1}"
+        return f"{name}{k} AS (SELECT {groups}, place // {merkle.FAN} AS place, CASE WHEN any_value(size) > 1 THEN sha256({joined}) ELSE any_value(digest) END AS digest, (any_value(size) + {merkle.FAN - 1}) // {merkle.FAN} AS size FROM {here} GROUP BY {groups}, place // {merkle.FAN})"
+
+    def runs(name: str, k: int, groups: str) -> str:
+        own = f"PARTITION BY {groups}, place // {merkle.FAN} ORDER BY place ROWS BETWEEN"
+        before, after = (f"coalesce(string_agg(digest, '') OVER ({own} {part}), '')" for part in ("UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"))
+        return f"{name}r{k} AS (SELECT *, {before} AS l, {after} AS r, size > 1 AS grown FROM {name}{k})"
+
+    ctes = [
+        f"leaf AS (SELECT doc_id, source, {fields('text')} AS digest, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {fields(lower)} END AS tampered FROM documents)",
+        "n0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM leaf)",
+        *[level("n", k, "source") for k in range(1, LEVELS + 1)],
+        f"t0 AS (SELECT source, 0 AS every, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM n{LEVELS})",
+        *[level("t", k, "every") for k in range(1, LEVELS + 1)],
+        *[runs("n", k, "source") for k in range(LEVELS)],
+        *[runs("t", k, "every") for k in range(LEVELS)],
+    ]
+    joins, proof, sides = "", "", []
+    for name, of, same in (("n", "n", "x.source IS NOT DISTINCT FROM n.source"), ("t", "s", "true")):
+        for k in range(LEVELS):
+            x = f"{name}x{k}"
+            joins += f" JOIN {name}r{k} {x} ON {same.replace('x.', x + '.')} AND {x}.place = {of}.place // {merkle.FAN**k}"
+            proof += f" || CASE WHEN {x}.grown THEN {x}.l || {x}.r ELSE '' END"
+            sides.append(f"CASE WHEN {x}.grown THEN [{x}.l, {x}.r] END")
+        if name == "n":
+            joins += " JOIN t0 s ON s.source IS NOT DISTINCT FROM n.source"
+    fold = f"list_reduce(list_concat([[coalesce(n.tampered, n.digest), '']], list_filter([{', '.join(sides)}], lambda z: z IS NOT NULL)), lambda c, z: [sha256(z[1] || c[1] || z[2]), ''])[1]"
+    return "WITH " + ",\n ".join(ctes) + f""",
+ v AS (SELECT n.doc_id, n.digest AS leaf, s.digest AS subroot, (SELECT digest FROM t{LEVELS}) AS root, sha256(''{proof}) AS proof_sha256, {fold} AS folded_root FROM n0 n{joins})
+SELECT *, folded_root = root AS verified FROM v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan(), "op10_quality_rules": quality_rules()}
+    return {"op6_license_scan": license_scan(), "op10_quality_rules": quality_rules(), "op11_infill_ropes": infill_ropes(), "op12_merkle_manifest": merkle_manifest()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, licenses, media, oracles, packing, quality, repeats, rules, simhash, suffix_tree, toxicity
+from skein.llm import bpe, idstore, infill, licenses, media, merkle, oracles, packing, quality, repeats, rules, simhash, suffix_tree, toxicity
 from skein.llm.common import table
 
 
@@ -58,11 +58,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_infill_ropes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.restore(infill.transform(table(spark, sf_dir, "documents"))))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = idstore.write(table(spark, sf_dir, "documents"))
+    return idstore.digests(idstore.read(spark, folder))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_media_columns, op2_repeated_passages, op3_quality_classifier, op4_simhash_components, op5_suffix_tree_scores, op6_license_scan, op7_toxicity, op8_lexical_packing, op9_bpe_round_trip, op10_quality_rules)
-    }
+        for f in (
+            op1_media_columns, op2_repeated_passages, op3_quality_classifier, op4_simhash_components, op5_suffix_tree_scores, op6_license_scan, op7_toxicity, op8_lexical_packing, op9_bpe_round_trip, op10_quality_rules,
+            op11_infill_ropes, op12_merkle_manifest, op13_token_files,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
