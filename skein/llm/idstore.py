@@ -1,9 +1,9 @@
 """Token ids in binary files (operator 13): one frame a document, all with one trained zstandard dictionary.
 
-Documents are encoded, ordered by id in ranges and written as shards, one task a range.  A document's ids are
-serialised as little-endian numbers of 16 or 32 bits, the end id last, and compressed by themselves, so that a short
-document is read without its neighbours; what short documents have in common is in the dictionary, which is trained on
-serialised arrays and kept once beside the shards.  A shard is
+A document's ids are serialised as little-endian numbers of 16 or 32 bits, the end id last, and compressed by themselves,
+so that a short document is read without its neighbours; what short documents have in common is in the dictionary, which is
+trained on serialised arrays first and kept once beside the shards.  Only frames are written down, ordered by id in ranges
+and put into shards, one task a range.  A shard is
 
     MAGIC | SHA-256 of the dictionary | width of an id (1 byte) | frames | index | length of the index (8 bytes) | MAGIC
 
@@ -16,7 +16,7 @@ The dictionary is fitted on at most SAMPLE documents of at most LONGEST ids; whe
 their arrays after one another, and for an empty table nothing.  All else covers every row.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id comes first and stays null; rows that share an id
-are documents of their own, in the order of a hash of their ids; equal texts have equal frames; other columns are ignored;
+are documents of their own, in the order of a hash of their frames; equal texts have equal frames; other columns are ignored;
 an empty table gives a store without shards and an empty result; a very long text is one frame, and a shard of its own
 where it is longer than a shard.
 """
@@ -79,39 +79,51 @@ def _width(path: str, end: int) -> int:
     return 2 if max(len(coder(path).token_bytes), end + 1) <= 1 << 16 else 4
 
 
-def trained(held: DataFrame, rows: int) -> bytes:
-    """A dictionary for serialised arrays, from a bounded sample of the ``rows`` rows of ``held``."""
-    share = min(1.0, 2 * SAMPLE / max(1, rows))
-    drawn = F.pmod(F.xxhash64("doc_id", "_row"), F.lit(1 << 20)) < F.lit(share * (1 << 20))
-    samples = [r.ids for r in held.filter(F.col("n_tokens") <= LONGEST).filter(drawn).select("ids").limit(SAMPLE).collect()]
-    samples = [bytes(s) for s in samples if len(s) >= 8]
+def trained(docs: DataFrame, path: str, end: int = END) -> bytes:
+    """A dictionary for serialised arrays, from a bounded sample of the rows."""
+    share = min(1.0, 2 * SAMPLE / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20))
+    samples = [bytes(r.ids) for r in serialised(docs.filter(drawn).limit(SAMPLE), path, end).filter(F.col("n_tokens") <= LONGEST).select("ids").collect()]
+    samples = [s for s in samples if len(s) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
+def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(content) if content else None
+
+
+def framed(ids: DataFrame, dictionary: bytes) -> DataFrame:
+    """Rows of :func:`serialised` with the array as a frame, and its CRC-32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_dict_id=False)
+        for b in batches:
+            arrays = b.column(1).to_pylist()
+            yield pa.record_batch([b.column(0), pa.array([frames.compress(a) for a in arrays], pa.binary()), b.column(2), pa.array([zlib.crc32(a) for a in arrays], pa.int64())], names=["doc_id", "frame", "n_tokens", "crc32"])
+
+    return ids.mapInArrow(run, "doc_id long, frame binary, n_tokens long, crc32 long")
+
+
 class _Writer:
     """The shards that one task writes."""
 
-    def __init__(self, folder: str, dictionary: bytes, width: int) -> None:
+    def __init__(self, folder: str, head: bytes) -> None:
         self.files, self.path = _filesystem(f"{folder}/files")
         self.files.create_dir(self.path, recursive=True)
-        held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_dict_id=False)
-        self.head = MAGIC + hashlib.sha256(dictionary).digest() + bytes([width])
-        self.width, self.out, self.piece = width, None, 0
+        self.head, self.out, self.piece = head, None, 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, frame: bytes, n_tokens: int, crc32: int) -> None:
         if self.out is None:
             self.name = f"{uuid.uuid4().hex}.ids"
             self.out, self.at, self.tokens, self.entries = self.files.open_output_stream(f"{self.path}/{self.name}"), HEAD, 0, []
             self.out.write(self.head)
-        frame = self.frames.compress(ids)
         self.out.write(frame)
-        self.entries.append((doc_id, self.tokens, len(ids) // self.width, self.at, len(frame), zlib.crc32(ids)))
+        self.entries.append((doc_id, self.tokens, n_tokens, self.at, len(frame), crc32))
         self.at += len(frame)
-        self.tokens += len(ids) // self.width
+        self.tokens += n_tokens
 
     def close(self) -> Iterator[tuple]:
         """The row of the shard that is open, if one is."""
@@ -130,31 +142,31 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     """Writes every whole text's ids in ascending doc_id order; the folder."""
     spark, path = docs.sparkSession, path or vocabulary_path()
     folder = folder or new_folder(spark, "ids")
-    held = cut_lineage(serialised(docs, path, end).withColumn("_row", F.monotonically_increasing_id()))
-    width = _width(path, end)
-    total = held.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-    dictionary = trained(held, total.rows)
+    dictionary = trained(docs, path, end)
     said = hashlib.sha256(dictionary).hexdigest()
+    head = MAGIC + hashlib.sha256(dictionary).digest() + bytes([_width(path, end)])
     files, place = _filesystem(folder)
     files.create_dir(place, recursive=True)
     with files.open_output_stream(f"{place}/{said}.dictionary") as out:
         out.write(dictionary)
+    held = cut_lineage(framed(serialised(docs, path, end), dictionary).withColumn("_row", F.monotonically_increasing_id()))
+    size = held.agg(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)).alias("n")).first().n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, part, rows = _Writer(folder, dictionary, width), TaskContext.get().partitionId(), []
+        writer, part, rows = _Writer(folder, head), TaskContext.get().partitionId(), []
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                writer.add(doc_id, ids)
+            for entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                writer.add(*entry)
                 if writer.at >= SHARD_BYTES:
                     rows += writer.close()
         rows += writer.close()
         yield pa.record_batch([pa.array(c, k) for c, k in zip([[part] * len(rows), *(list(zip(*rows)) or [[]] * 4), [said] * len(rows)], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["part", "piece", "shard", "docs", "tokens", "dictionary"])
         give_back()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total.tokens * width // SHARD_BYTES + 1)
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("_row")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"), F.col("_row")]
     dealt = held.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "ids").mapInArrow(run, SHARDS).write.parquet(f"{folder}/shards")
+    dealt.select("doc_id", "frame", "n_tokens", "crc32").mapInArrow(run, SHARDS).write.parquet(f"{folder}/shards")
     return folder
 
 
@@ -192,7 +204,7 @@ def _frames(files, place: str, said: str) -> zstandard.ZstdDecompressor:
         dictionary = f.read()
     if hashlib.sha256(dictionary).hexdigest() != said:
         raise ValueError("the dictionary is damaged")
-    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    return zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
 
 def _spread(rows: DataFrame, spark: SparkSession, *by: str) -> DataFrame:
