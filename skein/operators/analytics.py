@@ -1,4 +1,4 @@
-"""Event analytics: sessions, engagement, churn, anomalies, tenants, quotas and caches."""
+"""Event analytics: engagement, churn, anomalies, tenants, quotas and caches."""
 
 from __future__ import annotations
 
@@ -11,72 +11,6 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def sessions(events: DataFrame, user: str, ts: str, minutes: int = 60) -> DataFrame:
-    """(user, session, start, last, n) of start-anchored sessions.
-
-    Where no gap within a user's events is over the limit, nothing can be decided locally; so events are first cut at
-    such gaps, which end any session, and the fold runs over each stretch: its state is bounded by a stretch.
-    """
-    limit = minutes * 60 * 1_000_000
-    w = Window.partitionBy(user).orderBy("_t")
-    t = events.select(user, micros(F.col(ts)).alias("_t"))
-    cut = t.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > limit).cast("int"), F.lit(1)))
-    runs = cut.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = runs.select(F.col(user).cast("long").alias(user), "_run", "_t").repartition(user, "_run").sortWithinPartitions(user, "_run", "_t")
-    folded = ordered.mapInPandas(_fold(user, limit), f"{user} long, start long, last long, n long")
-    return folded.withColumn("session", F.row_number().over(Window.partitionBy(user).orderBy("start")))
-
-
-def _fold(user: str, limit: int):
-    """Folds rows that come ordered by user, stretch and time; between batches one open session is kept."""
-    import pandas as pd
-
-    def run(batches):
-        held = None
-        for pdf in batches:
-            out = []
-            for u, r, t in zip(pdf[user].tolist(), pdf["_run"].tolist(), pdf["_t"].tolist()):
-                if held is not None and held[:2] == [u, r] and t - held[2] <= limit:
-                    held[3], held[4] = t, held[4] + 1
-                    continue
-                if held is not None:
-                    out.append((held[0], *held[2:]))
-                held = [u, r, t, t, 1]
-            yield pd.DataFrame(out, columns=[user, "start", "last", "n"])
-        if held is not None:
-            yield pd.DataFrame([(held[0], *held[2:])], columns=[user, "start", "last", "n"])
-
-    return run
-
-
-def rate_limit(hits: DataFrame, subject: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
-    """Each hit with ``allowed``: fewer than ``limit`` allowed hits within the last ``seconds``; only those count.
-
-    Hits come sorted by subject and time; what is kept between batches is the times of at most ``limit`` allowed hits."""
-    import pandas as pd
-
-    window = seconds * 1_000_000
-
-    def replay(batches):
-        from collections import deque
-
-        last, log = None, deque()
-        for pdf in batches:
-            allowed = []
-            for who, t in zip(pdf[subject].tolist(), pdf["_t"].tolist(), strict=True):
-                if who != last:
-                    last, log = who, deque()
-                while log and log[0] <= t - window:
-                    log.popleft()
-                allowed.append(len(log) < limit)
-                if allowed[-1]:
-                    log.append(t)
-            yield pd.DataFrame({order: pdf[order], subject: pdf[subject], "allowed": allowed})
-
-    rows = hits.select(F.col(order).cast("long").alias(order), F.col(subject).cast("long").alias(subject), micros(F.col(ts)).alias("_t"))
-    return rows.repartition(subject).sortWithinPartitions(subject, "_t", order).mapInPandas(replay, f"{order} long, {subject} long, allowed boolean")
-
-
 def segment(n_sessions: Column, n_queries: Column) -> Column:
     return F.when((n_sessions > 20) & (n_queries > 100), "power").when((n_sessions > 10) & (n_queries > 50), "regular").when((n_sessions > 5) & (n_queries > 20), "casual").when(n_sessions > 0, "new").otherwise("inactive")
 

@@ -1,4 +1,4 @@
-"""Ordered folds that no window function expresses: alerts with cool-down, and semantic and hierarchical chunks."""
+"""Ordered folds over the sentences of a text: semantic and hierarchical chunks."""
 
 from __future__ import annotations
 
@@ -11,40 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import word_set
-from skein.operators.analytics import micros
 from skein.operators.chunkers import sentences
 
 
-def alert_rule(points: DataFrame, key: str, ts: str, order: str, bad: str, cool_down: int = 300, hourly: int = 5) -> DataFrame:
-    """(order, key, state): for each point raised, suppressed, resolved or quiet.
-
-    A bad point raises an alert unless one is active, the last was raised under ``cool_down`` seconds ago, or
-    ``hourly`` were raised within the hour; a good point resolves an active alert.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, active, raised = None, False, []
-        for pdf in batches:
-            states = []
-            for k, t, is_bad in zip(pdf[key].tolist(), pdf["_t"].tolist(), pdf["_bad"].tolist()):
-                if k != at:
-                    at, active, raised = k, False, []
-                raised = [x for x in raised if x > t - 3_600_000_000]
-                if not is_bad:
-                    states.append("resolved" if active else "quiet")
-                    active = False
-                elif active or len(raised) >= hourly or (raised and t - raised[-1] < cool_down * 1_000_000):
-                    states.append("suppressed")
-                else:
-                    states.append("raised")
-                    active = True
-                    raised.append(t)
-            yield pd.DataFrame({order: pdf[order], key: pdf[key], "state": states})
-
-    ready = points.select(F.col(order).cast("long").alias(order), F.col(key).cast("long").alias(key), micros(F.col(ts)).alias("_t"), F.expr(bad).alias("_bad"))
-    return ready.repartition(key).sortWithinPartitions(key, "_t", order).mapInPandas(run, f"{order} long, {key} long, state string")
-
-
 def grouped(parts: list[str], least: float) -> list[list[int]]:
     """Greedy groups: a sentence joins the first open group with a member of that word overlap; groups may interleave.
 

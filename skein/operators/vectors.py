@@ -1,4 +1,4 @@
-"""Vector operators: similarities as Columns, exact top-k of many queries in blocks, and bucketed search."""
+"""Vector operators: similarities as Columns, exact top-k of many queries in blocks, and centroids (the approximate search is in skein.operators.neighbours)."""
 
 from __future__ import annotations
 
@@ -59,16 +59,27 @@ def _blocks(df: DataFrame, id_: str, vector: str, size: int, name: str) -> DataF
     return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows")), parts
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k best scores of each row; ties go to the smaller id."""
+    held = scores if allowed is None else np.where(allowed, scores, -np.inf)
+    n = held.shape[1]
+    least = np.partition(held, n - k, axis=1)[:, n - k] if n > k else np.full(len(held), -np.inf)
+    row, col = np.nonzero((held >= least[:, None]) & np.isfinite(held))
+    order = np.lexsort((ids[col], -held[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    return row[place < k], col[place < k]
+
+
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                rows, asked = (b.column(c)[i].as_py() for c in (0, 1))
-                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                ids, qids = np.array([r["id"] for r in rows]), np.array([q["id"] for q in asked])
-                scores = np.round(unit(np.array([q["v"] for q in asked], np.float64)) @ unit(np.array([r["v"] for r in rows], np.float64)).T, 9)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.record_batch([pa.array(np.repeat(qids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", "id", "score"])
+                rows, asked = b.column(0)[i].values, b.column(1)[i].values
+                ids, qids = (x.field("id").to_numpy(zero_copy_only=False) for x in (rows, asked))
+                scores = np.round(matrix(asked.field("v")) @ matrix(rows.field("v")).T, 9)
+                q, r = best_of(scores, ids, None, k)
+                yield pa.record_batch([pa.array(qids[q]), pa.array(ids[r]), pa.array(scores[q, r])], names=["query_id", "id", "score"])
 
     return run
 
@@ -91,7 +102,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Unit vectors, one a row."""
     return _unit(np.array(vectors.flatten(), np.float64).reshape(len(vectors), -1))
 
 
@@ -100,7 +112,7 @@ def centroids(rows: DataFrame, id_: str, vector: str, lists: int, seed: int = 5)
     sample = rows.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return np.zeros((0, 0))
-    u = _matrix(sample["v"].combine_chunks())
+    u = matrix(sample["v"].combine_chunks())
     c = u[np.random.default_rng(seed).choice(len(u), min(lists, len(u)), replace=False)]
     for _ in range(ROUNDS):
         near = (u @ c.T).argmax(axis=1)
@@ -110,46 +122,6 @@ def centroids(rows: DataFrame, id_: str, vector: str, lists: int, seed: int = 5)
     return c
 
 
-def _assigned(df: DataFrame, id_: str, vector: str, sent, n: int) -> DataFrame:
-    """(id, v, list): a row for each of the n lists nearest to a vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = np.argsort(-(_matrix(b.column(1)) @ sent.value.T), axis=1, kind="stable")[:, :n]
-                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "v", "list"])
-
-    return df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "id long, v array<float>, list int")
-
-
-def bucketed_topk(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, lists: int = 100, probes: int = 10) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest by cosine among the rows of the ``probes`` lists nearest to a query.
-
-    Every row is in the list of its nearest centroid.  Lists are dealt in blocks of about ROWS rows, so a large one is
-    spread; blocks of queries meet the blocks of the lists they probe only.
-    """
-    fitted_on = centroids(rows, id_, vector, lists)
-    sent = rows.sparkSession.sparkContext.broadcast(fitted_on)
-    indexed, asked = _assigned(rows, id_, vector, sent, 1), _assigned(queries, id_, vector, sent, probes)
-
-    def blocks(of: list[int]) -> Column:
-        return F.element_at(F.array(*map(F.lit, of)) if of else F.array(F.lit(1)), F.col("list") + 1)
-
-    def counted(df: DataFrame, size: int) -> list[int]:
-        found = {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}
-        return [max(1, -(-found.get(i, 0) // size)) for i in range(len(fitted_on))]
-
-    of_rows, of_queries = blocks(counted(indexed, ROWS)), blocks(counted(asked, QUERIES))
-    dealt = lambda of: F.pmod(F.xxhash64("id"), of).cast("int")
-    row_blocks = indexed.groupBy("list", dealt(of_rows).alias("r")).agg(F.collect_list(F.struct("id", "v")).alias("r_rows"))
-    query_blocks = asked.groupBy("list", dealt(of_queries).alias("q")).agg(F.collect_list(F.struct("id", "v")).alias("q_rows"))
-    sent_to = query_blocks.select("list", "q_rows", F.explode(F.sequence(F.lit(0), of_rows - 1)).alias("r"))
-    found = row_blocks.join(sent_to, ["list", "r"]).select("r_rows", "q_rows").mapInArrow(_best(k), "query_id long, id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.filter(F.col("rank") <= k)
-
-
 def hash_embedding(text: Column, position: Column, dim: int = 768) -> Column:
     """Four numbers in [-1, 1] from the md5 of text and position, then zeros."""
     digest = F.md5(F.concat(text, F.lit("_"), position.cast("string")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import analytics as E
 from skein.operators import chunkers as C
+from skein.operators import scans as SC
 from skein.operators import vectors as V
 from skein.plans.registry import query, table
 from skein.sources import html as H
@@ -19,7 +20,7 @@ WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) t, row_number() OVER (PARTITIO
  f AS (SELECT user_id, i, t, t AS start FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.t, CASE WHEN e.t - f.start > 3600000000 THEN e.t ELSE f.start END FROM f JOIN e ON e.user_id=f.user_id AND e.i=f.i+1)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start) AS session, start, max(t) AS last, count(*) AS n FROM f GROUP BY user_id, start""")
 def sessions(spark, d):
-    return E.sessions(table(spark, d, "events"), "user_id", "ts").select("user_id", "session", "start", "last", "n")
+    return SC.sessions(table(spark, d, "events"), "user_id", "ts").select("user_id", "session", "start", "last", "n")
 
 
 @query("evt02_11_profiles", """
@@ -70,7 +71,7 @@ def types(spark, d):
 
 @query("evt15_session_lengths")
 def lengths(spark, d):
-    s = E.sessions(table(spark, d, "events"), "user_id", "ts").withColumn("seconds", (F.col("last") - F.col("start")) / _SECONDS)
+    s = SC.sessions(table(spark, d, "events"), "user_id", "ts").withColumn("seconds", (F.col("last") - F.col("start")) / _SECONDS)
     band = F.when(F.col("seconds") < 300, "short").when(F.col("seconds") < 1800, "medium").otherwise("long")
     return s.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("seconds"), 3).alias("mean"), F.round(F.stddev_pop("seconds"), 3).alias("std"))
 
@@ -147,9 +148,14 @@ def status(spark, d):
     return s.withColumn("band", E.health_band(F.col("score")))
 
 
-@query("str01_rate_limit")
+@query("str01_rate_limit", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ f AS (SELECT event_id, user_id, i, true AS allowed, [t] AS log FROM e WHERE i = 1
+  UNION ALL SELECT event_id, user_id, i, len(log) < 3, CASE WHEN len(log) < 3 THEN list_append(log, t) ELSE log END
+  FROM (SELECT e.event_id, e.user_id, e.i, e.t, list_filter(f.log, lambda x: x > e.t - 86400000000) AS log FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) g)
+SELECT event_id, user_id, allowed FROM f""")
 def rate_limit(spark, d):
-    return E.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400)
+    return SC.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400)
 
 
 @query("str04_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")

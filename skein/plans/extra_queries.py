@@ -9,6 +9,7 @@ from skein.functions import scoring as S
 from skein.functions import text as X
 from skein.operators import folds
 from skein.operators import retrieval as R
+from skein.operators import scans as SC
 from skein.plans.registry import query, table
 
 _W = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
@@ -125,9 +126,15 @@ def alert_history(spark, d):
     return t.groupBy("user_id").agg(within("24 HOURS").alias("day"), within("7 DAYS").alias("week"))
 
 
-@query("str06_alert_rule")
+@query("str06_alert_rule", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ f AS (SELECT e.event_id, user_id, i, CASE WHEN bad THEN 'raised' ELSE 'quiet' END AS state, bad AS active, CASE WHEN bad THEN [t] ELSE []::BIGINT[] END AS raised FROM e WHERE i = 1
+  UNION ALL SELECT g.event_id, g.user_id, g.i, g.state, CASE WHEN g.state = 'raised' THEN true WHEN NOT bad THEN false ELSE active END, CASE WHEN g.state = 'raised' THEN list_append(log, t) ELSE log END
+  FROM (SELECT h.*, CASE WHEN NOT bad AND active THEN 'resolved' WHEN NOT bad THEN 'quiet' WHEN active OR len(log) >= 5 OR (len(log) > 0 AND t - log[len(log)] < 300000000) THEN 'suppressed' ELSE 'raised' END AS state
+   FROM (SELECT e.event_id, e.user_id, e.i, e.t, e.bad, f.active, list_filter(f.raised, lambda x: x > e.t - 3600000000) AS log FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) h) g)
+SELECT event_id, user_id, state FROM f""")
 def alert_rule(spark, d):
-    return folds.alert_rule(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type = 'error'")
+    return SC.alert_rule(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type = 'error'")
 
 
 @query("snk14_metrics_text", "SELECT 'events_total{type=\"'||event_type||'\"} '||CAST(count(*) AS VARCHAR) AS line FROM events GROUP BY event_type")

@@ -11,6 +11,7 @@ from skein.operators import analytics as E
 from skein.operators import chunkers as C
 from skein.operators import documents as D
 from skein.operators import retrieval as R
+from skein.operators import neighbours as N
 from skein.operators import vectors as V
 from skein.plans.registry import query, table
 from skein.sources import html as H
@@ -104,9 +105,17 @@ def metadata_score(spark, d):
 
 @query("vec05_06_bucketed_search")
 def bucketed(spark, d):
-    """Ten neighbours of each query out of half of the lists: the vectors have no clusters, so few lists hold few of them."""
+    """Ten neighbours of each query: the vectors have no clusters, so most lists are probed, and signatures tell which rows
+    of these are compared."""
     e = table(spark, d, "embeddings")
-    return V.bucketed_topk(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10, lists=100, probes=50)
+    return N.search(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+
+
+@query("vec05_06_measured")
+def bucketed_measured(spark, d):
+    """Recall against the exact search, and the share of all rows that a query was compared with."""
+    e = table(spark, d, "embeddings")
+    return N.measured(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
 
 
 @query("jon10_siblings", "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey) AS best FROM orders")

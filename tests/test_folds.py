@@ -1,5 +1,4 @@
 import random
-from datetime import datetime, timedelta
 
 from skein.operators import folds
 from skein.plans import catalog
@@ -7,15 +6,6 @@ from skein.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-def test_alert_rule_by_hand(spark):
-    start = datetime(2024, 1, 1)
-    steps = [(0, True), (10, True), (20, False), (30, True), (400, True), (410, False), (420, False)]
-    rows = [(i, 1, start + timedelta(seconds=s), bad) for i, (s, bad) in enumerate(steps)]
-    df = spark.createDataFrame(rows, "id long, k long, ts timestamp, bad boolean")
-    got = {r.id: r.state for r in folds.alert_rule(df, "k", "ts", "id", "bad").collect()}
-    assert [got[i] for i in range(len(steps))] == ["raised", "suppressed", "resolved", "suppressed", "raised", "resolved", "quiet"]
-
-
 def test_groups_may_interleave():
     assert folds.grouped(["a b c", "x y z", "a b d", "x y w"], 0.5) == [[0, 2], [1, 3]]
 
