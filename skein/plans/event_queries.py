@@ -11,6 +11,8 @@ from skein.operators import scans as SC
 from skein.operators import vectors as V
 from skein.plans.registry import query, table
 from skein.sources import html as H
+from skein.streaming import cache as ST
+from skein.streaming import events as SE
 
 _SECONDS = 1_000_000
 
@@ -23,6 +25,24 @@ def sessions(spark, d):
     return SC.sessions(table(spark, d, "events"), "user_id", "ts").select("user_id", "session", "start", "last", "n")
 
 
+#: What ends the cache's entries: an hour, and the watermark that the stream ends with.
+_ENTRIES = """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events),
+ f AS (SELECT user_id, i, t, t AS made FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.t, CASE WHEN e.t - f.made > 3600000000 THEN e.t ELSE f.made END FROM f JOIN e ON e.user_id=f.user_id AND e.i=f.i+1),
+ g AS (SELECT user_id, made, count(*) - 1 AS hits, lead(made) OVER (PARTITION BY user_id ORDER BY made) AS following FROM f GROUP BY user_id, made)
+SELECT user_id, made, made + 3600000000 AS ended, hits FROM g WHERE following IS NOT NULL OR (made + 3600000000) // 1000 + 1 <= (SELECT max(t) // 1000 - 600000 FROM e)"""
+
+
+@query("str11_expired_entries", _ENTRIES)
+def expired_entries(spark, d):
+    return ST.entries(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 3600)
+
+
+@query("str11_stream_expired_entries", _ENTRIES)
+def stream_expired_entries(spark, d):
+    return SE.run_to_end(ST.expiring(SE.read(spark, d), "user_id", "ts", 3600), "entries", "append")
+
+
 @query("evt02_11_profiles", """
 SELECT user_id, count(*) AS events, count(*) FILTER (event_type='view') AS views, count(DISTINCT CAST(ts AS DATE)) AS days, round(avg(value) FILTER (value > 0),6) AS mean_value, epoch_us(max(ts)) AS last_active,
  CASE WHEN count(DISTINCT CAST(ts AS DATE))>20 AND count(*)>100 THEN 'power' WHEN count(DISTINCT CAST(ts AS DATE))>10 AND count(*)>50 THEN 'regular' WHEN count(DISTINCT CAST(ts AS DATE))>5 AND count(*)>20 THEN 'casual' WHEN count(DISTINCT CAST(ts AS DATE))>0 THEN 'new' ELSE 'inactive' END AS segment FROM events GROUP BY 1""")
@@ -148,12 +168,15 @@ def status(spark, d):
     return s.withColumn("band", E.health_band(F.col("score")))
 
 
-@query("str01_rate_limit", """
+_LIMITED = """
 WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
  f AS (SELECT event_id, user_id, i, true AS allowed, [t] AS log FROM e WHERE i = 1
   UNION ALL SELECT event_id, user_id, i, len(log) < 3, CASE WHEN len(log) < 3 THEN list_append(log, t) ELSE log END
   FROM (SELECT e.event_id, e.user_id, e.i, e.t, list_filter(f.log, lambda x: x > e.t - 86400000000) AS log FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) g)
-SELECT event_id, user_id, allowed FROM f""")
+SELECT event_id, user_id, allowed FROM f"""
+
+
+@query("str01_rate_limit", _LIMITED)
 def rate_limit(spark, d):
     return SC.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400)
 
@@ -317,7 +340,7 @@ def stream_windows(spark, d):
     return t.select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("str01_stream_rate_limit")
+@query("str01_stream_rate_limit", _LIMITED)
 def stream_rate_limit(spark, d):
     from skein.streaming import events as S
 

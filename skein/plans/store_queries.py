@@ -6,8 +6,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from skein.operators import lookups as L
 from skein.operators import store as T
+from skein.operators import versions as VS
 from skein.plans.registry import query, table
+from skein.sources import versioned
 
 
 @query("snk01_05_add_delete", "SELECT c_custkey, c_acctbal FROM customer WHERE (c_custkey%2=0 OR c_acctbal<0) AND c_mktsegment<>'BUILDING'")
@@ -152,3 +155,81 @@ def restore(spark, d):
 def export_import(spark, d):
     cache = table(spark, d, "events").select("event_id", "event_type", "user_id")
     return T.import_json(spark, T.export_json(cache), cache.schema)
+
+
+def _planted(at: int):
+    """Refuses one row, as a store does that can't take it."""
+    return lambda rows: rows.withColumn("text", F.when(F.col("doc_id") == at, F.raise_error(F.lit("planted"))).otherwise(F.col("text")))
+
+
+#: Rows of a migration's batch.
+BATCH = 250
+
+
+@query("snk16_migration_rollback", f"""
+WITH d AS (SELECT count(*) AS n, count(*) FILTER (doc_id < (SELECT max(doc_id) // 2 FROM documents)) AS place FROM documents),
+ b AS (SELECT n, place // {BATCH} * {BATCH} AS done, least({BATCH}, n - place // {BATCH} * {BATCH}) AS failed FROM d)
+SELECT 1 AS attempt, 'rolled_back' AS status, done AS migrated, failed, done AS rolled_back, 1 AS version, 1 AS target_count, n - 1 AS mismatches FROM b UNION ALL SELECT 2, 'ok', n - 1, 0, 0, 2, n, 0 FROM b""")
+def migration_rollback(spark, d):
+    """All but one document move to a store that holds it: first with a planted failure, then without."""
+    docs = table(spark, d, "documents")
+    at, last = docs.agg((F.max("doc_id") / 2).cast("long"), F.max("doc_id")).first()
+    folder = VS.new_store(spark)
+    VS.write(docs.filter(F.col("doc_id") == last), folder, "before")
+    rows = []
+    for attempt, change in ((1, _planted(at)), (2, None)):
+        said = VS.migrate(docs.filter(F.col("doc_id") != last), folder, "doc_id", BATCH, change)
+        found = VS.compared(docs, VS.read(spark, folder), "doc_id").first()
+        rows.append((attempt, said["status"], said["migrated"], said["failed"], said["rolled_back"], said["version"], said["target_count"], found.mismatches))
+    return spark.createDataFrame(rows, "attempt int, status string, migrated long, failed long, rolled_back long, version long, target_count long, mismatches long")
+
+
+@query("snk13_versions_verified", "SELECT 1 AS version, 'first' AS note, 1 AS groups, count(*) FILTER (doc_id % 2 = 0) AS rows, 0 AS damaged FROM documents UNION ALL SELECT 2, 'second', 2, count(*), 1 FROM documents UNION ALL SELECT 3, 'rolled back', 1, count(*) FILTER (doc_id % 2 = 0), 0 FROM documents")
+def versions_verified(spark, d):
+    """Two versions, a group of the second exchanged for other rows, and a return to the first: groups by checksum."""
+    docs, folder = table(spark, d, "documents"), VS.new_store(spark)
+    VS.write(docs.filter("doc_id % 2 = 0"), folder, "first")
+    VS.write(docs.filter("doc_id % 2 = 1"), folder, "second", append=True)
+    docs.filter("doc_id % 2 = 1").withColumn("text", F.reverse("text")).write.mode("overwrite").parquet(VS.manifest(folder)["groups"][1]["path"])
+    VS.roll_back(folder, 1)
+    bad = spark.createDataFrame([(v, len(VS.verify(spark, folder, v))) for v in VS.versions(folder)], "version long, damaged int")
+    return VS.history(spark, folder).join(bad, "version")
+
+
+@query("udf04_store_by_format", "SELECT lang, count(*) AS docs, sum(n_chars) AS chars, min(doc_id) AS first FROM documents WHERE n_chars >= 500 AND lang IN ('en', 'fr') GROUP BY lang")
+def store_by_format(spark, d):
+    """Documents written and read again by the store's own format, in two versions, with filters pushed to it."""
+    versioned.register(spark)
+    docs, folder = table(spark, d, "documents"), VS.new_store(spark)
+    docs.filter("doc_id % 3 = 0").write.format("versions").option("path", folder).mode("append").save()
+    docs.filter("doc_id % 3 <> 0").write.format("versions").option("path", folder).mode("append").save()
+    held = spark.read.format("versions").option("path", folder).load()
+    return held.filter("n_chars >= 500 AND lang IN ('en', 'fr')").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first"))
+
+
+def _lookups(spark, d):
+    customers = table(spark, d, "customer")
+    L.register(spark, L.keys_of(customers), L.sessions_of(table(spark, d, "orders"), customers))
+
+
+@query("sql12_session_lookups", "SELECT o_orderkey AS asked, o_custkey AS user_id, c_nationkey AS tenant_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 7 = 0 AND o_orderstatus <> 'F'")
+def session_lookups(spark, d):
+    """Tokens looked up by a table function for each row; revoked sessions aren't found."""
+    _lookups(spark, d)
+    table(spark, d, "orders").createOrReplaceTempView("asked_orders")
+    return spark.sql("SELECT o.o_orderkey AS asked, s.user_id, s.tenant_id FROM asked_orders o, LATERAL lookup_session(md5('token-' || o.o_orderkey)) s WHERE o.o_orderkey % 7 = 0")
+
+
+@query("sql12_key_lookup", """SELECT 'active' AS what, 'key-'||c_custkey AS key_id, c_nationkey AS tenant_id, substr(sha256('key-'||c_custkey),1,8) AS key_prefix FROM customer WHERE c_custkey IN (3, 4, 5) AND c_acctbal >= 0
+UNION ALL SELECT 'any', 'key-'||c_custkey, c_nationkey, substr(sha256('key-'||c_custkey),1,8) FROM customer WHERE c_custkey IN (3, 4, 5)""")
+def key_lookup(spark, d):
+    """Three keys by literal arguments, with and without inactive ones."""
+    _lookups(spark, d)
+    one = lambda what, k, active: f"SELECT '{what}' AS what, key_id, tenant_id, key_prefix FROM lookup_key('key-{k}', {active})"
+    return spark.sql(" UNION ALL ".join(one(what, k, active) for what, active in (("active", "true"), ("any", "false")) for k in (3, 4, 5)))
+
+
+@query("sql12_tenant_rows", "SELECT 'tenant' AS who, count(*) AS n, count(DISTINCT o_custkey) AS users FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 UNION ALL SELECT 'admin', count(*), count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey")
+def tenant_rows(spark, d):
+    _lookups(spark, d)
+    return spark.sql("SELECT 'tenant' AS who, count(*) AS n, count(DISTINCT user_id) AS users FROM tenant_rows(3) UNION ALL SELECT 'admin', count(*), count(DISTINCT user_id) FROM tenant_rows(3, true)")

@@ -63,14 +63,14 @@ def rate_limited(hits: DataFrame, subject: str, limit: int, seconds: int, late:
     return timed.groupBy(subject).applyInPandasWithState(step, f"event_id long, {subject} long, allowed boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str, folder: str | None = None) -> DataFrame:
     """All that is there now, through the stream and into Parquet in the shared folder, with the stream's own state
     beside it.  A batch that runs again after a failure overwrites what it wrote; in complete mode the last one counts.  A
-    source without rows has no batch and gives no rows."""
+    source without rows has no batch and gives no rows.  With a ``folder`` of an earlier run the stream goes on from there."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     # An empty batch of its own number, so that there is something to read.
-    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
     put = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
