@@ -70,3 +70,22 @@ def alerts(points: DataFrame, key: str, ts: str, order: str, bad: Column, second
     t = points.filter(bad).withColumn("_t", micros(F.col(ts)))
     gap = F.col("_t") - F.lag("_t").over(w)
     return t.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") > seconds * 1_000_000)).drop("_t", "_gap")
+
+
+def histogram(rows: DataFrame, keys: list[Column], value: str, bounds: list[float]) -> DataFrame:
+    """Rows by key with ``buckets``, the cumulative counts up to each bound and, last, of all values."""
+    upto = [F.sum((F.col(value) <= b).cast("long")) for b in bounds]
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array(*upto, F.count(F.lit(1))).alias("buckets"))
+
+
+def histogram_quantile(q: float, buckets: Column, bounds: list[float]) -> Column:
+    """The value below which a share q lies, linear within the first bucket that reaches it; the lowest bucket begins at 0
+    unless its bound isn't above, and what lies in the open last one is told as the highest bound.  Null without values."""
+    total = F.element_at(buckets, -1)
+    rank, out = F.lit(q) * total, F.lit(float(bounds[-1]))
+    for k in reversed(range(len(bounds))):
+        here, before = F.get(buckets, F.lit(k)), F.get(buckets, F.lit(k - 1)) if k else F.lit(0)
+        low = bounds[k - 1] if k else 0.0
+        inside = low + (bounds[k] - low) * ((rank - before) / F.nullif(here - before, F.lit(0)))
+        out = F.when(here >= rank, F.lit(float(bounds[0])) if k == 0 and bounds[0] <= 0 else inside).otherwise(out)
+    return F.when(total > 0, out)

@@ -187,6 +187,33 @@ def windows(spark, d):
     return t.select(F.col("w.start").alias("start"), "event_type", "n", "users")
 
 
+#: Bounds of the value's buckets; values over the last lie in the open one.
+BOUNDS = [1.0, 2.0, 5.0, 10.0, 20.0, 30.0]
+
+
+@query("str05_histogram_quantiles", f"""
+WITH w AS (SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start, event_type, value FROM events WHERE value IS NOT NULL),
+ b AS (SELECT start, event_type, ub, i, count(*) FILTER (value <= ub) AS upto, count(*) AS total FROM w, (SELECT unnest({BOUNDS + [1e300]}) AS ub, unnest(range({len(BOUNDS) + 1})) AS i) GROUP BY 1, 2, 3, 4),
+ p AS (SELECT *, lag(ub, 1, 0) OVER k AS low, lag(upto, 1, 0) OVER k AS before FROM b WINDOW k AS (PARTITION BY start, event_type ORDER BY i)),
+ q AS (SELECT p.*, share FROM p, (SELECT unnest([0.5, 0.95]) AS share)),
+ f AS (SELECT start, event_type, share, arg_min(CASE WHEN i = {len(BOUNDS)} THEN {BOUNDS[-1]} ELSE low + (ub - low) * (share * total - before) / (upto - before) END, i) AS v FROM q WHERE upto >= share * total GROUP BY 1, 2, 3)
+SELECT start, event_type, round(max(v) FILTER (share = 0.5), 6) AS p50, round(max(v) FILTER (share = 0.95), 6) AS p95 FROM f GROUP BY 1, 2""")
+def histogram_quantiles(spark, d):
+    t = table(spark, d, "events").withColumn("start", F.unix_micros(F.window(F.col("ts").cast("timestamp"), "5 minutes")["start"]))
+    h = E.histogram(t, [F.col("start"), F.col("event_type")], "value", BOUNDS)
+    return h.select("start", "event_type", F.round(E.histogram_quantile(0.5, F.col("buckets"), BOUNDS), 6).alias("p50"), F.round(E.histogram_quantile(0.95, F.col("buckets"), BOUNDS), 6).alias("p95"))
+
+
+@query("str05_latency_alert", f"""
+WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, value FROM events), c AS (SELECT epoch_us(day) AS start, event_type, count(*) AS n, count(*) FILTER (value <= 20) AS a, count(*) FILTER (value <= 30) AS b, count(*) FILTER (value <= 10) AS z FROM w GROUP BY 1, 2)
+SELECT start, event_type FROM c WHERE NOT (a >= 0.95 * n) AND (CASE WHEN b >= 0.95 * n THEN 20 + 10 * (0.95 * n - a) / (b - a) ELSE 30 END) > 25""")
+def latency_alert(spark, d):
+    """Days on which the 95th hundredth of a kind of event was over 25."""
+    t = table(spark, d, "events").withColumn("start", F.unix_micros(F.window(F.col("ts").cast("timestamp"), "1 day")["start"]))
+    h = E.histogram(t, [F.col("start"), F.col("event_type")], "value", BOUNDS)
+    return h.filter(E.histogram_quantile(0.95, F.col("buckets"), BOUNDS) > 25).select("start", "event_type")
+
+
 @query("str05_error_rate", "SELECT event_id, round(avg(CAST(event_type='error' AS INT)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW),6) AS rate FROM events")
 def error_rate(spark, d):
     t = table(spark, d, "events").withColumn("t", E.micros(F.col("ts")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from skein.operators import filters as P
+from skein.operators import predicates as PT
 from skein.operators.filters import Composite, Condition
 from skein.plans.registry import query, table
 
@@ -103,3 +106,32 @@ def fields(spark, d):
 SELECT doc_id, source FROM documents WHERE source = 'src3' AND length(text) >= 10 AND NOT contains(lower(text), 'idiot') AND NOT contains(lower(text), 'scum')""")
 def tenant(spark, d):
     return table(spark, d, "documents").filter((F.col("source") == "src3") & P.tenant_content(F.col("text"), ["idiot", "scum"])).select("doc_id", "source")
+
+
+#: Loose filters and the SQL of what they mean.
+WHERES = [
+    ({"c_mktsegment": "BUILDING", "c_nationkey": [1, 2, 3]}, "c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3)"),
+    ({"c_acctbal": {"$gte": 100, "$lt": 5000, "$regex": "never read"}}, "c_acctbal >= 100 AND c_acctbal < 5000"),
+    ({"c_name": {"$contains": "7"}, "c_mktsegment": {"$nin": ["BUILDING", "MACHINERY"]}}, "contains(c_name, '7') AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"),
+    ({"c_name": {"$not_contains": "1"}}, "NOT contains(c_name, '1')"),
+    ({"$or": [{"c_nationkey": {"$eq": 4}}, {"$and": [{"c_acctbal": {"$lt": 0}}, {"c_mktsegment": {"$ne": "BUILDING"}}]}]}, "c_nationkey = 4 OR (c_acctbal < 0 AND c_mktsegment <> 'BUILDING')"),
+    ({"c_name": {"$like": "unknown"}}, "true"),
+]
+
+
+@query("flt18_where_documents", " UNION ALL ".join(f"SELECT {k} AS k, c_custkey FROM customer WHERE {sql}" for k, (_, sql) in enumerate(WHERES)))
+def where_documents(spark, d):
+    t = table(spark, d, "customer")
+    return reduce(lambda a, b: a.unionByName(b), [t.filter(PT.matching(spec)).select(F.lit(k).alias("k"), "c_custkey") for k, (spec, _) in enumerate(WHERES)])
+
+
+@query("flt26_predicate_tree", """
+WITH t AS (SELECT c_custkey, c_name, c_acctbal, c_nationkey, 30.0 + (c_custkey % 97) * 0.1 AS lat, 50.0 + (c_custkey % 89) * 0.1 AS lon FROM customer),
+ k AS (SELECT *, 2*6371.0*asin(sqrt(least(1.0, pow(sin(radians(lat-35.0)/2),2)+cos(radians(lat))*cos(radians(35.0))*pow(sin(radians(lon-54.0)/2),2)))) AS km FROM t)
+SELECT c_custkey FROM k WHERE c_nationkey > 2 AND (km <= 300 OR NOT (c_acctbal BETWEEN 0 AND 4000 OR regexp_matches(c_name, '[05]$'))) AND NOT (c_nationkey IN (5, 6))""")
+def predicate_tree(spark, d):
+    """A tree with sub-groups, a range, a circle and a pattern, read back from its document."""
+    point = F.struct((30.0 + (F.col("c_custkey") % 97) * 0.1).alias("lat"), (50.0 + (F.col("c_custkey") % 89) * 0.1).alias("lon"))
+    odd = PT.Group("not", (P.Condition("c_acctbal", "range", (0.0, 4000.0)), P.Condition("c_name", "regex", "[05]$")))
+    tree = PT.Group("and", (P.Condition("c_nationkey", "gt", 2),), (PT.Group("or", (P.Condition("place", "geo", (35.0, 54.0, 300.0)),), (odd,)), PT.Group("not", (P.Condition("c_nationkey", "in", (5, 6)),))))
+    return table(spark, d, "customer").withColumn("place", point).filter(PT.column(PT.read(PT.document(tree)))).select("c_custkey")

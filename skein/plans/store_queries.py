@@ -168,7 +168,7 @@ BATCH = 250
 
 @query("snk16_migration_rollback", f"""
 WITH d AS (SELECT count(*) AS n, count(*) FILTER (doc_id < (SELECT max(doc_id) // 2 FROM documents)) AS place FROM documents),
- b AS (SELECT n, place // {BATCH} * {BATCH} AS done, least({BATCH}, n - place // {BATCH} * {BATCH}) AS failed FROM d)
+ b AS (SELECT n, place // {BATCH} * {BATCH} AS done, least({BATCH}, n - 1 - place // {BATCH} * {BATCH}) AS failed FROM d)
 SELECT 1 AS attempt, 'rolled_back' AS status, done AS migrated, failed, done AS rolled_back, 1 AS version, 1 AS target_count, n - 1 AS mismatches FROM b UNION ALL SELECT 2, 'ok', n - 1, 0, 0, 2, n, 0 FROM b""")
 def migration_rollback(spark, d):
     """All but one document move to a store that holds it: first with a planted failure, then without."""
