@@ -1,10 +1,10 @@
 """Licence scans (operator 6): a positional rare-token index.  DataFrame functions only.
 
 Every template (a notice or the opening of a licence text) is a sequence of words.  The index holds the place of
-each of its words but for function words.  A template is looked up in a file where its mandatory phrases all stand and
-enough of its words are held: by those of its words in the file that are of highest IDF over all files, whatever other
-templates the file holds.  A posting and an occurrence in the file agree on a relative position, and a template whose
-words meet at one relative position often enough gives its label.
+each of its words but for function words.  A file looks each template up by those of its words that the file holds and
+that are of highest IDF over all files, whatever other templates the file holds too.  A posting and an occurrence in the
+file agree on a relative position; a template whose words meet at one relative position often enough, and whose mandatory
+phrases all stand in the file, gives its label.
 The base is plain: each place where the words of one of three phrases stand consecutively.
 
 Defined cases: a null or empty text has no words, labels or places and score 0; repeated rows are scanned alike and
@@ -54,6 +54,10 @@ RAREST = 8
 SHARE = 0.6
 
 
+#: Fewer words than the shortest template needs.
+LEAST_WORDS = min(math.ceil(SHARE * min(RAREST, len(set(text.split()) - set(COMMON.split())))) for _, text, _ in TEMPLATES)
+
+
 def _index(spark) -> DataFrame:
     """(template, label, word, place, top): the postings, and how many of its words could be met at most."""
     common = set(COMMON.split())
@@ -70,13 +74,14 @@ def _known() -> list[str]:
 
 
 def _choice(k: int) -> Column:
-    """(template, words): the words by which a template is looked up in a file, or null if it can't be found there."""
+    """(template, words, verified): the words by which a file looks a template up, and whether its mandatory phrases stand
+    there; null if the file holds too few of its words."""
     _, text, phrases = TEMPLATES[k]
     own = sorted(set(text.split()) - set(COMMON.split()))
     words = F.slice(F.array_intersect("rarest_first", F.array_intersect(F.array(*map(F.lit, own)), "held")), 1, RAREST)
     least = math.ceil(SHARE * min(RAREST, len(own)))
     named = F.size(F.array_except(F.array(*map(F.lit, phrases)), "phrases")) == 0
-    return F.when(named, F.when(F.size(words) >= least, F.struct(F.lit(k).alias("template"), words.alias("words"))))
+    return F.when(F.size(words) >= least, F.struct(F.lit(k).alias("template"), words.alias("words"), named.alias("verified")))
 
 
 def _holds(phrase: str) -> Column:
@@ -106,8 +111,8 @@ def fold_capitals(text: Column) -> Column:
 
 def read(docs: DataFrame) -> DataFrame:
     """One narrow row for each file: doc_id, n_words, base places and labels, the template words that it holds, the
-    mandatory phrases that stand in it and, where there are any, the places of the template words.  The texts are read
-    once; the index is made from these rows."""
+    mandatory phrases that stand in it and, where a template could be looked up, the places of the template words.  The
+    texts are read once; the index is made from these rows."""
     known = _known()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.array_remove(F.split(fold_capitals(F.col("text")), SEPARATORS), ""))
@@ -123,7 +128,7 @@ def read(docs: DataFrame) -> DataFrame:
     found = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*known))
     return rows.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), F.size("every").cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"),
-        "base", "held", "phrases", F.when(F.size("phrases") > 0, found).alias("found"),
+        "base", "held", "phrases", F.when(F.size("held") >= LEAST_WORDS, found).alias("found"),
     )
 
 
@@ -140,13 +145,13 @@ def scan(docs: DataFrame) -> DataFrame:
     postings = F.broadcast(_index(spark).join(F.broadcast(idf), "word"))
     by_idf = F.broadcast(idf.groupBy().agg(F.expr("transform(sort_array(collect_list(struct(-idf AS idf, word))), x -> x.word)").alias("rarest_first")))
 
-    # A row for each template that can be found; the files' words are then read against its words only.
+    # A row for each template that a file looks up; the files' words are then read against its words only.
     choices = F.array_compact(F.array(*[_choice(k) for k in range(len(TEMPLATES))]))
-    hits = rows.filter(F.size("phrases") > 0).join(by_idf).select("key", "found", F.explode(choices).alias("choice"))
+    hits = rows.filter(F.size("held") >= LEAST_WORDS).join(by_idf).select("key", "found", F.explode(choices).alias("choice"))
     looked_up = F.filter("found", lambda x: F.array_contains("choice.words", x["word"]))
-    met = hits.select("key", "choice.template", F.explode(looked_up).alias("x")).select("key", "template", "x.word", "x.at").join(postings, ["template", "word"])
-    lined = met.groupBy("key", "template", "label", "top", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"))
-    sure = lined.filter(F.col("n") >= F.ceil(SHARE * F.col("top")))
+    met = hits.select("key", "choice.template", "choice.verified", F.explode(looked_up).alias("x")).select("key", "template", "verified", "x.word", "x.at").join(postings, ["template", "word"])
+    lined = met.groupBy("key", "template", "label", "top", "verified", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("n"))
+    sure = lined.filter((F.col("n") >= F.ceil(SHARE * F.col("top"))) & F.col("verified"))
     more = sure.groupBy("key").agg(F.collect_set("label").alias("more"), F.max(F.least(F.lit(1.0), F.col("n") / F.col("top"))).alias("score"))
 
     out = rows.select("key", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(more, "key", "left")

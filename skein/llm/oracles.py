@@ -62,8 +62,8 @@ WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text
  t AS (SELECT * FROM (VALUES {', '.join(postings)}) v(template, label, word, place, top)), m AS (SELECT * FROM (VALUES {', '.join(must)}) v(template, phrase)),
  held AS (SELECT DISTINCT doc_id, word FROM p WHERE word IN (SELECT word FROM t)),
  idf AS (SELECT word, ln((SELECT count(*) FROM documents) / count(*) + 1) AS idf FROM held GROUP BY 1),
- rare AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS k FROM held JOIN idf USING (word)) WHERE k <= {licenses.RAREST}),
- lined AS (SELECT doc_id, template, label, top, i - 1 - place AS shift, count(DISTINCT word) AS n FROM p JOIN rare USING (doc_id, word) JOIN t USING (word) GROUP BY 1, 2, 3, 4, 5),
+ rare AS (SELECT doc_id, template, word FROM (SELECT doc_id, template, word, row_number() OVER (PARTITION BY doc_id, template ORDER BY idf DESC, word) AS k FROM held JOIN idf USING (word) JOIN (SELECT DISTINCT template, word FROM t) USING (word)) WHERE k <= {licenses.RAREST}),
+ lined AS (SELECT doc_id, template, label, top, i - 1 - place AS shift, count(DISTINCT word) AS n FROM p JOIN rare USING (doc_id, word) JOIN t USING (template, word) GROUP BY 1, 2, 3, 4, 5),
  sure AS (SELECT l.* FROM lined l JOIN w USING (doc_id) WHERE n >= ceil({licenses.SHARE} * top) AND NOT EXISTS (SELECT 1 FROM m WHERE m.template = l.template AND NOT contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' '))),
  f AS (SELECT doc_id, list(DISTINCT label) AS more, max(least(1.0, n / top)) AS score FROM sure GROUP BY 1)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(ls, [])), ',') AS base_labels,
