@@ -58,10 +58,18 @@ def boundary_trim(c: Column, share: float = 0.7) -> Column:
     return F.when(F.length(head) > share * F.length(c), head).otherwise(c)
 
 
+#: Words that tell running prose.
+PROSE = ["است", "بود", "می‌شود", "خواهد", "کرد", "شد"]
+
+
 def analysis(c: Column) -> dict[str, Column]:
+    """Length, words, sentences, paragraphs, and two scores from 0 to 1: headings, list marks and bars by 1000 characters,
+    and prose words by ten words."""
     n, parts = F.size(words(c)), F.size(paragraphs(c))
-    marks = hits(c, r"(?m)^#{1,6}\s") + hits(c, r"(?m)^\s*[-*+]\s") + hits(c, r"(?m)^\|")
-    return {"length": F.length(c), "n_words": n, "n_sentences": hits(c, r"[.!?]+"), "n_paragraphs": parts, "structure": F.least(F.lit(1.0), marks / F.greatest(hits(c, "\n") + 1, F.lit(1)))}
+    marks = hits(c, r"(?m)^#+\s+") + hits(c, r"(?m)^\s*[-*+]\s+") + hits(c, r"\|")
+    prose = sum((hits(c, w) for w in PROSE[1:]), hits(c, PROSE[0]))
+    structure = F.least(F.lit(1.0), marks / F.greatest(F.length(c) / 1000.0, F.lit(1.0)))
+    return {"length": F.length(c), "n_words": n, "n_sentences": hits(c, r"[.!?]+"), "n_paragraphs": parts, "structure": structure, "semantic": F.least(F.lit(1.0), prose / (F.greatest(n, F.lit(1)) / 10.0))}
 
 
 def strategy(length: Column, structure: Column, semantic: Column) -> Column:

@@ -322,13 +322,18 @@ def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("position", "sentence"))
 
 
-@query("chk17_21_22_analysis", """
-WITH a AS (SELECT doc_id, length(text) AS length, len(list_filter(string_split_regex(text,'\\s+'), lambda x: x<>'')) AS n_words, len(regexp_extract_all(text,'[.!?]+')) AS n_sentences, len(list_filter(string_split_regex(text,'\\n\\s*\\n'), lambda p: trim(p)<>'')) AS n_paragraphs FROM documents)
-SELECT *, CASE WHEN length>5000 THEN 'hybrid' ELSE 'token' END AS strategy FROM a""")
+_PROSE = " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in C.PROSE)
+
+
+@query("chk17_21_22_analysis", f"""
+WITH a AS (SELECT doc_id, length(text) AS length, len(list_filter(string_split_regex(text,'\\s+'), lambda x: x<>'')) AS n_words, len(regexp_extract_all(text,'[.!?]+')) AS n_sentences, len(list_filter(string_split_regex(text,'\\n\\s*\\n'), lambda p: trim(p)<>'')) AS n_paragraphs,
+ least(1.0, (len(regexp_extract_all(text,'(?m)^#+\\s+')) + len(regexp_extract_all(text,'(?m)^\\s*[-*+]\\s+')) + length(text) - length(replace(text,'|','')))/greatest(length(text)/1000.0,1.0)) AS st, {_PROSE} AS pr FROM documents),
+ b AS (SELECT *, least(1.0, pr/(greatest(n_words,1)/10.0)) AS se FROM a)
+SELECT doc_id, length, n_words, n_sentences, n_paragraphs, round(st,6) AS structure, round(se,6) AS semantic, CASE WHEN st>0.3 THEN 'hierarchical' WHEN se>0.7 THEN 'semantic' WHEN length>5000 THEN 'hybrid' ELSE 'token' END AS strategy FROM b""")
 def analysis(spark, d):
     a = C.analysis(F.col("text"))
-    t = table(spark, d, "documents").select("doc_id", *[a[n].alias(n) for n in ("length", "n_words", "n_sentences", "n_paragraphs")])
-    return t.withColumn("strategy", C.strategy(F.col("length"), F.lit(0.0), F.lit(0.0)))
+    t = table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in a.items()])
+    return t.withColumn("strategy", C.strategy(F.col("length"), F.col("structure"), F.col("semantic"))).withColumns({n: F.round(n, 6) for n in ("structure", "semantic")})
 
 
 @query("chk19_20_optimised")

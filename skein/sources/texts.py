@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,15 @@ def load(spark: SparkSession, source: str, encoding: str = "UTF-8") -> DataFrame
     if not named:
         return spark.createDataFrame([(None, source)], "path string, text string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    if encoding.upper().replace("-", "") == "UTF8":
+        return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
     # Not decode(): that refuses a text with a single wrong byte.
-    return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), "content").select("path", F.coalesce("text", F.decode("content", "ISO-8859-1") if encoding == "UTF-8" else F.decode("content", encoding)).alias("text"))
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: b.decode(encoding, "replace"))
+
+    return files.select("path", decoded("content").alias("text"))
 
 
 def paragraphs(text: Column) -> Column:
