@@ -42,6 +42,8 @@ PIECE = 1 << 18
 #: Bytes of phrases that are sorted at once.
 SORT_BYTES = 1 << 18
 CROWD = 2000
+#: Bits of the bitmap that tells which phrases are read again: 16 MB, whatever the number of texts.
+SLOTS = 1 << 27
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -113,19 +115,24 @@ def parse_pieces(pieces: list[tuple[int, bytes, int]], length: int, spread: int)
     return grams[trigger].view(np.int64), phrase.view(np.int64), keys, (lo - begins[owner] + offsets), (hi - lo + 1)
 
 
+def _spread(spread: int, length: int) -> int:
+    return min(spread, max(length // 2, length - LEAST_GRAM + 1))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, bytes, int]]:
+    for b in batches:
+        for key, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+            for at in range(0, max(1, len(text) - length + 1), PIECE):
+                yield key, text[at : at + PIECE + length - 1], at
+
+
 def parse(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """(trigger, phrase, key, start, n): the parse of all texts; a phrase has n strings, from start on."""
     names = ["trigger", "phrase", "key", "start", "n"]
-    spread = min(spread, max(length // 2, length - LEAST_GRAM + 1))
-
-    def pieces(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                for at in range(0, max(1, len(text) - length + 1), PIECE):
-                    yield key, text[at : at + PIECE + length - 1], at
+    spread = _spread(spread, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in chunks(pieces(batches)):
+        for group in chunks(_pieces(batches, length)):
             found = parse_pieces(group, length, spread)
             if found is not None:
                 yield pa.record_batch([*(pa.array(c, pa.int64()) for c in found[:3]), *(pa.array(c, pa.int64()).cast(pa.int32()) for c in found[3:])], names=names)
@@ -180,19 +187,45 @@ def _sorted_groups(length: int):
     return run
 
 
-def _phrase_bytes(length: int):
-    """(trigger, key, start, part): the bytes of the phrases that are listed beside a text."""
+def _slots(phrases: DataFrame):
+    """A bitmap of SLOTS bits, broadcast, in which the slot of each (key, start) is set."""
+    slot = F.col("key").bitwiseXOR(F.col("start").cast("long")).bitwiseAND(F.lit(SLOTS - 1))
+    # Spark builds bitmaps of 4096 bytes.
+    rows = phrases.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).toArrow()
+    bits = np.zeros((SLOTS >> 15, 4096), np.uint8)
+    for at, held in zip(rows["at"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+        bits[at] = np.frombuffer(held, np.uint8)
+    return phrases.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def phrase_bytes(keyed: DataFrame, phrases: DataFrame, length: int, spread: int) -> DataFrame:
+    """``phrases`` (trigger, key, start and more) with their bytes as ``part``.
+
+    Texts are parsed once more rather than shuffled: a bitmap of fixed size tells which phrases may be meant, a join with
+    their bytes which are.  The fuller the bitmap, the more are sent in vain."""
+    spread, sent = _spread(spread, length), _slots(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["trigger", "key", "start", "part"]
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                rows = [(p["trigger"], key, p["start"], text[p["start"] : p["start"] + p["n"] + length - 1]) for key, text, ps in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True) for p in ps]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds, strict=True)], names=names)
+        bits = sent.value
+        for group in chunks(_pieces(batches, length)):
+            found = parse_pieces(group, length, spread)
+            if found is None:
+                continue
+            trigger, _, key, start, n = found
+            slot = (key ^ start) & (SLOTS - 1)
+            at = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            if not len(at):
+                continue
+            of = {(k, o): piece for k, piece, o in group}
+            parts = []
+            for k, s, m in zip(key[at].tolist(), start[at].tolist(), n[at].tolist(), strict=True):
+                offset = s // PIECE * PIECE
+                parts.append(of[k, offset][s - offset : s - offset + m + length - 1])
+            yield pa.record_batch([pa.array(trigger[at]), pa.array(key[at]), pa.array(start[at]).cast(pa.int32()), pa.array(parts, pa.binary())], names=["trigger", "key", "start", "part"])
+        give_back()
 
-    return run
+    found = keyed.select("key", "text").filter(F.octet_length("text") >= length).mapInArrow(run, "trigger long, key long, start int, part binary")
+    return phrases.join(found, ["trigger", "key", "start"])
 
 
 def _hashed_suffixes(length: int):
@@ -225,20 +258,17 @@ def repeated(keyed: DataFrame, length: int = LENGTH, spread: int = SPREAD, crowd
 
     # Triggers with different phrases: those that stand once need the suffix order, the others are witnesses.
     mixed = again.filter("mixed")
-    dictionary = cut_lineage(mixed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("key", "start", "n")).alias("one")))
+    dictionary = cut_lineage(mixed.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("key", "start")).alias("one")))
     sizes = cut_lineage(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("different"), F.min("met").alias("least")).filter("least = 1"))
-    open_phrases = cut_lineage(dictionary.join(sizes, "trigger").select("trigger", "one.*", (F.col("different") > crowd).alias("crowded")))
-
-    def parts(crowded: bool) -> DataFrame:
-        by_text = open_phrases.filter(F.col("crowded") == crowded).groupBy("key").agg(F.collect_list(F.struct("trigger", "start", "n")).alias("phrases"))
-        return keyed.join(by_text, "key").select("key", "text", "phrases").mapInArrow(_phrase_bytes(length), "trigger long, key long, start int, part binary")
+    open_phrases = cut_lineage(dictionary.join(sizes, "trigger").select("trigger", "one.key", "one.start", (F.col("different") > crowd).alias("crowded")))
 
+    parts = cut_lineage(phrase_bytes(keyed, open_phrases, length, spread).select("trigger", "key", "start", "part", "crowded"))
     every = again.filter("not mixed").select("key", whole.alias("r")).select("key", "r.*")
     settled = mixed.join(dictionary.filter("met > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("key", whole.alias("r")).select("key", "r.*")
-    ordered = parts(False).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorted_groups(length), "key long, s int, e int")
+    ordered = parts.filter("not crowded").drop("crowded").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sorted_groups(length), "key long, s int, e int")
     every = every.unionByName(settled).unionByName(ordered)
     if not open_phrases.filter("crowded").isEmpty():
-        hashed = parts(True).select("key", "start", "part").mapInArrow(_hashed_suffixes(length), "hash long, key long, s int")
+        hashed = parts.filter("crowded").select("key", "start", "part").mapInArrow(_hashed_suffixes(length), "hash long, key long, s int")
         twice = cut_lineage(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("hash"))
         every = every.unionByName(hashed.join(twice, "hash").select("key", "s", (F.col("s") + length).alias("e")))
     return cut_lineage(every.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("runs")))

@@ -97,28 +97,6 @@ def alerts(spark, d):
     return m.select("l_returnflag", "l_linestatus", *[A.alert(rule, ["n", "quantity", "discount"]).alias(name) for name, rule in rules.items()])
 
 
-@query("exp05_dictionaries", "SELECT * FROM (VALUES " + ", ".join(f"('{kind}', {_q(h)}, {k}, {_q(t)})" for kind, terms in (("synonym", A.SYNONYMS), ("related", A.RELATED)) for h, ts in terms.items() for k, t in enumerate(ts)) + ") v(kind, head, place, term)")
-def dictionaries(spark, d):
-    return spark.createDataFrame([(kind, h, k, t) for kind, terms in (("synonym", A.SYNONYMS), ("related", A.RELATED)) for h, ts in terms.items() for k, t in enumerate(ts)], "kind string, head string, place int, term string")
-
-
-_STOP = ", ".join(map(_q, A.STOP))
-_KEYS = f"list_filter({_W.format('q')}, lambda w: w NOT IN ({_STOP}) AND length(w) > 1)"
-
-
-@query("exp06_stop_list_keywords", f"SELECT id, array_to_string({_KEYS}, '|') AS keywords FROM ({_ASKED})")
-def stop_keywords(spark, d):
-    return asked(spark).select("id", F.array_join(A.keywords(F.col("q")), "|").alias("keywords"))
-
-
-_RELATED = ", ".join(f"({k}, {_q(h)}, {j}, {_q(t)})" for k, (h, ts) in enumerate(A.RELATED.items()) for j, t in enumerate(ts))
-
-
-@query("exp02_related_terms", f"SELECT id, substr(q,1,instr(q,head)-1) || term || substr(q,instr(q,head)+length(head)) AS variant FROM ({_ASKED}), (SELECT * FROM (VALUES {_RELATED}) v(k, head, j, term)) WHERE list_contains({_KEYS}, head)")
-def related(spark, d):
-    return asked(spark).select("id", F.explode(A.related(F.col("q"))).alias("variant"))
-
-
 @query("hyb06_contains_search", f"""WITH t AS (SELECT item_id, {_W.format('lower(text)')} AS w FROM benchmark WHERE item_id % 50 = 0), k AS (SELECT item_id, list_filter(list_distinct(w), lambda x: length(x) > 2) AS ks FROM t),
  u AS (SELECT item_id, kw FROM (SELECT item_id, unnest(w) AS kw, unnest(range(1, len(w)+1)) AS i FROM t) WHERE length(kw) > 2 GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY min(i)) <= 8),
  s AS (SELECT item_id, doc_id, count(*) AS n FROM u JOIN documents ON contains(text, kw) GROUP BY 1,2)

@@ -56,17 +56,30 @@ def _ways(name: str, how: str, sql: str) -> None:
 
 
 _ways("exp01_05_dictionary_synonyms", "synonyms", "s2")
-_ways("exp02_05_dictionary_related", "related", "r2")
+_ways("exp02_related_terms", "related", "r2")
 _ways("exp03_dictionary_context", "context", "c2")
 _ways("exp04_08_dictionary_hybrid", "hybrid", "h2")
 _ways("exp08_unknown_way", "none such", "[q]")
 
 
-@query("exp06_conversation_keywords", f"SELECT conv_id, turn, md5(array_to_string({_KEYS}, '|')) AS keywords FROM ({_ASKED})")
+@query("exp06_stop_list_keywords", f"SELECT conv_id, turn, md5(array_to_string({_KEYS}, '|')) AS keywords FROM ({_ASKED})")
 def conversation_keywords(spark, d):
     return asked(spark, d).select("conv_id", "turn", F.md5(F.array_join(A.keywords(F.col("q")), "|")).alias("keywords"))
 
 
+_DICTIONARIES = ", ".join(f"('{kind}', {_Q(h)}, {k}, {_Q(t)})" for kind, terms in (("synonym", A.SYNONYMS), ("related", A.RELATED)) for h, ts in terms.items() for k, t in enumerate(ts))
+
+
+@query("exp05_dictionaries", f"WITH v AS (SELECT * FROM (VALUES {_DICTIONARIES}) v(kind, head, place, term)), f AS (SELECT DISTINCT head FROM v), c AS (SELECT head, count(*) AS n FROM f JOIN ({_ASKED}) ON contains(q, head) GROUP BY 1) SELECT v.*, coalesce(n, 0) AS asked FROM v LEFT JOIN c USING (head)")
+def dictionaries(spark, d):
+    """The dictionaries, with how many of the users' turns hold each head."""
+    terms = spark.createDataFrame([(kind, h, k, t) for kind, terms in (("synonym", A.SYNONYMS), ("related", A.RELATED)) for h, ts in terms.items() for k, t in enumerate(ts)], "kind string, head string, place int, term string")
+    heads = sorted({*A.SYNONYMS, *A.RELATED})
+    held = F.array_compact(F.array(*[F.when(F.contains("q", F.lit(h)), F.lit(h)) for h in heads]))
+    n = asked(spark, d).select(F.explode(held).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    return terms.join(n, "head", "left").select("kind", "head", "place", "term", F.coalesce("n", F.lit(0)).alias("asked"))
+
+
 #: Words of a benchmark item that are asked first, and words of a run that tells that a document quotes it.
 BRIEF, RUN = 5, 8
 _LOW = "list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')"

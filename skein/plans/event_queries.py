@@ -109,11 +109,14 @@ def trend(spark, d):
     return c.groupBy("event_type").agg(F.round((F.max_by("n", "day") - F.min_by("n", "day")) / F.count(F.lit(1)), 6).alias("trend"))
 
 
-@query("evt18_satisfaction", "WITH r AS (SELECT user_id, 1+event_id%5 s FROM events WHERE event_type='purchase') SELECT user_id, count(*) AS n, round(avg(s),6) AS mean, median(s) AS median, round(stddev_pop(s),6) AS std, count(*) FILTER (s>=4) AS satisfied, round(100.0*count(*) FILTER (s>=4)/count(*),4) AS share FROM r GROUP BY 1")
+@query("evt18_satisfaction", "WITH r AS (SELECT user_id, 1+least(4,floor(value/4)) s FROM events WHERE event_type='purchase') SELECT user_id, count(*) AS n, round(avg(s),6) AS mean, median(s) AS median, round(stddev_pop(s),6) AS std, count(*) FILTER (s>=4) AS satisfied, round(100.0*count(*) FILTER (s>=4)/count(*),4) AS share, CAST(array_to_string([count(*) FILTER (s=1), count(*) FILTER (s=2), count(*) FILTER (s=3), count(*) FILTER (s=4), count(*) FILTER (s=5)], ',') AS VARCHAR) AS histogram, CASE WHEN avg(s)>=4.5 THEN 'very high' WHEN avg(s)>=3.5 THEN 'high' WHEN avg(s)>=2.5 THEN 'medium' WHEN avg(s)>=1.5 THEN 'low' ELSE 'very low' END AS level FROM r GROUP BY 1")
 def satisfaction(spark, d):
-    r = table(spark, d, "events").filter("event_type = 'purchase'").select("user_id", (1 + F.col("event_id") % 5).alias("s"))
-    good, n = F.count(F.when(F.col("s") >= 4, 1)), F.count(F.lit(1))
-    return r.groupBy("user_id").agg(n.alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.median("s").alias("median"), F.round(F.stddev_pop("s"), 6).alias("std"), good.alias("satisfied"), F.round(100.0 * good / n, 4).alias("share"))
+    """Ratings from 1 to 5 by the value of what was bought."""
+    r = table(spark, d, "events").filter("event_type = 'purchase'").select("user_id", (1 + F.least(F.lit(4), F.floor(F.col("value") / 4))).alias("s"))
+    good, n, mean = F.count(F.when(F.col("s") >= 4, 1)), F.count(F.lit(1)), F.avg("s")
+    level = F.when(mean >= 4.5, "very high").when(mean >= 3.5, "high").when(mean >= 2.5, "medium").when(mean >= 1.5, "low").otherwise("very low")
+    histogram = F.concat_ws(",", *[F.count(F.when(F.col("s") == k, 1)).cast("string") for k in range(1, 6)])
+    return r.groupBy("user_id").agg(n.alias("n"), F.round(mean, 6).alias("mean"), F.median("s").alias("median"), F.round(F.stddev_pop("s"), 6).alias("std"), good.alias("satisfied"), F.round(100.0 * good / n, 4).alias("share"), histogram.alias("histogram"), level.alias("level"))
 
 
 @query("evt20_query_clusters", "WITH k AS (SELECT conv_id, list_filter(string_split_regex(lower(text),'\\s+'), lambda w: length(w)>3 AND regexp_matches(w,'^[a-z]+$'))[1] k FROM conversations WHERE role='user') SELECT k AS keyword, count(*) AS n FROM k WHERE k IS NOT NULL GROUP BY 1 HAVING count(*)>1")
@@ -137,9 +140,12 @@ def load(spark, d):
     return h.select("hour", F.round("m", 6).alias("mean"), F.round("v", 6).alias("variance"), (F.row_number().over(Window.partitionBy().orderBy(F.desc("m"), "hour")) <= 3).alias("peak"))
 
 
-@query("evt30_capacity", "SELECT s_suppkey, CAST(CASE WHEN u>=90 THEN 0 ELSE least(ceil(ln(90/u)/ln(1+0.3/30)),365) END AS BIGINT) AS days FROM (SELECT s_suppkey, 20.0+s_suppkey%80 u FROM supplier)")
+@query("evt30_capacity", "SELECT l_suppkey AS s_suppkey, round(u,6) AS used, CAST(CASE WHEN u>=90 THEN 0 ELSE least(ceil(ln(90/u)/ln(1+0.3/30)),365) END AS BIGINT) AS days FROM (SELECT l_suppkey, greatest(1.0, 100.0*count(*) FILTER (l_shipdate < TIMESTAMP '1999-01-01')/count(*)) u FROM lineitem GROUP BY 1)")
 def capacity(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", E.capacity_days(20.0 + F.col("s_suppkey") % 80, 0.3).cast("long").alias("days"))
+    """What share of a supplier's lines had shipped by a day, as capacity in use."""
+    used = F.greatest(F.lit(1.0), 100.0 * F.count(F.when(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz"), 1)) / F.count(F.lit(1)))
+    u = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(used.alias("u"))
+    return u.select("s_suppkey", F.round("u", 6).alias("used"), E.capacity_days(F.col("u"), 0.3).cast("long").alias("days"))
 
 
 _TENANT = "SELECT n_nationkey tenant, count(*) q, sum(o_totalprice) rev, CASE n_regionkey WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'premium' ELSE 'enterprise' END tier FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1, n_regionkey"
@@ -243,21 +249,34 @@ def lookup(spark, d):
     return best.select("query_id", "b.id", F.round(-F.col("b.s"), 6).alias("score"))
 
 
-_CACHE = "SELECT event_id, user_id, event_id%50 access_, (event_id*7)%400 age, (event_id*13)%300 idle, (event_id%10)/10.0 qual FROM events"
+#: A cache's entries: a user's kinds of events; hits are all but the first, times are told from the last event of all.
+_CACHE = "SELECT user_id, event_type, count(*) access_, (max(max(epoch_us(ts))) OVER () - min(epoch_us(ts)))/1e6 age, (max(max(epoch_us(ts))) OVER () - max(epoch_us(ts)))/1e6 idle, least(1.0, avg(value)/20) qual FROM events GROUP BY 1, 2"
 
 
-@query("cac03_05_eviction", f"WITH c AS ({_CACHE}), s AS (SELECT *, round(access_/(age+1),9) u, round(0.4*least(access_/100,1.0)+0.3/(1+idle)+0.2*qual+0.1*least(access_/(age+1),1.0),9) a FROM c) SELECT user_id, (SELECT NULL) IS NULL AS ok, min_by(event_id, (u, event_id)) AS usage, min_by(event_id, (-idle, event_id)) AS lru, min_by(event_id, (access_, event_id)) AS lfu, min_by(event_id, (a, event_id)) AS adaptive FROM s GROUP BY 1")
+def _entries(spark, d):
+    e = table(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    last = e.agg(F.max(at).alias("last"))
+    held = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("a"), F.min(at).alias("made"), F.max(at).alias("seen"), F.least(F.lit(1.0), F.avg("value") / 20).alias("q"))
+    return held.crossJoin(last).withColumns({"age": (F.col("last") - F.col("made")) / 1e6, "idle": (F.col("last") - F.col("seen")) / 1e6})
+
+
+@query("cac03_05_eviction", f"WITH c AS ({_CACHE}), s AS (SELECT *, round(access_/(age+1),12) u, round(0.4*least(access_/100,1.0)+0.3/(1+idle)+0.2*qual+0.1*least(access_/(age+1),1.0),9) a FROM c) SELECT user_id, min_by(event_type, (u, event_type)) AS usage, min_by(event_type, (-idle, event_type)) AS lru, min_by(event_type, (access_, event_type)) AS lfu, min_by(event_type, (a, event_type)) AS adaptive FROM s GROUP BY 1")
 def eviction(spark, d):
-    t = table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 50).alias("a"), ((F.col("event_id") * 7) % 400).alias("age"), ((F.col("event_id") * 13) % 300).alias("idle"), ((F.col("event_id") % 10) / 10.0).alias("q"))
-    first = lambda how: F.min_by("event_id", F.struct(F.round(E.eviction_order(how, F.col("a"), F.col("age"), F.col("idle"), F.col("q")).cast("double"), 9), "event_id")).alias(how)
-    return t.groupBy("user_id").agg(F.lit(True).alias("ok"), *map(first, ("usage", "lru", "lfu", "adaptive")))
+    """The entry of each user that goes first, by each way."""
+    t = _entries(spark, d)
+    digits = {"usage": 12}
+    first = lambda how: F.min_by("event_type", F.struct(F.round(E.eviction_order(how, F.col("a"), F.col("age"), F.col("idle"), F.col("q")).cast("double"), digits.get(how, 9)), "event_type")).alias(how)
+    return t.groupBy("user_id").agg(*map(first, ("usage", "lru", "lfu", "adaptive")))
 
 
-@query("cac06_09_rates", f"WITH c AS ({_CACHE}), r AS (SELECT user_id, count(*) FILTER (age<=300) live, count(*) n, avg(CAST(access_>=20 AS INT)) hit FROM c GROUP BY 1) SELECT user_id, live, n, round(hit,6) AS hit_rate, CASE WHEN hit<0.5 THEN least(CAST(floor(1000*1.2) AS INT),2000) WHEN hit>0.9 THEN greatest(CAST(floor(1000*0.8) AS INT),500) ELSE 1000 END AS size FROM r")
+@query("cac06_09_rates", f"WITH c AS ({_CACHE}), r AS (SELECT user_id, count(*) FILTER (idle<=604800) live, count(*) n, sum(access_-1)/sum(access_) hit, count(*) FILTER (idle>604800)/count(*) evicted, sum(access_-1)/sum(access_)*count(*) FILTER (idle<=604800)/count(*) efficiency FROM c GROUP BY 1) SELECT user_id, live, n, round(hit,6) AS hit_rate, round(1-hit,6) AS miss_rate, round(evicted,6) AS eviction_rate, round(efficiency,6) AS efficiency, CASE WHEN hit<0.5 THEN least(CAST(floor(1000*1.2) AS INT),2000) WHEN hit>0.9 THEN greatest(CAST(floor(1000*0.8) AS INT),500) ELSE 1000 END AS size FROM r")
 def rates(spark, d):
-    t = table(spark, d, "events").select("user_id", (F.col("event_id") % 50).alias("a"), ((F.col("event_id") * 7) % 400).alias("age"))
-    r = t.groupBy("user_id").agg(F.count(F.when(F.col("age") <= 300, 1)).alias("live"), F.count(F.lit(1)).alias("n"), F.avg((F.col("a") >= 20).cast("int")).alias("hit"))
-    return r.select("user_id", "live", "n", F.round("hit", 6).alias("hit_rate"), E.resized(F.lit(1000), F.col("hit")).alias("size"))
+    """Hits, misses and what has gone after a week without access, by user; and the size that follows."""
+    live, n = F.count(F.when(F.col("idle") <= 604_800, 1)), F.count(F.lit(1))
+    hit = F.sum(F.col("a") - 1) / F.sum("a")
+    r = _entries(spark, d).groupBy("user_id").agg(live.alias("live"), n.alias("n"), hit.alias("hit"), ((n - live) / n).alias("evicted"), (hit * live / n).alias("efficiency"))
+    return r.select("user_id", "live", "n", F.round("hit", 6).alias("hit_rate"), F.round(1 - F.col("hit"), 6).alias("miss_rate"), F.round("evicted", 6).alias("eviction_rate"), F.round("efficiency", 6).alias("efficiency"), E.resized(F.lit(1000), F.col("hit")).alias("size"))
 
 
 @query("src05_13_html_content")

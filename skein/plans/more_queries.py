@@ -50,11 +50,12 @@ def lookup(spark, d):
     return table(spark, d, "documents").filter(F.col("doc_id").isin(1, 5, 99, 123456789)).select("doc_id", "lang")
 
 
-@query("src30_log_lines", "SELECT event_id, CASE WHEN event_type='error' THEN 'ERROR' ELSE 'INFO' END AS level, user_id%100 AS line, 'm'||CAST(event_id AS VARCHAR) AS message FROM events WHERE event_id % 10 <> 0")
+@query("src30_log_lines", "SELECT event_id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END AS level, user_id AS line, event_type||' '||props AS message FROM events WHERE value >= 1")
 def log_lines(spark, d):
-    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
-    made = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), level, F.lit("  | app:run:"), (F.col("user_id") % 100).cast("string"), F.lit(" | m"), F.col("event_id").cast("string"))
-    line = F.when(F.col("event_id") % 10 == 0, "no log line").otherwise(made)
+    """Events as lines of a log, read back; small ones are written without a layout and give no row."""
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARNING").otherwise("INFO")
+    made = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), level, F.lit("  | app:run:"), F.col("user_id").cast("string"), F.lit(" | "), F.col("event_type"), F.lit(" "), F.col("props"))
+    line = F.when(F.col("value") < 1, F.concat(F.lit("value "), F.col("value").cast("string"))).otherwise(made)
     parsed = table(spark, d, "events").select("event_id", L.parse(line).alias("x")).filter("x is not null")
     return parsed.select("event_id", "x.level", F.col("x.line").cast("long").alias("line"), "x.message")
 
@@ -96,11 +97,18 @@ def retrieve(spark, d):
     return top.select("query_id", "id", F.round(S.combined(F.col("score"), (F.col("id") % 10) / 10.0, 0.3), 6).alias("score"))
 
 
-@query("rrk04_metadata_score", "SELECT doc_id, round(greatest(0,least(1,CASE doc_id%6 WHEN 0 THEN 0.10 WHEN 1 THEN 0.08 WHEN 2 THEN 0.05 WHEN 3 THEN 0.05 WHEN 4 THEN 0.02 ELSE 0.01 END+least((doc_id%9)*0.02,0.1)+least((doc_id%7)*0.01,0.05)+least((doc_id%5)*0.03,0.1)+CASE WHEN n_chars//5 BETWEEN 100 AND 800 THEN 0.1 WHEN n_chars//5 BETWEEN 50 AND 1500 THEN 0.05 ELSE 0 END+CASE WHEN doc_id%2=0 THEN 0.05 ELSE 0 END+0.05)),6) AS score FROM documents")
+@query("rrk04_metadata_score", """
+WITH p AS (SELECT page_id, html, len(regexp_extract_all(html, '(?i)<h[1-6][^>]*>')) AS h, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS l, len(regexp_extract_all(html, '(?i)<table[^>]*>')) AS t,
+ len(list_filter(string_split_regex(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS n FROM pages)
+SELECT page_id, round(greatest(0, least(1, 0.05 + least(h * 0.02, 0.1) + least(l * 0.01, 0.05) + least(t * 0.03, 0.1) + CASE WHEN n BETWEEN 100 AND 800 THEN 0.1 WHEN n BETWEEN 50 AND 1500 THEN 0.05 ELSE 0 END
+ + CASE WHEN regexp_matches(html, '\\d{4}-\\d{2}-\\d{2}') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(html, '(?i)<html[^>]*\\blang="[^"]+"') THEN 0.05 ELSE 0 END)), 6) AS score FROM p""")
 def metadata_score(spark, d):
-    i = F.col("doc_id")
-    kind = F.element_at(F.array(*map(F.lit, ["pdf", "docx", "html", "md", "txt", "odt"])), (i % 6 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", F.round(D.metadata_score(kind, i % 9, i % 7, i % 5, F.floor(F.col("n_chars") / 5), i % 2 == 0, F.col("lang").isNotNull()), 6).alias("score"))
+    """Pages by what their own markup tells."""
+    html = F.col("html")
+    words = F.size(F.filter(F.split(F.regexp_replace(html, "<[^>]*>", " "), r"\s+"), lambda x: x != ""))
+    count = lambda pattern: F.regexp_count(html, F.lit(pattern))
+    told = D.metadata_score(F.lit("html"), count(r"(?i)<h[1-6][^>]*>"), count(r"(?i)<a\s[^>]*href="), count(r"(?i)<table[^>]*>"), words, html.rlike(r"\d{4}-\d{2}-\d{2}"), html.rlike(r'(?i)<html[^>]*\blang="[^"]+"'))
+    return table(spark, d, "pages").select("page_id", F.round(told, 6).alias("score"))
 
 
 @query("vec05_06_bucketed_search")
@@ -170,11 +178,19 @@ def topics(spark, d):
     return n.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "topic"))).filter("i <= 5").drop("i")
 
 
-@query("evt27_threshold_anomalies", "WITH x AS (SELECT event_id, value*2 cpu, value/10 latency FROM events), a AS (SELECT event_id, 'cpu' AS kind, CASE WHEN cpu>90 THEN 'critical' WHEN cpu>80 THEN 'high' END AS severity FROM x UNION ALL SELECT event_id, 'latency', CASE WHEN latency>5 THEN 'critical' WHEN latency>2 THEN 'high' END FROM x) SELECT * FROM a WHERE severity IS NOT NULL")
+@query("evt27_threshold_anomalies", """
+WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT event_type) AS kinds, max(value) AS slow, avg(CAST(event_type='error' AS INT)) AS errors FROM events GROUP BY 1,2),
+ x AS (SELECT *, 100.0*n/max(n) OVER (PARTITION BY day) AS cpu, 100.0*kinds/5 AS memory FROM h),
+ a AS (SELECT user_id, day, 'cpu' AS kind, CASE WHEN cpu>90 THEN 'critical' WHEN cpu>80 THEN 'high' END AS severity FROM x UNION ALL SELECT user_id, day, 'memory', CASE WHEN memory>95 THEN 'critical' WHEN memory>85 THEN 'high' END FROM x
+  UNION ALL SELECT user_id, day, 'latency', CASE WHEN slow>50 THEN 'critical' WHEN slow>20 THEN 'high' END FROM x UNION ALL SELECT user_id, day, 'errors', CASE WHEN errors>0.1 THEN 'critical' WHEN errors>0.05 THEN 'high' END FROM x)
+SELECT * FROM a WHERE severity IS NOT NULL""")
 def threshold_anomalies(spark, d):
-    grade = lambda c, high, mid: F.when(c > high, "critical").when(c > mid, "high")
-    kinds = F.array(F.struct(F.lit("cpu").alias("kind"), grade(F.col("value") * 2, 90, 80).alias("severity")), F.struct(F.lit("latency").alias("kind"), grade(F.col("value") / 10, 5, 2).alias("severity")))
-    return table(spark, d, "events").select("event_id", F.inline(kinds)).filter("severity is not null")
+    """A user's day: load against the day's busiest, kinds in use, the slowest event, the share of errors."""
+    h = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("kinds"), F.max("value").alias("slow"), F.avg((F.col("event_type") == "error").cast("int")).alias("errors"))
+    busiest = h.groupBy("day").agg(F.max("n").alias("most"))
+    grade = lambda kind, c, high, mid: F.struct(F.lit(kind).alias("kind"), F.when(c > high, "critical").when(c > mid, "high").alias("severity"))
+    kinds = F.array(grade("cpu", 100.0 * F.col("n") / F.col("most"), 90, 80), grade("memory", 100.0 * F.col("kinds") / 5, 95, 85), grade("latency", F.col("slow"), 50, 20), grade("errors", F.col("errors"), 0.1, 0.05))
+    return h.join(busiest, "day").select("user_id", "day", F.inline(kinds)).filter("severity is not null")
 
 
 @query("evt34_security_report", "WITH u AS (SELECT user_id, count(*) FILTER (event_type='error') f, count(*) n FROM events GROUP BY 1) SELECT user_id, f AS failures, least(100, CASE WHEN f>20 THEN 40 WHEN f>10 THEN 20 ELSE 0 END + CASE WHEN f/n>0.3 THEN 30 WHEN f/n>0.15 THEN 15 ELSE 0 END) AS risk FROM u")
@@ -196,10 +212,12 @@ def log_report(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(n.alias("n"), F.round(100.0 * F.count(F.when(F.col("event_type") == "error", 1)) / n, 4).alias("error_percent"), F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query("evt46_model_rates", "SELECT label AS model, count(*) AS n, round(avg((vec_id%100)/100.0),6) AS confidence, round(avg(CAST((vec_id%100)/100.0>0.8 AND (vec_id%37)/37.0>0.7 AS INT)),6) AS high_quality FROM embeddings GROUP BY 1")
+@query("evt46_model_rates", "WITH m AS (SELECT lang AS model, l.quality * 1.0 AS quality, least(1.0, n_chars / 2000.0) AS confidence FROM documents JOIN labels l USING (doc_id)) SELECT model, count(*) AS n, round(avg(confidence),6) AS confidence, round(avg(quality),6) AS quality, round(avg(CAST(confidence>0.8 AND quality>0.7 AS INT)),6) AS high_quality, round(avg(CAST(confidence<0.5 AS INT)),6) AS low_confidence FROM m GROUP BY 1")
 def model_rates(spark, d):
-    conf, qual = (F.col("vec_id") % 100) / 100.0, (F.col("vec_id") % 37) / 37.0
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(conf), 6).alias("confidence"), F.round(F.avg(((conf > 0.8) & (qual > 0.7)).cast("int")), 6).alias("high_quality"))
+    """By language as model: the labelled quality, and confidence that grows with the text."""
+    m = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("lang").alias("model"), F.col("quality").cast("double").alias("quality"), F.least(F.lit(1.0), F.col("n_chars") / 2000.0).alias("confidence"))
+    share = lambda test: F.round(F.avg(test.cast("int")), 6)
+    return m.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.avg("quality"), 6).alias("quality"), share((F.col("confidence") > 0.8) & (F.col("quality") > 0.7)).alias("high_quality"), share(F.col("confidence") < 0.5).alias("low_confidence"))
 
 
 @query("evt50_rapid_fire", "WITH g AS (SELECT user_id, epoch_us(ts)-lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) g FROM events) SELECT user_id, round(0.1*count(*) FILTER (g < 60000000)/count(*),8) AS score FROM g GROUP BY 1")
@@ -216,11 +234,15 @@ def admission(spark, d):
     return c.filter(F.col("age") > F.greatest(F.lit(1), F.floor(F.col("n") / 10))).select("event_id")
 
 
-@query("cac11_strategies", "SELECT doc_id, (n_chars>10) AS exact_, (n_chars%100)/100.0>=0.7 AS semantic, (n_chars>10 AND (n_chars%100)/100.0>=0.6) AS fuzzy, CAST(n_chars>10 AS INT)+CAST((n_chars%100)/100.0>=0.7 AS INT)+CAST(n_chars>10 AND (n_chars%100)/100.0>=0.6 AS INT)>=2 AS hybrid FROM documents")
+@query("cac11_strategies", """WITH w AS (SELECT doc_id, n_chars, list_filter(string_split_regex(lower(text),'\\s+'), lambda x: x<>'') AS ws FROM documents), c AS (SELECT doc_id, n_chars, round(CASE WHEN len(ws)=0 THEN 0 ELSE len(list_distinct(ws))/len(ws) END, 9) AS c FROM w)
+SELECT doc_id, (n_chars>10) AS exact_, c>=0.7 AS semantic, (n_chars>10 AND c>=0.6) AS fuzzy, CAST(n_chars>10 AS INT)+CAST(c>=0.7 AS INT)+CAST(n_chars>10 AND c>=0.6 AS INT)>=2 AS hybrid FROM c""")
 def strategies(spark, d):
-    c, long_ = (F.col("n_chars") % 100) / 100.0, F.col("n_chars") > 10
+    """Which strategies keep a text; how sure one is of it is the share of different words."""
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    t = table(spark, d, "documents").select("doc_id", "n_chars", w.alias("w"))
+    c, long_ = F.round(F.when(F.size("w") == 0, 0.0).otherwise(F.size(F.array_distinct("w")) / F.size("w")), 9), F.col("n_chars") > 10
     parts = [long_, c >= 0.7, long_ & (c >= 0.6)]
-    return table(spark, d, "documents").select("doc_id", parts[0].alias("exact_"), parts[1].alias("semantic"), parts[2].alias("fuzzy"), (sum((p.cast("int") for p in parts), F.lit(0)) >= 2).alias("hybrid"))
+    return t.select("doc_id", parts[0].alias("exact_"), parts[1].alias("semantic"), parts[2].alias("fuzzy"), (sum((p.cast("int") for p in parts), F.lit(0)) >= 2).alias("hybrid"))
 
 
 @query("cac12_stability", "SELECT user_id, round(1-least(stddev_pop(value)/avg(value),1),6) AS stability FROM events GROUP BY 1")

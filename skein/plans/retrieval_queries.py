@@ -71,9 +71,12 @@ def collapse(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.collapse(F.col("text"))).alias("m"))
 
 
-@query("vec17_parent_boost", "SELECT vec_id, round(least(1.0, (vec_id%97)/100.0 + 0.1*max((vec_id%97)/100.0) OVER (PARTITION BY label)),6) AS score FROM embeddings")
+@query("vec17_parent_boost", "WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, label, round((1+list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]))/2,9) AS s FROM embeddings, q) SELECT vec_id, round(least(1.0, s + 0.1*max(s) OVER (PARTITION BY label)),6) AS score FROM s")
 def boost(spark, d):
-    scored = table(spark, d, "embeddings").select("vec_id", "label", ((F.col("vec_id") % 97) / 100.0).alias("score"))
+    """Likeness to the first vector, raised by the best of a vector's label."""
+    e = table(spark, d, "embeddings")
+    first = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("_v"))
+    scored = e.crossJoin(first).select("vec_id", "label", F.round((1 + V.cosine(F.col("embedding"), F.col("_v"))) / 2, 9).alias("score"))
     return V.parent_boost(scored, "score", "label").select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -149,17 +152,20 @@ def citations(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.round(F.least(F.lit(1.0), F.count(F.lit(1)) / 500.0), 6).alias("confidence"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-_O = "SELECT o_orderkey, o_totalprice/600000.0 base, (o_custkey*37)%4000 n, o_custkey%1500 v, o_orderkey%300 l, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') d, (CAST(coalesce(o_orderstatus<>'',false) AS INT)+CAST(coalesce(o_orderpriority<>'',false) AS INT))/2.0 m FROM orders"
+_O = "SELECT o_orderkey, o_totalprice/600000.0 base, coalesce(n,0) n, v, coalesce(l,0) l, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') d, (CAST(coalesce(o_orderstatus<>'',false) AS INT)+CAST(coalesce(o_orderpriority<>'',false) AS INT))/2.0 m FROM orders JOIN (SELECT o_custkey, count(*) * 100 AS v FROM orders GROUP BY 1) USING (o_custkey) LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) * 20 AS BIGINT) AS n, count(*) * 100 AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
 
 
 @query("sco01_09_scores", f"""WITH o AS ({_O}), s AS (SELECT o_orderkey, base, CASE WHEN n<500 THEN n/500 WHEN n<=2000 THEN 1.0 ELSE greatest(0.5,1-(n-2000)/10000) END len, CASE WHEN d<=7 THEN 1.0 WHEN d<=30 THEN 0.8 WHEN d<=90 THEN 0.6 WHEN d<=365 THEN 0.4 ELSE 0.2 END rec, m, base*exp(-0.1*d) dec,
  greatest(0,least(1,0.7*base+0.3*(least(v/1000,1)*0.3+least(l/1000,1)*0.4))) pop FROM o), w AS (SELECT *, greatest(0,least(1,0.5*base+0.1*len+0.1*m+0.2*rec)) wt FROM s)
 SELECT o_orderkey, round(len,9) AS length, rec AS recency, round(wt,9) AS weighted, round(dec,9) AS decay, round(pop,9) AS popularity, round(0.4*wt+0.2*dec+0.2*pop+0.2*m,9) AS hybrid FROM w""")
 def scores(spark, d):
-    o = table(spark, d, "orders")
+    """Orders as documents: length by what was ordered, views by the customer's orders, likes by lines, in hundreds."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.sum("l_quantity") * 20).cast("long").alias("n"), (F.count(F.lit(1)) * 100).alias("l"))
+    views = table(spark, d, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) * 100).alias("v"))
+    o = table(spark, d, "orders").join(views, "o_custkey").join(lines, "o_orderkey", "left").fillna(0, ["n", "l"])
     days = S.age_days(F.to_date("o_orderdate"), F.lit("1998-08-02").cast("date"))
     base = F.col("o_totalprice") / 600000.0
-    t = o.select("o_orderkey", base.alias("base"), S.length_score((F.col("o_custkey") * 37) % 4000).alias("len"), S.recency(days).alias("rec"), S.metadata_quality([F.col("o_orderstatus"), F.col("o_orderpriority")]).alias("m"), S.decayed(base, days).alias("dec"), S.popularity(base, F.col("o_custkey") % 1500, F.col("o_orderkey") % 300, F.lit(0), F.lit(0)).alias("pop"))
+    t = o.select("o_orderkey", base.alias("base"), S.length_score(F.col("n")).alias("len"), S.recency(days).alias("rec"), S.metadata_quality([F.col("o_orderstatus"), F.col("o_orderpriority")]).alias("m"), S.decayed(base, days).alias("dec"), S.popularity(base, F.col("v"), F.col("l"), F.lit(0), F.lit(0)).alias("pop"))
     t = t.withColumn("wt", S.weighted(F.col("base"), F.col("len"), F.col("m"), F.col("rec")))
     h = S.hybrid(F.col("wt"), F.col("dec"), F.col("pop"), F.col("m"))
     return t.select("o_orderkey", F.round("len", 9).alias("length"), F.col("rec").alias("recency"), F.round("wt", 9).alias("weighted"), F.round("dec", 9).alias("decay"), F.round("pop", 9).alias("popularity"), F.round(h, 9).alias("hybrid"))
