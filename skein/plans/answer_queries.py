@@ -186,10 +186,10 @@ def token_truncate(spark, d):
 TEMPLATE = "Answer {question} in {language}. Sources: {sources}. {missing}"
 
 
-@query("prj09_prompt_templates", f"SELECT doc_id, replace(replace(replace({_q(TEMPLATE)},'{{question}}',substr(text,1,20)),'{{language}}',lang),'{{sources}}',source) AS prompt, 'question,language,sources,missing' AS variables FROM documents")
+@query("prj09_prompt_templates", f"SELECT doc_id, md5(replace(replace(replace({_q(TEMPLATE)},'{{question}}',text),'{{language}}',lang),'{{sources}}',source)) AS prompt, 'question,language,sources,missing' AS variables FROM documents")
 def prompts(spark, d):
-    filled = S.filled(TEMPLATE, {"question": F.substring("text", 1, 20), "language": F.col("lang"), "sources": F.col("source")})
-    return table(spark, d, "documents").select("doc_id", filled.alias("prompt"), F.array_join(S.variables(F.lit(TEMPLATE)), ",").alias("variables"))
+    filled = S.filled(TEMPLATE, {"question": F.col("text"), "language": F.col("lang"), "sources": F.col("source")})
+    return table(spark, d, "documents").select("doc_id", F.md5(filled).alias("prompt"), F.array_join(S.variables(F.lit(TEMPLATE)), ",").alias("variables"))
 
 
 @query("chk24_paragraphs", "SELECT doc_id, k, md5(trim(p, chr(10))) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10)||chr(10))) AS p, unnest(range(0, len(string_split(text, chr(10)||chr(10))))) AS k FROM documents)")

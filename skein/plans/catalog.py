@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import aggregate_queries, answer_queries, deeper_queries, event_queries, extra_queries, filter_queries, more_queries, reading_queries, retrieval_queries, span_queries, store_queries  # noqa: F401  they register themselves
+from skein.plans import aggregate_queries, answer_queries, deeper_queries, event_queries, extra_queries, filter_queries, more_queries, reading_queries, report_queries, retrieval_queries, span_queries, store_queries  # noqa: F401  they register themselves
 from skein.plans.registry import ORACLES, QUERIES
 
 

@@ -89,13 +89,6 @@ def types(spark, d):
     return c.select("event_type", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share"))
 
 
-@query("evt15_session_lengths")
-def lengths(spark, d):
-    s = SC.sessions(table(spark, d, "events"), "user_id", "ts").withColumn("seconds", (F.col("last") - F.col("start")) / _SECONDS)
-    band = F.when(F.col("seconds") < 300, "short").when(F.col("seconds") < 1800, "medium").otherwise("long")
-    return s.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("seconds"), 3).alias("mean"), F.round(F.stddev_pop("seconds"), 3).alias("std"))
-
-
 @query("evt16_engagement", "WITH u AS (SELECT user_id, count(*) n, count(DISTINCT CAST(ts AS DATE)) dd FROM events GROUP BY 1) SELECT user_id, n AS activities, dd AS active_days, round(n/dd,6) AS per_day, CASE WHEN n/dd>10 THEN 'high' WHEN n/dd>=3 THEN 'medium' ELSE 'low' END AS level FROM u")
 def engagement(spark, d):
     u = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("activities"), F.countDistinct(F.to_date("ts")).alias("active_days"))

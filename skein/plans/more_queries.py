@@ -82,13 +82,6 @@ def keywords(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.keywords(F.col("text")), " ").alias("keywords"))
 
 
-@query("hyb10_score_fusion", "WITH s AS (SELECT vec_id%100 q, vec_id id, (vec_id%10)/10.0 c FROM embeddings WHERE label < 6), k AS (SELECT vec_id%100 q, vec_id id, (vec_id%5)/5.0 h FROM embeddings WHERE label > 3) SELECT coalesce(s.q,k.q) AS q, coalesce(s.id,k.id) AS id, round(0.7*coalesce(c,0)+(1-0.7)*coalesce(h,0),6) AS score FROM s FULL JOIN k ON s.q=k.q AND s.id=k.id")
-def score_fusion(spark, d):
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 100).alias("q"), F.col("vec_id").alias("id"), "label")
-    s, k = e.filter("label < 6").drop("label").withColumn("cosine", (F.col("id") % 10) / 10.0), e.filter("label > 3").drop("label").withColumn("hits", (F.col("id") % 5) / 5.0)
-    return R.fuse_scores(s, k, 0.7, ["q", "id"]).select("q", "id", F.round("score", 6).alias("score"))
-
-
 @query("hyb14_retrieve", """WITH p AS (SELECT q.vec_id qid, r.vec_id id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]),9) s FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) k FROM p)
 SELECT qid AS query_id, id, round(0.7*s+0.3*((id%10)/10.0),6) AS score FROM r WHERE k <= 5 AND s >= 0.25""")
 def retrieve(spark, d):

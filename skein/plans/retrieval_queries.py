@@ -192,11 +192,6 @@ def content(spark, d):
     return table(spark, d, "documents").select("doc_id", X.held(t, X.TOXIC).alias("toxic_words"), F.round(F.least(X.held(t, X.TOXIC) / 3, F.lit(1.0)), 6).alias("toxicity"), F.round(X.personal_score(t), 6).alias("personal"), F.md5(X.redact(t, X.TOXIC)).alias("redacted"))
 
 
-@query("fun04_07_content_class")
-def content_class(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.content_class(F.col("text")).alias("content_class"), F.round(X.spam_score(F.col("text")), 6).alias("spam"))
-
-
 @query("fun08_11_query_features", f"""WITH t AS (SELECT conv_id, turn, text, len({_WORDS.format('text')}) w FROM conversations WHERE role='user')
 SELECT conv_id, turn, round(0.3*least(w/20,1)+0.2*least(length(text)/200,1)+0.2*least(len(regexp_extract_all(text,'\\?'))/3,1)+0.3*least(len(regexp_extract_all(text,'[^A-Za-z0-9_\\s]'))/10,1),6) AS complexity, CASE WHEN w<=3 THEN 'short' WHEN w<=8 THEN 'medium' ELSE 'long' END AS band,
  CASE WHEN regexp_matches(lower(text),'count|sum|average|total') THEN 'aggregation' WHEN regexp_matches(lower(text),'search|find|look') THEN 'search' WHEN regexp_matches(lower(text),'get|retrieve|show') THEN 'retrieval' ELSE 'general' END AS kind FROM t""")
@@ -219,8 +214,3 @@ def answers(spark, d):
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
     p = q.join(a, ["conv_id", "turn"]).filter(F.size(X.words(F.col("q"))) > 0)
     return p.select("conv_id", "turn", F.round(X.overlap(F.col("q"), F.col("a")), 6).alias("relevance"), F.round(X.completeness(F.col("a"), 50), 6).alias("completeness"))
-
-
-@query("exp01_08_expansion")
-def expansion(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.posexplode(R.expand(F.col("text"))).alias("position", "variant"))
