@@ -120,6 +120,14 @@ def search(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, p
     return _top(both, k).select("query_id", "id", "score", "rank")
 
 
+def within(rows: DataFrame, queries: DataFrame, id_: str, vector: str, key: str, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest of each query among the rows of its own key, exact.  A key's rows are
+    dealt in blocks like a list's; a row or query without a key meets none."""
+    side = lambda df: df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.lit(b"").alias("signature"), F.col(key).alias("list"))
+    sizes = rows.groupBy(F.col(key).alias("list")).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("blocks"))
+    return _top(_met(side(rows), side(queries).withColumn("bound", F.lit(None).cast("double")), sizes, k, 0.0), k).select("query_id", "id", "score", "rank")
+
+
 def measured(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, **how) -> DataFrame:
     """One row: queries, rows, recall against the exact search, and the mean share of all rows that were compared."""
     exact = batch_topk(rows, queries, id_, vector, k).select("query_id", "id")

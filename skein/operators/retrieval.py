@@ -17,12 +17,29 @@ def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), F.explode(word_set(F.col(text))).alias("term"))
 
 
-def keyword_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str, k: int) -> DataFrame:
-    """(query_id, id, n, rank): documents by how many of a query's different words they hold; ties to the smaller id."""
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column | str], k: int, parts: int = 64) -> DataFrame:
+    """The first k rows of each key, by parts of a key first, so that a hot key isn't sorted in one task."""
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    first = lambda rows, by: rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= k).drop("_k")
+    return first(first(df.withColumn("_part", part), [*keys, "_part"]).drop("_part"), keys)
+
+
+def keyword_counts(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str) -> DataFrame:
+    """(query_id, id, n): how many of a query's different words a document holds, where it holds any."""
     asked = postings(queries, query_id, text).withColumnRenamed("id", "query_id")
     # The words of the queries are few next to those of all documents; Spark broadcasts them if they are small.
-    n = postings(docs, doc_id, text).join(asked, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "id"))).filter(F.col("rank") <= k)
+    return postings(docs, doc_id, text).join(asked, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def placed(counts: DataFrame, order: list[Column | str], k: int) -> DataFrame:
+    """The first k of each query, with their rank."""
+    best = first_of_each(counts, ["query_id"], order, k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
+def keyword_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str, k: int) -> DataFrame:
+    """(query_id, id, n, rank): documents by how many of a query's different words they hold; ties to the smaller id."""
+    return placed(keyword_counts(docs, queries, doc_id, query_id, text), [F.desc("n"), "id"], k)
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, alpha: Column | float, keys: list[str]) -> DataFrame:

@@ -103,13 +103,15 @@ def alerts(spark, d):
 SELECT item_id, doc_id, round(n / max(n) OVER (PARTITION BY item_id), 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) <= 20""")
 def contains_search(spark, d):
     asked_ = table(spark, d, "benchmark").filter("item_id % 50 = 0").select("item_id", F.explode(F.slice(X.keywords(F.col("text"), 8), 1, 8)).alias("keyword"))
-    # The stated queries, eight keywords each, in one row: each text is searched once for all of them.
-    block = F.broadcast(asked_.agg(F.collect_list(F.struct("item_id", "keyword")).alias("asked")))
-    hits = table(spark, d, "documents").join(block).select("doc_id", F.explode(F.filter("asked", lambda a: F.contains(F.col("text"), a["keyword"]))).alias("a"))
-    n = hits.groupBy("a.item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy("item_id").agg(F.max("n").alias("most"))
-    ranked = n.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 20")
-    return ranked.join(F.broadcast(best), "item_id").select("item_id", "doc_id", F.round(F.col("n") / F.col("most"), 6).alias("score"))
+    # The stated queries, eight keywords each, in blocks: each text is searched once for all keywords of a block.
+    blocks = max(1, -(-asked_.count() // 4096))
+    block = asked_.groupBy(F.pmod(F.xxhash64("keyword"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "keyword")).alias("asked"))
+    texts = table(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    hits = texts.join(block, "block").select("doc_id", F.explode(F.filter("asked", lambda a: F.contains(F.col("text"), a["keyword"]))).alias("a"))
+    n = hits.groupBy(F.col("a.item_id").alias("query_id"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    # The best is the first in rank.
+    best = R.placed(n, [F.desc("n"), "id"], 20).withColumn("most", F.max("n").over(Window.partitionBy("query_id")))
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round(F.col("n") / F.col("most"), 6).alias("score"))
 
 
 _NEAR = "p AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]),9) AS s FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM p)"
@@ -169,11 +171,11 @@ def previews(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id")
     first = None
     for _ in range(3):
-        left = docs if first is None else docs.join(F.broadcast(first), "source").filter(F.col("doc_id") > F.col("last")).select("source", "doc_id")
+        left = docs if first is None else docs.join(first, "source").filter(F.col("doc_id") > F.col("last")).select("source", "doc_id")
         one = left.groupBy("source").agg(F.min("doc_id").alias("last"))
         chosen = one.select("source", F.col("last").alias("doc_id")) if first is None else chosen.unionByName(one.select("source", F.col("last").alias("doc_id")))
         first = one
-    shown = table(spark, d, "documents").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    shown = table(spark, d, "documents").join(chosen.select("doc_id"), "doc_id")
     return shown.groupBy("source").agg(F.expr("array_join(transform(sort_array(collect_list(struct(doc_id, concat(substr(text, 1, 100), '...') AS p))), x -> x.p), '|')").alias("previews"))
 
 

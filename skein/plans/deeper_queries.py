@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators import answers as A
@@ -139,13 +139,6 @@ def satisfaction(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.least(F.lit(1.0), F.avg("value") / FULL).alias("satisfaction"))
 
 
-def first_of_each(df: DataFrame, keys: list[str], order: list[Column | str], k: int, parts: int = 64) -> DataFrame:
-    """The first k rows of each key, by parts of a key first, so that a hot key isn't sorted in one task."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
-    first = lambda rows, by: rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= k).drop("_k")
-    return first(first(df.withColumn("_part", part), [*keys, "_part"]).drop("_part"), keys)
-
-
 @query("evt21_popular_topics", f"""
 WITH {_FAVOURITES}, tq AS (SELECT topic, e.event_type FROM fa JOIN events e USING (user_id) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY e.user_id, e.ts, e.event_id) <= 10),
  r AS (SELECT topic, avg(CAST(contains(event_type, topic) AS INT)) AS relevance FROM tq GROUP BY 1)
@@ -153,7 +146,7 @@ SELECT topic, count(*) AS frequency, round(max(relevance), 6) AS relevance, roun
 def popular_topics(spark, d):
     e = table(spark, d, "events")
     fa = favourites(e)
-    asked_first = first_of_each(fa.join(e, "user_id").select("topic", "user_id", "ts", "event_id", "event_type"), ["topic"], ["user_id", "ts", "event_id"], 10)
+    asked_first = R.first_of_each(fa.join(e, "user_id").select("topic", "user_id", "ts", "event_id", "event_type"), ["topic"], ["user_id", "ts", "event_id"], 10)
     relevance = asked_first.groupBy("topic").agg(F.avg(F.contains("event_type", "topic").cast("int")).alias("relevance"))
     told = fa.join(satisfaction(e), "user_id").groupBy("topic").agg(F.count(F.lit(1)).alias("frequency"), F.avg("satisfaction").alias("engagement")).orderBy(F.desc("frequency"), "topic").limit(15).join(relevance, "topic")
     return told.select("topic", "frequency", F.round("relevance", 6).alias("relevance"), F.round("engagement", 6).alias("engagement"), F.round(F.col("frequency") * F.col("relevance") * F.col("engagement"), 6).alias("score"))

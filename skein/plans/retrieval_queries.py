@@ -106,9 +106,8 @@ def keyword(spark, d):
 SELECT qid AS query_id, id, round(sem,4) AS semantic, round(kw,4) AS keyword, round(0.7*sem+0.3*kw,6) AS score FROM f WHERE 0.7*sem+0.3*kw >= 0.3""")
 def fusion(spark, d):
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
-    kw = R.keyword_search(docs, asked, "doc_id", "item_id", "text", 20)
-    all_ = R.keyword_search(docs, asked, "doc_id", "item_id", "text", 1 << 30)
-    sem = all_.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("id")))).filter("rank <= 20")
+    n = R.keyword_counts(docs, asked, "doc_id", "item_id", "text")
+    kw, sem = R.placed(n, [F.desc("n"), "id"], 20), R.placed(n, [F.desc("n"), F.desc("id")], 20)
     f = R.fuse(sem, kw, 0.7, ["query_id", "id"]).filter("score >= 0.3")
     return f.select("query_id", "id", F.round("semantic", 4).alias("semantic"), F.round("keyword", 4).alias("keyword"), F.round("score", 6).alias("score"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skein.operators import answers as A
-from skein.operators import chunkers, folds
+from skein.operators import chunkers, folds, retrieval
 from skein.operators import expansion as E
 from skein.operators import spans as S
 from skein.plans import deeper_queries as D
@@ -63,7 +63,7 @@ def test_each_document_by_its_own_strategy(spark):
 def test_first_rows_of_a_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(99).alias("k"), ((F.col("id") * 37) % 5003).alias("v"))
     got = {}
-    for r in D.first_of_each(df, ["k"], ["v"], 4).collect():
+    for r in retrieval.first_of_each(df, ["k"], ["v"], 4).collect():
         got.setdefault(r.k, []).append(r.v)
     want = {}
     for r in df.orderBy("v").collect():
