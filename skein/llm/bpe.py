@@ -10,7 +10,8 @@ pair of ASCII characters of different kinds (letter, digit, other; no apostrophe
 
 Defined cases: a null or empty text has no ids; repeated rows are encoded alike; other columns are ignored; an empty
 table gives an empty result; a text with a no-break space before a space or with an added token is cut and encoded by itself; a very
-long text is a chunk of its own; a text without any forced cut is one fragment.
+long text is a chunk of its own; a text without any forced cut is one fragment; of pairs of equal rank the first merges, as
+in the library.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Readers use the index alone: :func:`headers` reads the 33 bytes of signature and
 range, :func:`read_back` the whole member.
 
 Defined cases: a null or empty text is 64 zero bytes; equal texts have equal values and may share a member; tables
-without rows give an index without rows; rows that share an id stay separate rows; other columns are ignored.
+without rows give an index without rows; rows that share an id stay separate rows; other columns are ignored; a very long
+text is one member, held by its task alone; nothing is ranked, so nothing ties.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ unused document.  So all sequences are full but for what remains at a shard's en
 lengths are powers of two, and nothing is padded.
 
 Defined cases: a null or empty text is its end id alone; ties in score go to the earlier document of the shard; repeated
-rows are documents of their own; other columns are ignored; an empty table gives an empty result; a very long text
+rows, equal ids included, are documents of their own, each with its pieces from 0 on; other columns are ignored; an empty table gives an empty result; a very long text
 passes through as many windows as it fills, and is a shard of its own where it has over SHARD_TOKENS ids.  Sequence ids
 are unique but not consecutive.
 """

@@ -6,7 +6,8 @@ documents, whose vectors are broadcast.  For every document the cosine products
 in blocks; the labels of the nearest vote, weighted by similarity, and all that tie with the last of them vote too.
 
 Defined cases: a null or empty text has the terms of an empty text and a score like any other; without any training
-label every score is 0.5; repeated rows score alike; other columns are ignored; an empty table gives an empty result.
+label every score is 0.5; repeated rows score alike; other columns are ignored; an empty table gives an empty result; a
+very long text is counted whole, in a batch that it fills; neighbours that tie with the last one vote too.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ its own minimum length on, and a text is rejected where one exceeds its limit.
 Defined cases: a null or empty text has no words, fails the base and is not kept; a null or unknown ``lang``
 contributes to no reference, and the text is judged like any other, as no text's own ``lang`` is looked at; without
 any reference (an empty table, or unknown languages alone) the base decides; repeated rows are judged alike and
-counted each; other columns are ignored.
+counted each; other columns are ignored; a very long text is read whole; of references at equal distance any gives the
+same distance, so ties don't matter.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ forest, so a group of near copies never yields all its pairs, and components are
 
 Defined cases: a very long text is fingerprinted whole; a null or text without words has fingerprint zero and links like any other; equal fingerprints link
 (whatever the texts); a text of one to three words is one shingle; rows that share an id are
-fingerprinted each; a null id is larger than any other; other columns are ignored; an empty table gives an empty result.
+fingerprinted each; a null id is larger than any other; other columns are ignored; an empty table gives an empty result;
+a bit that exactly half of the shingles set is not set.
 """
 
 from __future__ import annotations

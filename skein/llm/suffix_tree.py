@@ -17,7 +17,8 @@ KNOWN of them; all other words' counts are joined.  Words are told apart by 64-b
 
 Defined cases: a null or empty text is one end; words never trained on count c = 0; without training documents N and V
 are 0 and every token has probability 1; repeated rows score alike; other columns are ignored; an empty table gives an
-empty result.
+empty result; words of one count are taken in order of their hashes where a place among the symbols is the last, and none
+of that count where it is the last among those that are broadcast; a very long text is scored whole, token by token.
 """
 
 from __future__ import annotations

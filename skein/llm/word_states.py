@@ -18,6 +18,10 @@ Words are told apart by their place in the broadcast counts; a word beyond these
 a context and is never predicted here (the class is then told from its other words, so distributions still add up to one).
 A subtree is told apart by a 64-bit hash, of which a bucket holds the upper half, and a third word within it by 24 bits.
 A position takes twelve bytes on its way: so the places of words have 24 bits, and there may be as many broadcast counts.
+
+Defined cases: null, empty and one-word texts have no position and no gain; texts without positions, as in an empty table,
+give no rows; repeated texts count each and gain alike; a very long text is as many positions as it has words; states are
+kept by a threshold, so none competes with another and ties don't matter.
 """
 
 from __future__ import annotations
