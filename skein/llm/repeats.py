@@ -18,7 +18,8 @@ its suffixes are hashed and counted by Spark instead, which gives the same answe
 
 Defined cases: a null or empty text, and one under LENGTH bytes, loses nothing; rows that share id and text repeat
 each other; other columns are kept; an empty table gives an empty result.  Where a text is asked for, a character
-that is cut in two goes as a whole.
+that is cut in two goes as a whole.  A very long text is parsed in pieces of PIECE bytes that overlap by a string; of equal
+phrases the one of the smallest key and start stands for all, and of equal hashes in a window the first is the trigger.
 """
 
 from __future__ import annotations
