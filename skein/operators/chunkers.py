@@ -24,6 +24,35 @@ def token_chunks(c: Column, size: int = SIZE, overlap: int = OVERLAP, most: int
     return F.when(F.size(w) <= size, F.array(c)).otherwise(cut)
 
 
+def id_chunks(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, size: int = 512, overlap: int = 50) -> DataFrame:
+    """(doc_id, chunk, first, n_tokens, content): windows of ``size`` ids of a byte-level vocabulary, each beginning
+    ``size - overlap`` ids after the last; ``first`` is the place of its first id.  ``path`` names a file of ranks (a token in
+    base 64 and its number a line), ``pattern`` how texts are split before merging.  A character that is cut in two becomes
+    the replacement character on both sides.  A blank text has no chunk."""
+    import pyarrow as pa
+
+    step = size - min(overlap, size - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for b in batches:
+            rows = []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = coder.encode_ordinary(t) if t and t.strip() else []
+                last = max(0, -(-(len(ids) - size) // step))
+                rows += [(key, k, k * step, len(ids[k * step : k * step + size]), coder.decode(ids[k * step : k * step + size])) for k in range(last + 1 if ids else 0)]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds, strict=True)], names=["id", "chunk", "first", "n_tokens", "content"])
+
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "id long, chunk int, first long, n_tokens long, content string").withColumnRenamed("id", doc_id)
+
+
 def chunk_id(doc: Column, index: Column, size: int, overlap: int) -> Column:
     return F.substring(F.md5(F.concat_ws("_", doc.cast("string"), index.cast("string"), F.lit(str(size)), F.lit(str(overlap)))), 1, 12)
 

@@ -74,3 +74,61 @@ def metadata_score(kind: Column, headings: Column, links: Column, tables: Column
     part = lambda c, each, most: F.least(c * each, F.lit(most))
     band = F.when(tokens.between(100, 800), 0.1).when(tokens.between(50, 1500), 0.05).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + part(headings, 0.02, 0.1) + part(links, 0.01, 0.05) + part(tables, 0.03, 0.1) + band + F.when(has_date, 0.05).otherwise(0.0) + F.when(has_language, 0.05).otherwise(0.0)))
+
+
+#: What is suspicious in a file's name, and hosts that are.
+ODD_NAMES = ["../", "..\\", "<script", "javascript:"]
+ODD_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0"]
+#: Kinds by ending, and media types by kind.
+KIND_OF = {".pdf": "pdf", ".docx": "docx", ".txt": "text", ".md": "text", ".html": "html"}
+MIME_OF = {"application/pdf": "pdf", "text/plain": "text", "text/markdown": "text", "text/html": "html"}
+
+
+def validated(name: Column, kind: Column, mime: Column, size: Column, most: int, allowed: list[str]) -> dict[str, Column]:
+    """errors, warnings and issues of a file, and whether it is valid: by size, ending, media type and name."""
+    ending = F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
+    base = F.lower(F.regexp_extract(name, r"([^/]*)$", 1))
+    of = lambda table, c: F.try_element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), c)
+    listed = lambda *cases: F.array_compact(F.array(*[F.when(test, text) for test, text in cases]))
+    errors = listed(
+        (size > most, F.concat(F.lit("File too large: "), size.cast("string"), F.lit(f" bytes (max: {most} bytes)"))),
+        ((kind == "pdf") & (ending != ".pdf"), F.concat(F.lit("Invalid PDF file extension: "), ending)),
+        ((kind == "docx") & (ending != ".docx"), F.concat(F.lit("Invalid DOCX file extension: "), ending)),
+    )
+    warnings = listed(
+        (~kind.isin(*allowed), F.concat(F.lit("Source type not explicitly allowed: "), kind)),
+        (F.coalesce(of(MIME_OF, mime) != of(KIND_OF, ending), F.lit(False)), F.concat(F.lit("MIME/extension mismatch: mime="), mime, F.lit(", ext="), ending)),
+    )
+    issues = listed((size == 0, F.lit("Empty file")), *[(F.contains(base, F.lit(p)), F.lit(f"Suspicious filename pattern: {p}")) for p in ODD_NAMES])
+    return {"errors": errors, "warnings": warnings, "issues": issues, "valid": (F.size(errors) == 0) & (F.size(issues) == 0)}
+
+
+def mapped(df: DataFrame, column: str, function: Callable, kind: str) -> DataFrame:
+    """Rows with ``mapped``, what a Python function makes of a column, in whole Arrow batches; rows on which it fails go."""
+    import pyarrow as pa
+
+    columns = [f"c{k}" for k in range(len(df.columns))]
+    inner, place = df.toDF(*columns), df.columns.index(column)
+    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]
+
+    def run(batches):
+        for b in batches:
+            kept, values = [], []
+            for i, x in enumerate(b.column(place).to_pylist()):
+                try:
+                    values.append(function(x))
+                    kept.append(i)
+                except Exception:  # whatever a caller's function raises
+                    continue
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(kept, pa.int64())) for c in b.columns), pa.array(values, arrow)], names=[*columns, "mapped"])
+
+    kinds = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in columns)
+    return inner.mapInArrow(run, f"{kinds}, mapped {kind}").toDF(*df.columns, "mapped")
+
+
+def in_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Rows with ``batch``, their batch of ``size`` in this order; numbered by ranges, not in one task."""
+    from skein.operators.aggregation import ranked
+
+    placed = ranked(df.withColumn("_all", F.lit(0)), ["_all"], order)
+    return placed.withColumn("batch", F.floor(F.col("_i") / size)).drop("_all", "_i", "_n")

@@ -147,6 +147,46 @@ class Alerts(Fold):
         return self.read(self.fresh, times[at + 1 :].tolist(), marks[at + 1 :])[1]
 
 
+class TwoLevels(Fold):
+    """A row gives what answers an access: first (set or asked within ``first``), second (set within ``second``; the first
+    level holds it again), or miss, which sets both.  A marked row invalidates: gone, or nothing if there was none.
+
+    The state is when the first level got the entry and when it was set.  After a pause over ``second`` nothing is left."""
+
+    def __init__(self, first: int, second: int) -> None:
+        self.first, self.second = first, second
+
+    def read(self, state, times, marks):
+        out = []
+        for t, mark in zip(times, marks, strict=True):
+            alive = state is not None and (t - state[0] <= self.first or t - state[1] <= self.second)
+            if mark:
+                out.append("gone" if alive else "nothing")
+                state = ()
+            elif alive and state and t - state[0] <= self.first:
+                out.append("first")
+            elif alive:
+                out.append("second")
+                state = (t, state[1])
+            else:
+                out.append("miss")
+                state = (t, t)
+            state = state or None
+        return out, state
+
+    def summary(self, times, marks):
+        apart = np.concatenate(([False], np.diff(times) > max(self.first, self.second)))
+        sure = np.flatnonzero(apart | np.array([bool(m) for m in marks]))
+        if not len(sure):
+            return None
+        at = int(sure[-1])
+        # Told as a list, as no entry is a state as well.
+        return [self.read(None, times[at:].tolist(), marks[at:])[1]]
+
+    def behind(self, summary, state):
+        return summary[0]
+
+
 def _runs(subjects: list) -> Iterator[tuple[int, int]]:
     """Where each subject's rows begin and end in a batch."""
     at = 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.operators import answers as A
 from skein.operators import chunkers as C
+from skein.operators import documents as D
 from skein.operators import reports as RP
 from skein.operators import retrieval as R
 from skein.operators import scans as SC
@@ -438,3 +439,102 @@ def sheets(spark, d):
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n")
     told = o.withColumn("line", H.row_text(columns, F.col("o_orderkey"))).groupBy("sheet").agg(rows.alias("rows"))
     return told.select("sheet", F.md5(F.concat(F.lit("Sheet: "), F.col("sheet").cast("string"), F.lit(f"\nColumns: {', '.join(columns)}\n"), "rows")).alias("text"))
+
+
+# --- ids, batches, files, months, levels of a cache, expanded search ------------------------------------------------
+
+
+@query("chk02_id_chunks")
+def id_chunks(spark, d):
+    """Windows of ids of a public vocabulary; its files are named by their package."""
+    import public_tokenizers
+
+    return C.id_chunks(table(spark, d, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).withColumn("content", F.md5("content"))
+
+
+@query("udf03_batched_map", "WITH r AS (SELECT event_id, CAST(regexp_extract(props, '\\{\"k\": (\\d+)\\}', 1) AS BIGINT) AS k, (row_number() OVER (ORDER BY ts, event_id) - 1) // 500 AS batch FROM events) SELECT batch, count(*) AS n, count(*) FILTER (k % 7 <> 0) AS done, sum(CASE WHEN k % 7 <> 0 THEN 1000 // k END) AS total FROM r GROUP BY 1")
+def batched_map(spark, d):
+    """Events in batches by time, each through a Python function that fails on some; these go."""
+    import json
+
+    def share(props: str) -> int:
+        k = json.loads(props)["k"]
+        return 1000 // (k if k % 7 else 0)
+
+    held = D.in_batches(table(spark, d, "events"), ["ts", "event_id"], 500)
+    done = D.mapped(held.select("batch", "event_id", "props"), "props", share, "long").groupBy("batch").agg(F.count(F.lit(1)).alias("done"), F.sum("mapped").alias("total"))
+    return held.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).join(done, "batch", "left")
+
+
+_NAME = "CASE doc_id % 5 WHEN 0 THEN source || '/' || doc_id || '.pdf' WHEN 1 THEN source || '/' || doc_id || '.docx' WHEN 2 THEN source || '/<script' || doc_id || '.txt' ELSE source || '/' || doc_id || '.txt' END"
+_KIND_OF = "CASE WHEN lang = 'en' THEN 'pdf' WHEN lang = 'de' THEN 'docx' ELSE 'text' END"
+
+
+@query("src26_file_validation", f"""
+WITH f AS (SELECT doc_id, {_NAME} AS name, {_KIND_OF} AS kind, CASE WHEN lang = 'en' THEN 'application/pdf' ELSE 'text/plain' END AS mime, strlen(text) AS size FROM documents), e AS (SELECT *, regexp_extract(name, '(\\.[^./]+)$', 1) AS ext FROM f),
+ c AS (SELECT *, list_filter([CASE WHEN size > 4000 THEN 'File too large: ' || size || ' bytes (max: 4000 bytes)' END, CASE WHEN kind = 'pdf' AND ext <> '.pdf' THEN 'Invalid PDF file extension: ' || ext END, CASE WHEN kind = 'docx' AND ext <> '.docx' THEN 'Invalid DOCX file extension: ' || ext END], lambda x: x IS NOT NULL) AS es,
+  list_filter([CASE WHEN kind NOT IN ('pdf', 'text') THEN 'Source type not explicitly allowed: ' || kind END, CASE WHEN (mime = 'application/pdf' AND ext IN ('.txt', '.docx')) OR (mime = 'text/plain' AND ext IN ('.pdf', '.docx')) THEN 'MIME/extension mismatch: mime=' || mime || ', ext=' || ext END], lambda x: x IS NOT NULL) AS ws, contains(name, '<script') AS odd FROM e)
+SELECT doc_id, array_to_string(es, '; ') AS errors, array_to_string(ws, '; ') AS warnings, CASE WHEN odd THEN 'Suspicious filename pattern: <script' ELSE '' END AS issues, len(es) = 0 AND NOT odd AS valid FROM c""")
+def file_validation(spark, d):
+    """Documents as files of their source, with names and media types that fit or don't."""
+    i, lang = F.col("doc_id"), F.col("lang")
+    name = lambda before, after: F.concat("source", F.lit(before), i.cast("string"), F.lit(after))
+    names = F.when(i % 5 == 0, name("/", ".pdf")).when(i % 5 == 1, name("/", ".docx")).when(i % 5 == 2, name("/<script", ".txt")).otherwise(name("/", ".txt"))
+    kind = F.when(lang == "en", "pdf").when(lang == "de", "docx").otherwise("text")
+    told = D.validated(names, kind, F.when(lang == "en", "application/pdf").otherwise("text/plain"), F.octet_length("text"), 4000, ["pdf", "text"])
+    return table(spark, d, "documents").select("doc_id", *[F.array_join(told[k], "; ").alias(k) for k in ("errors", "warnings", "issues")], told["valid"].alias("valid"))
+
+
+@query("evt32_monthly_trends", f"""
+WITH m AS (SELECT min(o_orderdate) AS since FROM orders), o AS (SELECT n_nationkey AS tenant, {_TIER} AS tier, (epoch_us(o_orderdate) - epoch_us(since)) // 2592000000000 AS month, o_totalprice, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey, m),
+ b AS (SELECT tenant, any_value(tier) AS tier, month, count(*) AS queries, avg(CAST(o_orderstatus = 'F' AS INT)) AS done, sum(o_totalprice) / 1e6 AS gb FROM o GROUP BY 1, 3)
+SELECT tenant, month, queries, round(done, 6) AS done, round(0.001 * queries + 0.1 * gb + CASE tier WHEN 'free' THEN 0 WHEN 'basic' THEN 10 WHEN 'premium' THEN 50 ELSE 200 END, 4) AS cost, queries - lag(queries) OVER (PARTITION BY tenant ORDER BY month) AS change FROM b""")
+def monthly_trends(spark, d):
+    """Usage by tenant and thirty days: operations, share done, cost with the tier's base, and the change."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderstatus", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    since = orders.agg(F.min("t").alias("since"))
+    o = orders.join(_tenants(spark, d), F.col("o_custkey") == F.col("c_custkey")).crossJoin(since).withColumn("month", F.floor((F.col("t") - F.col("since")) / 2_592_000_000_000))
+    b = o.groupBy("tenant", "tier", "month").agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("done"), (F.sum("o_totalprice") / 1e6).alias("gb"))
+    base = F.when(F.col("tier") == "free", 0).when(F.col("tier") == "basic", 10).when(F.col("tier") == "premium", 50).otherwise(200)
+    change = F.col("queries") - F.lag("queries").over(Window.partitionBy("tenant").orderBy("month"))
+    return b.select("tenant", "month", "queries", F.round("done", 6).alias("done"), F.round(0.001 * F.col("queries") + 0.1 * F.col("gb") + base, 4).alias("cost"), change.alias("change"))
+
+
+#: Seconds that the two levels keep an entry.
+LEVELS = (6 * 3600, 3 * 86_400)
+
+
+@query("cac13_two_levels", f"""
+WITH RECURSIVE k AS (SELECT DISTINCT user_id, event_type FROM events), e AS (SELECT event_id, user_id, event_type AS kind, epoch_us(ts) AS t, false AS mark FROM events UNION ALL SELECT e.event_id, k.user_id, k.event_type, epoch_us(ts), true FROM events e JOIN k ON k.user_id = e.user_id AND k.event_type LIKE 'c%' WHERE e.event_type = 'signup'),
+ o AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY t, event_id, mark) AS i FROM e),
+ f AS (SELECT user_id, kind, i, CASE WHEN mark THEN 'nothing' ELSE 'miss' END AS level, CASE WHEN mark THEN NULL ELSE t END AS a, CASE WHEN mark THEN NULL ELSE t END AS b FROM o WHERE i = 1
+  UNION ALL SELECT user_id, kind, i, level, CASE WHEN mark THEN NULL WHEN level = 'first' THEN a ELSE t END, CASE WHEN mark THEN NULL WHEN level = 'miss' THEN t ELSE b END
+  FROM (SELECT o.user_id, o.kind, o.i, o.t, o.mark, f.a, f.b, CASE WHEN mark THEN CASE WHEN coalesce(o.t - a <= {LEVELS[0] * 10**6} OR o.t - b <= {LEVELS[1] * 10**6}, false) THEN 'gone' ELSE 'nothing' END WHEN o.t - a <= {LEVELS[0] * 10**6} THEN 'first' WHEN o.t - b <= {LEVELS[1] * 10**6} THEN 'second' ELSE 'miss' END AS level FROM f JOIN o ON o.user_id = f.user_id AND o.kind = f.kind AND o.i = f.i + 1) g)
+SELECT user_id, level, count(*) AS n FROM f GROUP BY 1, 2""")
+def two_levels(spark, d):
+    """A user's kinds of events as keys; every signup invalidates the user's keys that begin with c."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("kind"), "ts", F.lit(False).alias("mark"))
+    matched = e.select("user_id", "kind").distinct().filter("kind LIKE 'c%'")
+    gone = e.filter("kind = 'signup'").drop("kind").join(matched, "user_id").select("event_id", "user_id", "kind", "ts", F.lit(True).alias("mark"))
+    rows = e.unionByName(gone).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "kind"))
+    told = SC.scan(rows, "key", "ts", ["event_id", "mark"], SC.TwoLevels(LEVELS[0] * 10**6, LEVELS[1] * 10**6), "string", mark="mark")
+    return told.groupBy("user_id", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hyb17_expanded_pipeline", f"""
+WITH x AS (SELECT item_id, unnest(range(0, len(v))) AS position, unnest(v) AS variant FROM (SELECT item_id, CASE WHEN length(trim(text)) < 3 THEN [text] ELSE {_ONCE.format('v')}[1:4] END AS v FROM (SELECT item_id, text, list_concat([text], {_VARIANTS}, {_HEADS}) AS v FROM benchmark WHERE item_id % 10 = 0))),
+ q AS (SELECT item_id, position, {_W.format('lower(variant)')} AS ws FROM x), t AS (SELECT item_id, position, unnest(list_distinct(ws)) AS term FROM q), dt AS (SELECT doc_id, unnest(list_distinct({_W.format('lower(text)')})) AS term FROM documents),
+ n AS (SELECT item_id, position, doc_id, count(*) AS n FROM t JOIN dt USING (term) GROUP BY 1, 2, 3), k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY item_id, position ORDER BY n DESC, doc_id) <= 10),
+ s AS (SELECT item_id, doc_id, max(n / greatest(1, len(list_distinct(ws)))) AS s FROM k JOIN q USING (item_id, position) GROUP BY 1, 2),
+ m AS (SELECT doc_id, 0.25 * (CASE WHEN n_chars BETWEEN 500 AND 4000 THEN 0.5 ELSE 0.25 END + CASE WHEN lang = 'en' THEN 0.5 ELSE 0.25 END) AS meta FROM documents)
+SELECT item_id, doc_id, round(0.75 * s + meta, 6) AS score FROM s JOIN m USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(0.75 * s + meta, 6) DESC, doc_id) <= 5""")
+def expanded_pipeline(spark, d):
+    """Benchmark items expanded, each variant searched for twice as many as asked, hits once, reranked with a quarter of metadata."""
+    docs = table(spark, d, "documents")
+    variants = table(spark, d, "benchmark").filter("item_id % 10 = 0").select("item_id", F.posexplode(R.expand(F.col("text"))).alias("position", "text")).withColumn("query", F.struct("item_id", "position"))
+    size = variants.select("query", F.greatest(F.lit(1), F.size(X.word_set(F.col("text")))).alias("words"))
+    found = R.keyword_search(docs, variants, "doc_id", "query", "text", 10).join(size.withColumnRenamed("query", "query_id"), "query_id")
+    once = found.groupBy("query_id.item_id", F.col("id").alias("doc_id")).agg(F.max(F.col("n") / F.col("words")).alias("s"))
+    meta = F.when(F.col("n_chars").between(500, 4000), 0.5).otherwise(0.25) + F.when(F.col("lang") == "en", 0.5).otherwise(0.25)
+    scored = once.join(docs.select("doc_id", (0.25 * meta).alias("meta")), "doc_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.round(0.75 * F.col("s") + F.col("meta"), 6).alias("score"))
+    return R.placed(scored, [F.desc("score"), "id"], 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")

@@ -68,3 +68,48 @@ def test_scores_by_hand(spark):
     odd = spark.createDataFrame([("a bad password: x",), ("x" * 1200,), ("fine",)], "q string")
     assert [(round(r.s, 2), r.sus, r.b) for r in odd.select(told["score"].alias("s"), told["suspicious"].alias("sus"), told["blocked"].alias("b")).collect()] == [(1.0, True, True), (0.8, True, True), (0.1, False, False)]
     assert [r.c for r in spark.createDataFrame([("Query took 3 ms, cache miss",), ("Unauthorized: rate-limit EXCEEDED",), ("ok",)], "m string").select(R.log_classes(F.col("m")).alias("c")).collect()] == [["slow_query", "cache_miss"], ["rate_limit_exceeded", "unauthorized_access"], []]
+
+
+def test_files_are_validated(spark):
+    from skein.operators import documents as D
+
+    rows = [("a/b.pdf", "pdf", "application/pdf", 10), ("a/b.txt", "pdf", "application/pdf", 10), ("x/javascript:y.md", "text", "text/markdown", 0), ("n", "odt", None, 99)]
+    told = D.validated(F.col("n"), F.col("k"), F.col("m"), F.col("s"), 50, ["pdf", "text"])
+    got = spark.createDataFrame(rows, "n string, k string, m string, s long").select(*[c.alias(n) for n, c in told.items()]).collect()
+    assert [(len(r.errors), len(r.warnings), len(r.issues), r.valid) for r in got] == [(0, 0, 0, True), (1, 1, 0, False), (0, 0, 2, False), (1, 1, 0, False)]
+
+
+def test_functions_that_fail_drop_their_row(spark):
+    from skein.operators import documents as D
+
+    df = spark.range(50).select("id", (F.col("id") % 5).alias("k"), F.lit("c").alias("mapped_"))
+    got = D.mapped(df, "k", lambda k: 10 // k, "long").collect()
+    assert len(got) == 40 and all(r.mapped == 10 // r.k for r in got)
+    assert D.mapped(df.limit(0), "k", lambda k: k, "long").count() == 0
+    sizes = {r.batch: r["count"] for r in D.in_batches(df, ["id"], 20).groupBy("batch").count().collect()}
+    assert sizes == {0: 20, 1: 20, 2: 10}
+
+
+def test_windows_of_ids(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from skein.operators import chunkers as C
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    texts = [None, "", " \n", "short", "some words and ünïcode ☃ " * 60, "x" * 300]
+    for size, overlap in ((16, 4), (5, 9), (1000, 0)):
+        step, want = size - min(overlap, size - 1), []
+        for i, t in enumerate(texts):
+            ids = coder.encode_ordinary(t) if t and t.strip() else []
+            at = 0
+            while ids:
+                want.append((i, at // step, at, len(ids[at : at + size]), coder.decode(ids[at : at + size])))
+                if at + size >= len(ids):
+                    break
+                at += step
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted(tuple(r) for r in C.id_chunks(df, "doc_id", "text", path, public_tokenizers.PATTERN, size, overlap).collect()) == sorted(want)

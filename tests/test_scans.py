@@ -120,3 +120,23 @@ def test_no_task_reads_a_hot_subject_alone(spark):
 def test_empty_events(spark):
     none = events(spark, 1, 3)[1].limit(0)
     assert scans.sessions(none, "k", "ts").count() == scans.rate_limit(none, "k", "ts", "id", 3, 5).count() == scans.alert_rule(none, "k", "ts", "id", "bad").count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 9, 40])
+def test_two_levels_in_ranges(spark, ranges):
+    rows, df = events(spark, 6)
+    want = {}
+    for held in by_subject(rows).values():
+        got = made = None
+        for i, t, mark in held:
+            alive = made is not None and (t - got <= 20 or t - made <= 90)
+            if mark:
+                want[i], made = ("gone" if alive else "nothing"), None
+            elif alive and t - got <= 20:
+                want[i] = "first"
+            elif alive:
+                want[i], got = "second", t
+            else:
+                want[i], got, made = "miss", t, t
+    told = scans.scan(df, "k", "ts", ["id"], scans.TwoLevels(20_000_000, 90_000_000), "string", mark="bad", ranges=ranges)
+    assert {r.id: r.value for r in told.collect()} == want
