@@ -65,12 +65,12 @@ def confidence(spark, d):
     return pairs(spark, d).select("conv_id", "turn", F.round(A.confidence(F.col("answer"), F.col("turn"), quality), 6).alias("score"))
 
 
-@query("fun14_number_trends", f"WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text,{_q(A.NUMBER)}), lambda x: CAST(x AS DOUBLE)) AS v FROM documents) SELECT doc_id, round(list_avg(v),4) AS mean, round(list_median(v),4) AS median, CASE WHEN len(v)<5 THEN 'neutral' WHEN list_avg(v[-3:])>list_avg(v[:-4])*1.05 THEN 'bullish' WHEN list_avg(v[-3:])<list_avg(v[:-4])*0.95 THEN 'bearish' ELSE 'neutral' END AS sentiment FROM n WHERE len(v)>=3")
+@query("fun14_number_trends", f"WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text,{_q(A.NUMBER)}), lambda x: CAST(x AS DOUBLE)) AS v FROM documents) SELECT doc_id, round(list_avg(v),6) AS mean, round(list_median(v),6) AS median, CASE WHEN len(v)<5 THEN 'neutral' WHEN list_avg(v[-3:])>list_avg(v[:-4])*1.05 THEN 'bullish' WHEN list_avg(v[-3:])<list_avg(v[:-4])*0.95 THEN 'bearish' ELSE 'neutral' END AS sentiment FROM n WHERE len(v)>=3")
 def trends(spark, d):
     v = table(spark, d, "documents").select("doc_id", A.numbers(F.col("text")).alias("v")).filter(F.size("v") >= 3).withColumn("o", F.sort_array("v"))
     n = F.size("o")
     median = (F.get("o", F.floor((n - 1) / 2).cast("int")) + F.get("o", F.floor(n / 2).cast("int"))) / 2
-    return v.select("doc_id", F.round(A.mean(F.col("v")), 4).alias("mean"), F.round(median, 4).alias("median"), A.sentiment(F.col("v")).alias("sentiment"))
+    return v.select("doc_id", F.round(A.mean(F.col("v")), 6).alias("mean"), F.round(median, 6).alias("median"), A.sentiment(F.col("v")).alias("sentiment"))
 
 
 @query("fun16_persian_digits", f"SELECT c_custkey, translate(c_name,'0123456789',{_q(A.PERSIAN_DIGITS)}) AS persian, translate(translate(c_name,'0123456789',{_q(A.PERSIAN_DIGITS)}),{_q(A.PERSIAN_DIGITS)},'0123456789')=c_name AS back FROM customer")

@@ -205,7 +205,7 @@ def health(spark, d):
 WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE)) AS v FROM documents),
  p AS (SELECT doc_id, v, len(v) AS n, list_avg(v[-3:]) AS recent, list_avg(v[1:len(v) - 3]) AS past, (v[-1] - v[-5]) / 4 AS step, list_filter(list_transform(range(1, len(v)), lambda i: CASE WHEN v[i + 1] <> 0 THEN v[i] / v[i + 1] END), lambda r: r IS NOT NULL) AS ratios FROM n WHERE len(v) >= 3)
 SELECT doc_id, n, round(list_avg(v), 6) AS mean, round(list_median(v), 6) AS median, round(list_stddev_samp(v), 6) AS volatility, CASE WHEN n >= 5 AND recent > past * 1.05 THEN 'bullish' WHEN n >= 5 AND recent < past * 0.95 THEN 'bearish' ELSE 'neutral' END AS sentiment,
- len(list_filter(ratios, lambda r: r >= 0.01 AND r <= 2)) AS margins, len(list_filter(ratios, lambda r: NOT (r >= 0.01 AND r <= 2) AND r >= 0.1 AND r <= 10)) AS debts, CASE WHEN n >= 5 THEN round(v[-1] + step, 4) END AS next_period, CASE WHEN n >= 5 THEN round(v[-1] + 3 * step, 4) END AS next_3_periods, CASE WHEN n >= 5 THEN CASE WHEN step > 0 THEN 'positive' ELSE 'negative' END END AS direction FROM p""")
+ len(list_filter(ratios, lambda r: r >= 0.01 AND r <= 2)) AS margins, len(list_filter(ratios, lambda r: NOT (r >= 0.01 AND r <= 2) AND r >= 0.1 AND r <= 10)) AS debts, CASE WHEN n >= 5 THEN round(v[-1] + step, 6) END AS next_period, CASE WHEN n >= 5 THEN round(v[-1] + 3 * step, 6) END AS next_3_periods, CASE WHEN n >= 5 THEN CASE WHEN step > 0 THEN 'positive' ELSE 'negative' END END AS direction FROM p""")
 def trends(spark, d):
     """Numbers of a text in their order: spread, the last three against those before, ratios of neighbours, and what follows."""
     v = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))

@@ -20,13 +20,16 @@ def is_path(source: Column) -> Column:
 
 def load(spark: SparkSession, source: str, encoding: str = "UTF-8") -> DataFrame:
     """(path, text): every file that a path or pattern names, whole; another string is a text itself, without a path.
-    Bytes that the encoding doesn't know are replaced."""
+    Bytes that the encoding doesn't know are replaced; but a file with no character beyond ASCII that is whole in UTF-8
+    isn't UTF-8, and is read as ISO-8859-1."""
     named = ("/" in source or "\\" in source or (re.search(r"\.\w{1,10}$", source) and " " not in source)) and len(source) < LONGEST_PATH
     if not named:
         return spark.createDataFrame([(None, source)], "path string, text string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
     if encoding.upper().replace("-", "") == "UTF8":
-        return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+        read = files.select("path", "content", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+        other = F.contains("text", F.lit("\ufffd")) & ~F.col("text").rlike("[^\\x00-\\x7F\ufffd]")
+        return read.select("path", F.when(other, F.decode("content", "ISO-8859-1")).otherwise(F.col("text")).alias("text"))
 
     # Not decode(): that refuses a text with a single wrong byte.
     @F.pandas_udf("string")
