@@ -366,14 +366,15 @@ def session_lengths(spark, d):
     return s.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("seconds"), 3).alias("mean"), F.round(F.stddev_pop("seconds"), 3).alias("std"))
 
 
-#: Runs of one character four times and more: by neighbours, as the other engine's patterns have no references.
-_RUNS = "len(list_filter(range(4, length(text) + 1), lambda i: text[i] = text[i-1] AND text[i] = text[i-2] AND text[i] = text[i-3] AND text[i] <> chr(10) AND (i = 4 OR text[i-4] <> text[i-3])))"
+#: Runs of one character four times and more, from all characters, as the other engine's patterns have no references.
+_RUNS = """ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM documents), rn AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM ch WHERE c <> chr(10)),
+ rr AS (SELECT doc_id, count(*) AS runs FROM (SELECT doc_id FROM rn GROUP BY doc_id, c, g HAVING count(*) >= 4) GROUP BY 1)"""
 
 
 @query("fun04_07_content_class", f"""
-WITH s AS (SELECT doc_id, text, least(1.0, 0.2 * (len(regexp_extract_all(text, 'https?://\\S+')) + len(regexp_extract_all(text, '@')) + len(regexp_extract_all(text, '#')) + len(regexp_extract_all(text, '\\$')) + len(regexp_extract_all(text, '[A-Z]{{3,}}'))) + 0.3 * {_RUNS} + CASE WHEN length(text) > 500 THEN 0.2 ELSE 0 END) AS spam,
+WITH {_RUNS}, s AS (SELECT doc_id, text, least(1.0, 0.2 * (len(regexp_extract_all(text, 'https?://\\S+')) + len(regexp_extract_all(text, '@')) + len(regexp_extract_all(text, '#')) + len(regexp_extract_all(text, '\\$')) + len(regexp_extract_all(text, '[A-Z]{{3,}}'))) + 0.3 * coalesce(runs, 0) + CASE WHEN length(text) > 500 THEN 0.2 ELSE 0 END) AS spam,
  least(1.0, 0.3 * (len(regexp_extract_all(text, '[0-9]{{4,}}')) + len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}')) + len(regexp_extract_all(text, '\\+[1-9][0-9]{{6,14}}')))) AS personal,
- {' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in X.TOXIC)} AS toxic, {' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in X.SENSITIVE)} AS sensitive FROM documents)
+ {' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in X.TOXIC)} AS toxic, {' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in X.SENSITIVE)} AS sensitive FROM documents LEFT JOIN rr USING (doc_id))
 SELECT doc_id, CASE WHEN toxic > 0 THEN 'toxic' WHEN spam > 0.5 THEN 'spam' WHEN sensitive > 0 THEN 'sensitive' WHEN personal > 0.5 THEN 'inappropriate' ELSE 'safe' END AS content_class, round(spam, 6) AS spam, round(least(sensitive / 2, 1.0), 6) AS sensitivity FROM s""")
 def content_class(spark, d):
     t = F.col("text")

@@ -61,7 +61,7 @@ def test_each_document_by_its_own_strategy(spark):
     assert S.token_windows(docs, ["doc_id"], "text", 9, 2).filter("doc_id = 5").count() == 0
 
 
-def test_first_rows_of_a_hot_key(spark):
+def test_first_rows_of_a_hot_key(spark, capfd):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(99).alias("k"), ((F.col("id") * 37) % 5003).alias("v"))
     got = {}
     for r in retrieval.first_of_each(df, ["k"], ["v"], 4).collect():
@@ -70,3 +70,8 @@ def test_first_rows_of_a_hot_key(spark):
     for r in df.orderBy("v").collect():
         want.setdefault(r.k, []).append(r.v)
     assert {k: sorted(v) for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
+    # Each task keeps four rows of a key before the shuffle.
+    capfd.readouterr()
+    retrieval.first_of_each(df, ["k"], ["v"], 4).explain()
+    plan = capfd.readouterr().out
+    assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
