@@ -48,9 +48,9 @@ def document_time(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.try_to_timestamp(a, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(F.date_format("ts", "yyyy-MM-dd"), F.lit("yyyy-MM-dd"))).alias("at"))
 
 
-@query("sco08_11_boosts", "WITH s AS (SELECT doc_id, lang, least(1.0, (doc_id%50)/100.0*CASE WHEN n_chars>2000 THEN 1.5 ELSE 1 END*CASE WHEN lang='en' THEN 1.3 ELSE 1 END) s FROM documents) SELECT lang, round(avg(s),6) AS avg, round(max(s),6) AS max, round(min(s),6) AS min, round(stddev_pop(s),6) AS std FROM s GROUP BY 1")
+@query("sco08_11_boosts", "WITH s AS (SELECT doc_id, lang, least(1.0, least(0.6, n_chars/8000.0)*CASE WHEN n_chars>2000 THEN 1.5 ELSE 1 END*CASE WHEN lang='en' THEN 1.3 ELSE 1 END) s FROM documents) SELECT lang, round(avg(s),6) AS avg, round(max(s),6) AS max, round(min(s),6) AS min, round(stddev_pop(s),6) AS std FROM s GROUP BY 1")
 def boosts(spark, d):
-    s = S.boosted((F.col("doc_id") % 50) / 100.0, [(F.col("n_chars") > 2000, 1.5), (F.col("lang") == "en", 1.3)])
+    s = S.boosted(F.least(F.lit(0.6), F.col("n_chars") / 8000.0), [(F.col("n_chars") > 2000, 1.5), (F.col("lang") == "en", 1.3)])
     t = table(spark, d, "documents").select("lang", s.alias("s"))
     return t.groupBy("lang").agg(*[F.round(f("s"), 6).alias(n) for n, f in (("avg", F.avg), ("max", F.max), ("min", F.min), ("std", F.stddev_pop))])
 

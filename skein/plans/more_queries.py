@@ -83,11 +83,13 @@ def keywords(spark, d):
 
 
 @query("hyb14_retrieve", """WITH p AS (SELECT q.vec_id qid, r.vec_id id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]),9) s FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) k FROM p)
-SELECT qid AS query_id, id, round(0.7*s+0.3*((id%10)/10.0),6) AS score FROM r WHERE k <= 5 AND s >= 0.25""")
+SELECT qid AS query_id, id, round(0.7*s+0.3*(CASE WHEN n_chars BETWEEN 500 AND 4000 THEN 0.5 ELSE 0.25 END + CASE WHEN lang='en' THEN 0.5 ELSE 0.25 END),6) AS score FROM r JOIN documents ON doc_id = id WHERE k <= 5 AND s >= 0.25""")
 def retrieve(spark, d):
     e = table(spark, d, "embeddings")
     top = V.batch_topk(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10).filter("score >= 0.25 and rank <= 5")
-    return top.select("query_id", "id", F.round(S.combined(F.col("score"), (F.col("id") % 10) / 10.0, 0.3), 6).alias("score"))
+    meta = F.when(F.col("n_chars").between(500, 4000), 0.5).otherwise(0.25) + F.when(F.col("lang") == "en", 0.5).otherwise(0.25)
+    told = top.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), meta.alias("meta")), "id")
+    return told.select("query_id", "id", F.round(S.combined(F.col("score"), F.col("meta"), 0.3), 6).alias("score"))
 
 
 @query("rrk04_metadata_score", """

@@ -11,6 +11,7 @@ from skein.functions import text as X
 from skein.operators import answers as A
 from skein.operators import chunkers as C
 from skein.operators import documents as D
+from skein.operators import expansion as EX
 from skein.operators import reports as RP
 from skein.operators import retrieval as R
 from skein.operators import scans as SC
@@ -18,8 +19,9 @@ from skein.operators import spans as SP
 from skein.operators import store as T
 from skein.operators import vectors as V
 from skein.operators import versions as VS
+from skein.operators.aggregation import half_split
 from skein.plans.answer_queries import _NEAR
-from skein.plans.deeper_queries import _ONCE, _SESSIONS, with_sessions
+from skein.plans.deeper_queries import _EXPANDED, _ONCE, _SESSIONS, asked, with_sessions
 from skein.plans.registry import query, table
 from skein.sources import html as H
 
@@ -539,3 +541,50 @@ def expanded_pipeline(spark, d):
     meta = F.when(F.col("n_chars").between(500, 4000), 0.5).otherwise(0.25) + F.when(F.col("lang") == "en", 0.5).otherwise(0.25)
     scored = once.join(docs.select("doc_id", (0.25 * meta).alias("meta")), "doc_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.round(0.75 * F.col("s") + F.col("meta"), 6).alias("score"))
     return R.placed(scored, [F.desc("score"), "id"], 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
+
+
+@query("evt19_satisfaction_advice", """
+WITH r AS (SELECT event_id, ts, event_type, 1 + least(4, floor(value / 4)) AS s FROM events), o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM r),
+ h AS (SELECT avg(s) AS mean, avg(s) FILTER (i < n // 2) AS early, avg(s) FILTER (i >= n // 2) AS late FROM o), k AS (SELECT event_type, avg(s) AS m FROM r GROUP BY 1)
+SELECT round(mean, 6) AS score, CASE WHEN mean >= 4 THEN 'excellent' WHEN mean >= 3.5 THEN 'good' WHEN mean >= 3 THEN 'fair' ELSE 'poor' END AS status, CASE WHEN late < early THEN 'declining' WHEN late > early THEN 'improving' ELSE 'stable' END AS trend,
+ (SELECT event_type FROM k ORDER BY m, event_type LIMIT 1) AS improve, (SELECT event_type FROM k ORDER BY m DESC, event_type LIMIT 1) AS maintain, CASE WHEN mean < 3 THEN 'improve quality' WHEN mean < 4 THEN 'improve relevance' ELSE 'maintain' END AS advice FROM h""")
+def satisfaction_advice(spark, d):
+    """Ratings by value: how they stand, where they go, which kind is worst and which best, and what to do."""
+    r = table(spark, d, "events").select(F.lit(0).alias("all"), "ts", "event_id", "event_type", (1 + F.least(F.lit(4), F.floor(F.col("value") / 4))).cast("double").alias("s"))
+    halves = half_split(r, ["all"], ["ts", "event_id"], "s")
+    kinds = r.groupBy("event_type").agg(F.avg("s").alias("m"))
+    ends = kinds.agg(F.min(F.struct("m", "event_type"))["event_type"].alias("improve"), F.min(F.struct((-F.col("m")).alias("m"), "event_type"))["event_type"].alias("maintain"))
+    told = r.agg(F.avg("s").alias("mean")).crossJoin(halves).crossJoin(ends)
+    mean, early, late = F.col("mean"), F.col("first_half"), F.col("second_half")
+    return told.select(
+        F.round(mean, 6).alias("score"), F.when(mean >= 4, "excellent").when(mean >= 3.5, "good").when(mean >= 3, "fair").otherwise("poor").alias("status"), F.when(late < early, "declining").when(late > early, "improving").otherwise("stable").alias("trend"),
+        "improve", "maintain", F.when(mean < 3, "improve quality").when(mean < 4, "improve relevance").otherwise("maintain").alias("advice"),
+    )
+
+
+@query("evt24_embedding_strategy", f"""
+WITH RECURSIVE {_SESSIONS}, s AS (SELECT user_id, start, count(*) AS n, avg(value) / 20 AS score, (max(t) - start) / 1e6 / count(*) AS response FROM al GROUP BY 1, 2),
+ u AS (SELECT user_id, sum(n * greatest(0, least(score, 1))) / sum(n) AS accuracy, sum(n * score) / sum(n) AS satisfaction, sum(n * response) / sum(n) AS response FROM s GROUP BY 1), p AS (SELECT *, greatest(0, 1 - response / 10) AS speed FROM u)
+SELECT user_id, round(accuracy, 9) AS accuracy, round(satisfaction, 9) AS satisfaction, round(speed, 9) AS speed, CASE WHEN accuracy < 0.6 AND satisfaction < 0.6 THEN 'improved_accuracy_strategy' WHEN speed < 0.4 OR response > 8 THEN 'optimized_speed_strategy' WHEN (accuracy + speed + satisfaction) / 3 < 0.7 THEN 'balanced_strategy' ELSE 'incremental_improvement_strategy' END AS strategy FROM p""")
+def embedding_strategy(spark, d):
+    """By user: sessions' scores weighted by their events; memory and cost are below what would change the choice."""
+    s = with_sessions(spark, d)
+    each = s.groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("n"), (F.avg("value") / 20).alias("score"), ((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.col("start")) / 1e6 / F.count(F.lit(1))).alias("response"))
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    u = each.groupBy("user_id").agg(mean(F.greatest(F.lit(0.0), F.least(F.col("score"), F.lit(1.0)))).alias("accuracy"), mean(F.col("score")).alias("satisfaction"), mean(F.col("response")).alias("response"))
+    p = u.withColumn("speed", F.greatest(F.lit(0.0), 1 - F.col("response") / 10))
+    choice = F.when((F.col("accuracy") < 0.6) & (F.col("satisfaction") < 0.6), "improved_accuracy_strategy").when((F.col("speed") < 0.4) | (F.col("response") > 8), "optimized_speed_strategy").when((F.col("accuracy") + F.col("speed") + F.col("satisfaction")) / 3 < 0.7, "balanced_strategy").otherwise("incremental_improvement_strategy")
+    return p.select("user_id", *[F.round(c, 9).alias(c) for c in ("accuracy", "satisfaction", "speed")], choice.alias("strategy"))
+
+
+_EMBED = "list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(md5({0} || '_0'), i, 8) AS BIGINT) / 4294967295.0 * 2 - 1)"
+
+
+@query("exp07_ranked_variants", f"""
+WITH {_EXPANDED}, vv AS (SELECT conv_id, turn, q, unnest(s2[2:]) AS variant FROM x WHERE NOT short), cc AS (SELECT conv_id, turn, variant, round(list_cosine_similarity({_EMBED.format('q')}, {_EMBED.format('variant')}), 9) AS s FROM vv)
+SELECT conv_id, turn, md5(variant) AS variant, round(s, 6) AS similarity FROM cc WHERE s > 0.2 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, variant) <= 2""")
+def ranked_variants(spark, d):
+    """Synonym variants by the likeness of their embedding to the query's; those over a threshold, the two best."""
+    near = F.round(V.cosine(F.slice(V.hash_embedding(F.col("q"), F.lit(0), 4), 1, 4), F.slice(V.hash_embedding(F.col("variant"), F.lit(0), 4), 1, 4)), 9)
+    v = asked(spark, d).filter(F.length(F.trim("q")) >= EX.SHORT).select("conv_id", "turn", "q", F.explode(F.slice(EX.synonyms(F.col("q")), 2, EX.MOST)).alias("variant")).withColumn("s", near).filter("s > 0.2")
+    return R.first_of_each(v, ["conv_id", "turn"], [F.desc("s"), "variant"], 2).select("conv_id", "turn", F.md5("variant").alias("variant"), F.round("s", 6).alias("similarity"))
