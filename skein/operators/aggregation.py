@@ -43,6 +43,22 @@ def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return held.join(parts, same).select(*df.columns, (F.col("_m") - F.col("_first") + F.col("_before")).alias("_i"), "_n")
 
 
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows with ``_total``, the sum of ``value`` over the rows of their key up to them in this order.  Sums run within
+    ranges of key and order, and what lay in the ranges before is added, so a key with a third of all rows is spread."""
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id())
+    held = settled(dealt).withColumn("_p", F.shiftrightunsigned("_m", 33))
+    own = F.sum(value).over(Window.partitionBy("_p", *keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    parts = held.groupBy(F.col("_p").alias("_q"), *named).agg(F.sum(value).alias("_part"))
+    ahead = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_part").over(ahead), F.lit(0)))
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return held.withColumn("_own", own).join(parts, same).select(*df.columns, (F.col("_own") + F.col("_before")).alias("_total"))
+
+
 def _ranked(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Values with their rank i from 0 and their number n, by key."""
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))

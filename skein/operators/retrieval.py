@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import word_set
+from skein.operators.aggregation import running_total
 
 #: English heads and synonyms of our own choice, beside the fixed dictionaries of skein.operators.answers.
 SYNONYMS = {"use": ["utilize", "employ", "apply"], "make": ["create", "build", "produce"], "fast": ["quick", "rapid", "speedy"], "the": ["this", "that"], "of": ["from", "about"]}
@@ -84,7 +85,6 @@ def expand(c: Column, most: int = 4) -> Column:
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """Rows whose running cost is within the budget, and what was left before each."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    used = df.withColumn("used", F.sum(cost).over(w))
+    """Rows whose running cost is within the budget, and what was left before each; a hot key is added up by ranges."""
+    used = running_total(df, keys, order, cost).withColumnRenamed("_total", "used")
     return used.withColumn("left", budget - (F.col("used") - F.col(cost))).filter(F.col("left") > 0)

@@ -145,3 +145,33 @@ def parent_boost(rows: DataFrame, score: str, parent: str) -> DataFrame:
     best = rows.groupBy(F.col(parent).alias("_parent")).agg(F.max(score).alias("_best"))
     joined = rows.join(best, F.col(parent).eqNullSafe(F.col("_parent")))
     return joined.withColumn(score, F.when(F.col(score).isNotNull(), F.least(F.lit(1.0), F.col(score) + 0.1 * F.col("_best")))).drop("_parent", "_best")
+
+
+def embedded(df: DataFrame, key: str, text: str, load, size: int = 32) -> DataFrame:
+    """(key, embedding) of every row.  ``load()`` is called once a task and returns a function from a list of texts to rows
+    of numbers (a model's encoder, for one); it is called with at most ``size`` different texts at a time, blanks collapsed,
+    and equal texts of an Arrow batch are embedded once.  A null text is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = load()
+        for b in batches:
+            told = b.column(1).dictionary_encode()
+            names, made = told.dictionary.to_pylist(), []
+            for at in range(0, len(names), size):
+                made.append(np.asarray(embed(names[at : at + size]), np.float64))
+            rows = np.concatenate(made) if made else np.zeros((0, 0))
+            yield pa.record_batch([b.column(0), pa.array(list(rows[told.indices.to_numpy()]), pa.list_(pa.float64()))], names=["key", "embedding"])
+
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    return df.select(F.col(key).cast("long").alias("key"), plain.alias("text")).mapInArrow(run, "key long, embedding array<double>").withColumnRenamed("key", key)
+
+
+def hash_embedder(dim: int = 4):
+    """The embedding of :func:`hash_embedding` for :func:`embedded`."""
+    import hashlib
+
+    def embed(texts: list[str]) -> np.ndarray:
+        digests = np.frombuffer(b"".join(hashlib.md5(f"{t}_0".encode()).digest() for t in texts), ">u4").reshape(len(texts), 4)
+        return np.pad(digests / 4294967295.0 * 2 - 1, ((0, 0), (0, dim - 4)))
+
+    return embed

@@ -588,3 +588,13 @@ def ranked_variants(spark, d):
     near = F.round(V.cosine(F.slice(V.hash_embedding(F.col("q"), F.lit(0), 4), 1, 4), F.slice(V.hash_embedding(F.col("variant"), F.lit(0), 4), 1, 4)), 9)
     v = asked(spark, d).filter(F.length(F.trim("q")) >= EX.SHORT).select("conv_id", "turn", "q", F.explode(F.slice(EX.synonyms(F.col("q")), 2, EX.MOST)).alias("variant")).withColumn("s", near).filter("s > 0.2")
     return R.first_of_each(v, ["conv_id", "turn"], [F.desc("s"), "variant"], 2).select("conv_id", "turn", F.md5("variant").alias("variant"), F.round("s", 6).alias("similarity"))
+
+
+_PLAINED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@query("vec14_16_embedding_batches", "SELECT doc_id, " + ", ".join(f"round(CAST('0x' || substr(md5({_PLAINED} || '_0'), {8 * k + 1}, 8) AS BIGINT) / 4294967295.0 * 2 - 1, 9) AS x{k}" for k in range(4)) + " FROM documents")
+def embedding_batches(spark, d):
+    """Texts through an encoder that a task loads once, in batches of different texts."""
+    e = V.embedded(table(spark, d, "documents"), "doc_id", "text", V.hash_embedder)
+    return e.select("doc_id", *[F.round(F.get("embedding", F.lit(k)), 9).alias(f"x{k}") for k in range(4)])

@@ -113,3 +113,31 @@ def test_windows_of_ids(spark):
                 at += step
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert sorted(tuple(r) for r in C.id_chunks(df, "doc_id", "text", path, public_tokenizers.PATTERN, size, overlap).collect()) == sorted(want)
+
+
+def test_encoders_get_batches_of_different_texts(spark):
+    from skein.operators import vectors as V
+
+    def load():
+        def embed(texts):
+            assert len(texts) <= 3 and len(set(texts)) == len(texts)
+            return [[len(t), t.count("a")] for t in texts]
+
+        return embed
+
+    rows = [(i, t) for i, t in enumerate([None, "", "a  b", "a b", "aa", "x", "yy", "zzz", "aa"] * 3)]
+    got = {r.i: r.embedding for r in V.embedded(spark.createDataFrame(rows, "i long, t string").coalesce(1), "i", "t", load, 3).collect()}
+    assert got == {i: [float(len(" ".join((t or "").split()))), float((t or "").count("a"))] for i, t in rows}
+    assert V.embedded(spark.createDataFrame([], "i long, t string"), "i", "t", load).count() == 0
+
+
+def test_running_totals_of_a_hot_key(spark):
+    from skein.operators import aggregation as A
+
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 4).otherwise(None).alias("k"), (F.col("id") % 11).alias("v")).repartition(5)
+    sums, want = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        sums[r.k] = sums.get(r.k, 0) + r.v
+        want[r.id] = sums[r.k]
+    assert {r.id: r._total for r in A.running_total(df, ["k"], ["id"], "v").collect()} == want
+    assert A.running_total(df.limit(0), ["k"], ["id"], "v").count() == 0
