@@ -47,6 +47,7 @@ def held(c: Column, lexicon: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(F.lower(c), F.lit(w)).cast("int") for w in lexicon])
 
 
+#: Weights and patterns of the two scores below.
 def spam_score(c: Column) -> Column:
     singles = hits(c, r"https?://\S+") + hits(c, "@") + hits(c, "#") + hits(c, r"\$") + hits(c, "[A-Z]{3,}")
     return F.least(F.lit(1.0), 0.2 * singles + 0.3 * hits(c, r"(.)\1{3,}") + F.when(F.length(c) > 500, 0.2).otherwise(0.0))
@@ -65,6 +66,7 @@ def redact(c: Column, lexicon: list[str]) -> Column:
     return F.regexp_replace(c, "(?i)" + "|".join(lexicon), "[FILTERED]")
 
 
+#: Weights, scales and bands of a query's complexity and length.
 def complexity(c: Column) -> Column:
     n, special = F.size(words(c)), hits(c, r"[^A-Za-z0-9_\s]")
     return 0.3 * F.least(n / 20, F.lit(1.0)) + 0.2 * F.least(F.length(c) / 200, F.lit(1.0)) + 0.2 * F.least(hits(c, r"\?") / 3, F.lit(1.0)) + 0.3 * F.least(special / 10, F.lit(1.0))
@@ -75,6 +77,7 @@ def length_band(c: Column) -> Column:
     return F.when(n <= 3, "short").when(n <= 8, "medium").otherwise("long")
 
 
+#: Words of each type and category of query.
 def query_type(c: Column) -> Column:
     low = F.lower(c)
     return F.when(low.rlike("count|sum|average|total"), "aggregation").when(low.rlike("search|find|look"), "search").when(low.rlike("get|retrieve|show"), "retrieval").otherwise("general")

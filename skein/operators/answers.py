@@ -45,7 +45,7 @@ RELATED = {
     "کیفیت": ["مرغوبیت", "مطلوبیت", "بهبود", "بهینه", "عالی"],
 }
 #: Stop words of the dictionary's keywords.
-STOP = "چیست چطور چرا کجا کی چی کدوم چگونه نحوه دلیل علت کجاست چه وقت زمان مقدار و در از به که این آن با برای است بود باشد می خواهد کرد کرده کنم کنی کند کنیم کنید کنند".split()
+STOP = ["چیست", "چطور", "چرا", "کجا", "کی", "چی", "کدوم", "چگونه", "نحوه", "دلیل", "علت", "کجاست", "چه", "وقت", "زمان", "مقدار", "و", "در", "از", "به", "که", "این", "آن", "با", "برای", "است", "بود", "باشد", "می", "خواهد", "کرد", "کرده", "کنم", "کنی", "کند", "کنیم", "کنید", "کنند"]
 #: Heads of query categories.
 CATEGORIES = {"questions": ["چی", "چطور", "چرا", "کجا", "کی", "کدام"], "commands": ["بگو", "نشان", "بیاور", "پیدا"], "requests": ["لطفا", "می‌تونید", "میشه"]}
 #: Phrases that tell of sources, and words that tell of doubt.

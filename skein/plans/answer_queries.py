@@ -47,10 +47,7 @@ def accuracy(spark, d):
     return pairs(spark, d).select("conv_id", "turn", F.round(A.accuracy(F.col("answer"), F.col("question")), 6).alias("score"))
 
 
-_FACT = r"\b\d{4}\b|\b\d+\.\d+\b|\b[A-Z][a-z]+ [A-Z][a-z]+\b"
-
-
-@query("fun26_factual_overlap", f"""WITH d AS (SELECT doc_id, regexp_replace(text,'[\\x{{C0}}-\\x{{24F}}]','_','g') AS t FROM documents), x AS (SELECT a.doc_id, a.t AS answer, regexp_extract_all(a.t,{_q(_FACT)}) AS fa, regexp_extract_all(b.t,{_q(_FACT)}) AS fb FROM d a JOIN d b ON b.doc_id=a.doc_id+1)
+@query("fun26_factual_overlap", f"""WITH d AS (SELECT doc_id, regexp_replace(text,'[\\x{{C0}}-\\x{{24F}}]','_','g') AS t FROM documents), x AS (SELECT a.doc_id, a.t AS answer, regexp_extract_all(a.t,{_q(A.FACT)}) AS fa, regexp_extract_all(b.t,{_q(A.FACT)}) AS fb FROM d a JOIN d b ON b.doc_id=a.doc_id+1)
 SELECT doc_id, round(CASE WHEN length(answer)=0 THEN 0 WHEN len(fb)=0 THEN 0.5 ELSE least(len(list_intersect(list_distinct(fa),list_distinct(fb)))/len(fb),1) END,6) AS score FROM x""")
 def factual(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")

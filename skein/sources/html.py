@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements that are dropped with all they hold, and the entities that are told.
 DROPPED = ["script", "style", "nav", "footer", "header", "noscript", "iframe", "object"]
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 

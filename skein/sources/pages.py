@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What is dropped, and selectors of the main part: an element, one of a class (.), one of an id (#).
-DROPPED = ("script", "style", "nav", "footer", "header", "noscript", "iframe", "object")
+from skein.sources.html import DROPPED
+
+#: Selectors of the main part: an element, one of a class (.), one of an id (#).
 FILE_MAIN = ("main", "article", "section", "div.content")
 SITE_MAIN = ("main", "article", "section", ".content", ".main-content", ".post-content", ".article-content", ".entry-content", ".page-content", "#content", "#main-content", "body")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
