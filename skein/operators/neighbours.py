@@ -106,8 +106,9 @@ def search(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, p
     n = lists or max(1, isqrt(rows.count()))
     fitted_on = centroids(rows, id_, vector, n)
     sent = rows.sparkSession.sparkContext.broadcast(fitted_on)
-    held = indexed(rows, id_, vector, sent, 1).drop("turn")
-    asked = indexed(queries, id_, vector, sent, max(first, round(probes * len(fitted_on))))
+    # Written down: finding the nearest lists is most of the work, and both rounds need them.
+    held = settled(indexed(rows, id_, vector, sent, 1).drop("turn"))
+    asked = settled(indexed(queries, id_, vector, sent, max(first, round(probes * len(fitted_on)))))
     sizes = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("blocks"))
     near = _met(held, asked.filter(F.col("turn") < first).withColumn("bound", F.lit(None).cast("double")), sizes, k, slack)
     # Written down, as the second round needs the first for its bounds and again for its result.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skein.operators.aggregation import ranked
-from skein.operators.store import settled, shared_folder
+from skein.operators.store import shared_folder
 
 
 def files_of(folder: str):
@@ -122,11 +122,14 @@ def migrate(source: DataFrame, folder: str, key: str, batch_size: int, change: C
     ``rollback_on_failure`` the batches that succeeded are committed.  Returns status, migrated, failed, rolled_back,
     version and target_count."""
     spark = source.sparkSession
-    placed = settled(ranked(source.withColumn("_all", F.lit(0)), ["_all"], [key]).withColumn("_batch", F.floor(F.col("_i") / batch_size)).drop("_all", "_i", "_n"))
-    sizes = {r["_batch"]: r["count"] for r in placed.groupBy("_batch").count().collect()}
+    # A folder a batch, so that staging one reads no other.
+    held = {"path": f"{folder}/batches/{uuid.uuid4().hex}"}
+    ranked(source.withColumn("_all", F.lit(0)), ["_all"], [key]).withColumn("_batch", F.floor(F.col("_i") / batch_size)).drop("_all", "_i", "_n").write.partitionBy("_batch").parquet(held["path"])
+    batch = lambda k: spark.read.schema(source.schema).parquet(f"{held['path']}/_batch={k}")
+    sizes = {r["_batch"]: r["count"] for r in spark.read.parquet(held["path"]).groupBy("_batch").count().collect()} if not source.isEmpty() else {}
     staged, failed, status = [], 0, "ok"
     for k in sorted(sizes):
-        rows = placed.filter(F.col("_batch") == k).drop("_batch")
+        rows = batch(k)
         try:
             group = stage(change(rows) if change else rows, folder)
             if group["rows"] != sizes[k]:
@@ -141,12 +144,13 @@ def migrate(source: DataFrame, folder: str, key: str, batch_size: int, change: C
     migrated = sum(g["rows"] for g in staged)
     if status == "ok":
         before = manifest(folder) if versions(folder) else {"groups": []}
-        schema = (change(placed.drop("_batch")) if change else placed.drop("_batch")).schema.json()
+        schema = (change(source) if change else source).schema.json()
         version = commit(folder, schema, [*before["groups"], *staged], note)
     else:
         for g in staged:
             drop(g)
         version = (versions(folder) or [0])[-1]
+    drop(held)
     target = read(spark, folder, version).count() if version else 0
     return {"status": status, "migrated": migrated, "failed": failed, "rolled_back": migrated if status == "rolled_back" else 0, "version": version, "target_count": target}
 

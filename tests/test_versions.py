@@ -79,3 +79,10 @@ def test_a_failed_write_makes_no_version(spark, docs, tmp_path):
     with pytest.raises(Exception, match="planted|aborted|failed"):
         broken.write.format("versions").option("path", folder).mode("append").save()
     assert V.versions(folder) == [1] and pairs(V.read(spark, folder)) == pairs(docs)
+
+
+def test_nothing_to_migrate(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    V.write(docs, folder)
+    said = V.migrate(docs.limit(0), folder, "id", 10)
+    assert (said["status"], said["migrated"], said["target_count"]) == ("ok", 0, 100)
