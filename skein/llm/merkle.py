@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import cut_lineage, fold
@@ -117,6 +117,55 @@ def proofs(manifest: Manifest) -> DataFrame:
     return _paths(manifest.levels, tops)
 
 
+def save(manifest: Manifest, folder: str) -> None:
+    """Writes a manifest: a Parquet table a level, and last the root, without which it can't be loaded."""
+    for kind, levels in (("levels", manifest.levels), ("top", manifest.top)):
+        for k, nodes in enumerate(levels):
+            nodes.write.parquet(f"{folder}/{kind}/{k}")
+    spark = manifest.levels[0].sparkSession
+    spark.createDataFrame([(manifest.root, len(manifest.levels), len(manifest.top))], "root string, levels int, top int").coalesce(1).write.parquet(f"{folder}/root")
+
+
+def load(spark: SparkSession, folder: str) -> Manifest:
+    said = spark.read.parquet(f"{folder}/root").first()
+    levels = lambda kind, n: [spark.read.parquet(f"{folder}/{kind}/{k}") for k in range(n)]
+    return Manifest(levels("levels", said.levels), levels("top", said.top), said.root)
+
+
+def differences(old: Manifest, new: Manifest) -> DataFrame:
+    """(group, id, change): the leaves that were added, removed or changed from one manifest to another.
+
+    Trees are compared from their roots down, each level under the nodes that differ above it only, so what is equal is
+    passed over by its root; rows that move because others came or went before them are compared again, but not told."""
+    spark = old.levels[0].sparkSession
+    nothing = spark.createDataFrame([], "`group` string, id long, change string")
+    if old.root == new.root:
+        return nothing
+    differ = None
+    for k in reversed(range(1, max(len(old.levels), len(new.levels)))):
+        sides = []
+        for manifest, name in ((old, "_a"), (new, "_b")):
+            nodes = manifest.levels[min(k, len(manifest.levels) - 1)].select("group", "place", F.col("digest").alias(name))
+            # A tree that has ended below this level has one node here, its root.
+            if differ is not None:
+                nodes = nodes.join(differ, (nodes["group"] == differ["_group"]) & (F.floor(nodes["place"] / FAN) == differ["_place"]), "left_semi")
+            sides.append(nodes)
+        both = sides[0].join(sides[1], ["group", "place"], "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+        differ = cut_lineage(both.select(F.col("group").alias("_group"), F.col("place").alias("_place")))
+    sides = []
+    for manifest, name in ((old, "_a"), (new, "_b")):
+        leaves_ = manifest.levels[0].select("group", "id", F.col("digest"), "place")
+        if differ is not None:
+            leaves_ = leaves_.join(differ, (leaves_["group"] == differ["_group"]) & (F.floor(leaves_["place"] / FAN) == differ["_place"]), "left_semi")
+        # Rows that share an id are one, told by all their digests.
+        sides.append(leaves_.groupBy("group", "id").agg(F.sort_array(F.collect_list("digest")).alias(name)))
+    a, b = sides
+    b = b.withColumnsRenamed({"group": "_g", "id": "_i"})
+    both = a.join(b, (a["group"] == b["_g"]) & a["id"].eqNullSafe(b["_i"]), "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
+    return both.select(F.coalesce("group", "_g").alias("group"), F.coalesce("id", "_i").alias("id"), change.alias("change"))
+
+
 def folded(leaf: Column, path: Column) -> Column:
     """The root that a leaf and its path lead to."""
     return F.aggregate(path, leaf, lambda digest, run: F.sha2(F.concat(run["left"], digest, run["right"]), 256))

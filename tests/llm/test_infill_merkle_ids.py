@@ -177,3 +177,33 @@ def test_damaged_files_are_refused(spark, tmp_path):
     shard.write_bytes(bytes(data))
     with pytest.raises(Exception, match="damaged|[Zz]std|corrupt|decompress"):
         idstore.read(spark, folder).collect()
+
+
+def test_manifests_are_kept_and_compared(spark, tmp_path):
+    draw = random.Random(9)
+    rows = {(s, i): f"{s} {i}" for s, n in (("hot", 600), ("b", 20), ("c", 1)) for i in range(n)}
+    of = lambda held: merkle.build(merkle.leaves(docs(spark, [(i, s, t) for (s, i), t in held.items()])))
+    old = of(rows)
+    merkle.save(old, f"{tmp_path}/old")
+    old = merkle.load(spark, f"{tmp_path}/old")
+    assert merkle.differences(old, of(dict(rows))).count() == 0
+    for case in range(4):
+        changed = dict(rows)
+        if case == 0:
+            changed["hot", 317] = "other"
+        if case == 1:
+            changed["hot", 900], changed["new", 1] = "more", "group"
+            del changed["c", 0]
+        if case == 2:
+            for key in draw.sample(sorted(rows), 30):
+                changed[key] += "!"
+            for key in draw.sample(sorted(rows), 30):
+                changed.pop(key)
+            changed["hot", -5] = "first"
+        if case == 3:
+            # A tree that loses its upper levels.
+            changed = {k: v for k, v in changed.items() if k[0] != "hot" or k[1] < 9}
+        new = of(changed)
+        want = {(f"g{s}", i): "added" if (s, i) not in rows else "removed" if (s, i) not in changed else "changed" for s, i in {*rows, *changed} if rows.get((s, i)) != changed.get((s, i))}
+        assert {(r.group, r.id): r.change for r in merkle.differences(old, new).collect()} == want, case
+        assert (old.root == new.root) == (not want)
