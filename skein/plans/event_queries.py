@@ -330,7 +330,7 @@ def estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", C.chunk_estimate(F.col("n_chars"), 358, 50).alias("estimate"))
 
 
-@query("chk10_sentences")
+@query("chk10_sentences", """WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？؟])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 8) AS v FROM documents) SELECT doc_id, unnest(range(len(v))) AS position, unnest(v) AS sentence FROM s""")
 def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("position", "sentence"))
 

@@ -159,6 +159,7 @@ def hierarchical(spark, d):
     return folds.hierarchical_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("hyb01_02_folded_keywords")
+@query("hyb01_02_folded_keywords", """WITH w AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'that')) AS w FROM benchmark),
+ a AS (SELECT item_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS k FROM w) SELECT item_id, list_filter(k, lambda x, i: list_position(k, x) = i) AS keywords FROM a""")
 def folded(spark, d):
     return folds.folded_keywords(table(spark, d, "benchmark"), "item_id", "text", ["the", "and", "that"])
