@@ -12,6 +12,8 @@ PERSIAN, LATIN = r"[\x{0600}-\x{06FF}]", "[a-zA-Z]"
 PERSIAN_DIGITS, DIGITS = "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 #: Lexicons of the content filter, of our own choice; every function takes others.
 TOXIC = ["idiot", "stupid", "moron", "scum", "trash", "loser", "worthless", "disgusting"]
+#: The filter's Persian and English words.
+TOXIC_FIXED = ["فحش", "زشت", "کثیف", "احمق", "خنگ", "بی‌عقل", "stupid", "idiot", "dumb", "hate", "kill", "die"]
 SENSITIVE = ["password", "secret", "confidential", "private"]
 
 

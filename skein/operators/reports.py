@@ -142,6 +142,27 @@ def reserved(operations: DataFrame, keys: list[str], order: list[str], limit: st
     return placed.withColumns({"allowed": F.col("_i") < F.col(limit), "usage": F.least(F.col("_i"), F.col(limit))}).drop("_i", "_n")
 
 
+#: What is recommended to each segment of users, to a kind of usage, and to others.
+ADVICE = {
+    "power_user": ["ارائه ویژگی‌های پیشرفته", "دسترسی اولویت‌دار به قابلیت‌های جدید", "پشتیبانی تخصصی"],
+    "regular_user": ["ارائه آموزش‌های پیشرفته", "تشویق به استفاده بیشتر", "معرفی قابلیت‌های جدید"],
+    "casual_user": ["بهبود تجربه کاربری", "ارائه محتوای جذاب", "کاهش پیچیدگی رابط کاربری"],
+    "new_user": ["راهنمایی کامل", "آموزش‌های پایه", "تجربه کاربری ساده"],
+    "inactive_user": ["بازگرداندن کاربر", "ارائه انگیزه‌های جدید", "بررسی علل عدم استفاده"],
+}
+OTHERWISE = "تحلیل بیشتر نیاز است"
+MORE_OF, IN_DEPTH, IN_BRIEF = "محتوای بیشتر در زمینه", "محتوای عمیق و تفصیلی", "محتوای مختصر و کاربردی"
+
+
+def advice(segment: Column, topics: Column, minutes: Column) -> Column:
+    """What is recommended to a user: by segment, by their first topics, and by the length of their sessions."""
+    own = F.array(F.lit(OTHERWISE))
+    for name, said in ADVICE.items():
+        own = F.when(segment == name, F.array(*map(F.lit, said))).otherwise(own)
+    more = F.when(F.size(topics) > 0, F.concat(F.lit(f"{MORE_OF} "), F.array_join(F.slice(topics, 1, 3), ", ")))
+    return F.array_compact(F.concat(own, F.array(more, F.when(minutes > 30, IN_DEPTH).otherwise(IN_BRIEF))))
+
+
 #: Kinds of hooks.
 HOOKS = ["pre_document_ingest", "post_document_ingest", "pre_query", "post_query", "pre_response", "post_response", "on_user_interaction", "on_error"]
 

@@ -598,3 +598,32 @@ def embedding_batches(spark, d):
     """Texts through an encoder that a task loads once, in batches of different texts."""
     e = V.embedded(table(spark, d, "documents"), "doc_id", "text", V.hash_embedder)
     return e.select("doc_id", *[F.round(F.get("embedding", F.lit(k)), 9).alias(f"x{k}") for k in range(4)])
+
+
+_FIXED = " + ".join(f"CAST(contains(lower(text), {_Q(w)}) AS INT)" for w in X.TOXIC_FIXED)
+
+
+@query("fun03_fixed_lexicon", f"WITH t AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN ' احمق و زشت' ELSE '' END AS text FROM conversations), n AS (SELECT conv_id, turn, {_FIXED} AS n FROM t) SELECT conv_id, turn, n, n > 0 AS toxic, round(least(n / 3, 1.0), 6) AS confidence FROM n")
+def fixed_lexicon(spark, d):
+    """Turns by the fixed words of two languages that they contain; every fourth one gets two more."""
+    t = table(spark, d, "conversations").withColumn("text", F.concat("text", F.when(F.col("turn") % 4 == 0, " احمق و زشت").otherwise("")))
+    n = X.held(F.col("text"), X.TOXIC_FIXED)
+    return t.select("conv_id", "turn", n.alias("n"), (n > 0).alias("toxic"), F.round(F.least(n / 3, F.lit(1.0)), 6).alias("confidence"))
+
+
+_ADVICE = "CASE pattern " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(_Q, v))}]" for k, v in RP.ADVICE.items()) + f" ELSE [{_Q(RP.OTHERWISE)}] END"
+
+
+@query("evt10_recommendations", f"""
+WITH RECURSIVE {_SESSIONS}, se AS (SELECT user_id, start, count(*) AS n, (max(t) - start) / 1e6 AS seconds FROM al GROUP BY 1, 2),
+ tp AS (SELECT user_id, string_agg(event_type, ', ' ORDER BY n DESC, event_type) AS topics FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) <= 3) GROUP BY 1),
+ p AS (SELECT user_id, avg(seconds) / 60 AS minutes, CASE WHEN avg(seconds) > 1800 AND sum(n)/count(*) > 10 THEN 'power_user' WHEN avg(seconds) > 600 AND sum(n)/count(*) > 5 THEN 'regular_user' WHEN sum(n)/count(*) > 2 THEN 'casual_user' ELSE 'light_user' END AS pattern FROM se GROUP BY 1)
+SELECT user_id, pattern, array_to_string(list_concat({_ADVICE}, ['{RP.MORE_OF} ' || topics, CASE WHEN minutes > 30 THEN '{RP.IN_DEPTH}' ELSE '{RP.IN_BRIEF}' END]), '; ') AS advice FROM p JOIN tp USING (user_id)""")
+def recommendations(spark, d):
+    """Users by their pattern, with what is recommended to it, to their topics and to their sessions."""
+    s = with_sessions(spark, d)
+    each = s.groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("n"), ((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.col("start")) / 1e6).alias("seconds"))
+    counted = s.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    topics = counted.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "event_type"))), lambda x: x["event_type"]).alias("topics"))
+    p = each.groupBy("user_id").agg((F.avg("seconds") / 60).alias("minutes"), RP.usage_pattern(F.avg("seconds"), F.sum("n") / F.count(F.lit(1))).alias("pattern"))
+    return p.join(topics, "user_id").select("user_id", "pattern", F.array_join(RP.advice(F.col("pattern"), F.col("topics"), F.col("minutes")), "; ").alias("advice"))

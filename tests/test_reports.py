@@ -141,3 +141,9 @@ def test_running_totals_of_a_hot_key(spark):
         want[r.id] = sums[r.k]
     assert {r.id: r._total for r in A.running_total(df, ["k"], ["id"], "v").collect()} == want
     assert A.running_total(df.limit(0), ["k"], ["id"], "v").count() == 0
+
+
+def test_advice_by_hand(spark):
+    df = spark.createDataFrame([("power_user", ["a", "b", "c", "d"], 31.0), ("none such", [], 5.0)], "s string, t array<string>, m double")
+    got = [r.x for r in df.select(R.advice(F.col("s"), F.col("t"), F.col("m")).alias("x")).collect()]
+    assert got == [[*R.ADVICE["power_user"], f"{R.MORE_OF} a, b, c", R.IN_DEPTH], [R.OTHERWISE, R.IN_BRIEF]]
