@@ -121,3 +121,76 @@ def test_states_grow_with_the_corpus_and_tell_copies(spark):
     twice = [gain[i] for i in trained if i >= 1000 and not got[i - 1000].held_out]
     once = [gain[i] for i in trained if 40 <= i < 1000]
     assert min(twice) > max(once)
+
+
+def brute_tree(rows, share=1e-3, depth=3):
+    """What the states over symbols add to each text, with dictionaries and one context at a time."""
+    import xxhash
+
+    words = {i: (t or "").encode().lower().split() for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(w for i in train for w in words[i])
+    signed = {w: (h := xxhash.xxh64_intdigest(w, 42)) - (h >> 63 << 64) for w in count}
+    symbol = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], signed[w]))[:512])}
+    told = lambda w: symbol.get(w, 512 + zlib.crc32(w[-3:]) % 64)
+    end, begin = 576, 577
+    total = sum(count.values()) + len(train)
+    mass = Counter({512 + k: 0.1 / 64 for k in range(64)})
+    for w, c in count.items():
+        mass[told(w)] += c + 0.1
+    mass[end] += len(train) + 0.1
+    root = {s: m / sum(mass.values()) for s, m in mass.items()}
+    texts = {i: [begin] * 3 + [told(w) for w in ws] + [end] for i, ws in words.items()}
+
+    def follows(size):
+        found = {}
+        for i in train:
+            for k in range(3, len(texts[i])):
+                found.setdefault(tuple(texts[i][k - size : k]), Counter())[texts[i][k]] += 1
+        return found
+
+    # Contexts, oldest symbol first, whose followers differ from their longest proper suffix's.
+    states, counted = {(): root}, {}
+    for size in range(1, depth + 1):
+        here = follows(size)
+        for context, n in here.items():
+            if size > 1 and (context[1:] not in states or counted.get(context[:-1], {}).get(context[-1], 0) < share * total):
+                continue
+            counted[context] = n
+        for context in [c for c in counted if len(c) == size]:
+            n, parent = counted[context], states[context[1:]]
+            seen = sum(n.values())
+            kinds = sum(p > 0 for p in parent.values()) - 1
+            test = 2 * sum(c * math.log(c / seen / max(parent.get(s, 0.0), 1e-300)) for s, c in n.items())
+            if seen >= share * total and test > kinds + 4 * math.sqrt(2 * kinds):
+                states[context] = {s: (n[s] + 200 * p) / (seen + 200) for s, p in parent.items()}
+    out = {}
+    for i, text in texts.items():
+        out[i] = 0.0
+        for k in range(3, len(text)):
+            held = ()
+            for size in range(1, depth + 1):
+                if tuple(text[k - size : k]) not in states:
+                    break
+                held = tuple(text[k - size : k])
+            if root.get(text[k], 0) > 0 and states[held].get(text[k], 0) > 0:
+                out[i] += math.log10(states[held][text[k]] / root[text[k]])
+    others = {w: told(w) - 512 for w in count if w not in symbol}
+    return out, brute_words(rows, others, count), len(states)
+
+
+def test_the_whole_score_is_the_plain_one(spark):
+    rng = random.Random(12)
+    rows = corpus()
+    # Words that call for what follows them, two and three back, so that longer contexts become states.
+    for i in range(300, 420):
+        text = []
+        for _ in range(60):
+            text += rng.choice([["x1é", "x2é", "y3é"], ["z1é", "x2é", "z9é"], ["y1é", "z1é", "x2é", "x5é"], [f"x{rng.randint(0, 299)}é"]])
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, state int").repartition(3)
+    got = {r.doc_id: r.score - r.base_score for r in suffix_tree.score(docs).collect()}
+    tree, deep, states = brute_tree(rows)
+    assert states > 40 and len({round(v) for v in tree.values()}) > 20
+    for i, _ in rows:
+        assert got[i] == pytest.approx(tree[i] + deep[i], abs=2e-3), i
