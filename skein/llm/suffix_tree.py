@@ -29,11 +29,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import BLANK, as_bytes, chunks, cut_lineage, fold, row_key
-from skein.llm.word_states import UNKNOWN, word_gains
+from skein.llm.word_states import UNKNOWN, unpacked, word_gains
 
 FOLDS, HELD_OUT = 10, 0
 ADD = 0.1
@@ -158,13 +159,13 @@ class _Words:
 
 
 def symbolise(docs: DataFrame, model: Unigrams) -> DataFrame:
-    """row, doc_id, key, training, symbols (16-bit), words (32-bit), n_tokens, n_known and base over known words, and the
-    other words."""
+    """row, doc_id, key, training, symbols (16-bit) and words (32-bit), both packed, n_tokens, n_known and base over known
+    words, and the other words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, key long, training boolean, symbols binary, words binary, n_tokens long, n_known long, base double, others array<struct<h: bigint, n: bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(sent.value)
+        words, pack = _Words(sent.value), zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         end_log, end_known = float(sent.value.log10(sent.value.ends)), int(sent.value.ends > 0)
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))]
         for b in batches:
@@ -173,7 +174,7 @@ def symbolise(docs: DataFrame, model: Unigrams) -> DataFrame:
                 for (doc_id, _, key, training), code in zip(group, words.codes([g[1].lower().split() for g in group]), strict=True):
                     unknown = words.open[code]
                     h, n = np.unique(words.hash[code][unknown], return_counts=True)
-                    rows.append((doc_id, key, training, words.symbol[code].astype("<u2").tobytes(), words.id[code].astype("<u4").tobytes(), len(code) + 1, int(len(code) - unknown.sum()) + end_known, float(words.log[code].sum()) + end_log, [{"h": x, "n": y} for x, y in zip(h.tolist(), n.tolist())]))
+                    rows.append((doc_id, key, training, pack(words.symbol[code].astype("<u2").tobytes()), pack(words.id[code].astype("<u4").tobytes()), len(code) + 1, int(len(code) - unknown.sum()) + end_known, float(words.log[code].sum()) + end_log, [{"h": x, "n": y} for x, y in zip(h.tolist(), n.tolist())]))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=["doc_id", "key", "training", "symbols", "words", "n_tokens", "n_known", "base", "others"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -231,7 +232,7 @@ def _count(coded: DataFrame, tree: Tree, depth: int) -> np.ndarray:
         tree = sent.value
         total = np.zeros(size * SYMBOLS, np.int64)
         for b in batches:
-            for group in chunks(enumerate(b.column(0).to_pylist())):
+            for group in chunks(enumerate(unpacked(b.column(0)))):
                 symbols = _padded([g[1] for g in group])
                 state = tree.exact(symbols, depth - 1)
                 before = symbols[DEPTH - depth : len(symbols) - depth]
@@ -312,7 +313,7 @@ def score(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> DataFram
         tree, gain = sent.value
         for b in batches:
             gains = np.zeros(b.num_rows)
-            for group in chunks(enumerate(b.column(0).to_pylist())):
+            for group in chunks(enumerate(unpacked(b.column(0)))):
                 symbols = _padded([g[1] for g in group])
                 state, follows = tree.states(symbols, depth), symbols[DEPTH:]
                 sums = np.concatenate(([0.0], np.cumsum(np.where(follows == BEGIN, 0.0, gain[state, follows].astype(np.float64)))))

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,13 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    """The values of a column of packed ones, one at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed in column:
+        yield unpack(packed.as_buffer())
+
+
 def positions(words: np.ndarray, symbols: np.ndarray, classes: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, subtree, third, word) of a text's words that are known and whose symbol is a class."""
     at = np.flatnonzero((words < UNKNOWN) & (symbols >= classes.start) & (symbols < classes.stop))
@@ -84,7 +92,7 @@ def _send(coded: DataFrame, buckets: int, classes: range) -> DataFrame:
             yield pa.record_batch([pa.array(names), pa.array([first] * len(names), pa.int64()), pa.array(records, pa.binary())], names=["bucket", "batch", "records"])
 
         for b in batches:
-            for row, training, words, symbols in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for row, training, words, symbols in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unpacked(b.column(2)), unpacked(b.column(3)), strict=True):
                 if held and (size >= FLUSH or row - first >= FLUSH_ROWS):
                     yield from flush()
                     held, size = [], 0
