@@ -63,18 +63,23 @@ def serialised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        kind = f"<u{_width(path, end)}"
-        last = np.array([end], kind).tobytes()
         for b in batches:
-            for part, ids, counts in bpe.encode_batches(b, 1, 1000):
-                flat = ids.astype(kind).tobytes()
-                ends = (np.cumsum(counts) * np.dtype(kind).itemsize).tolist()
-                yield pa.record_batch([part.column(0), pa.array([flat[s:e] + last for s, e in zip([0, *ends], ends)], pa.binary()), pa.array(counts + 1)], names=["doc_id", "ids", "n_tokens"])
+            for part, arrays, counts in _arrays(bpe, b, _width(path, end), end):
+                yield pa.record_batch([part.column(0), pa.array(arrays, pa.binary()), pa.array(counts)], names=["doc_id", "ids", "n_tokens"])
         give_back()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
 
+def _arrays(bpe, batch: pa.RecordBatch, width: int, end: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+    """Slices of a batch with each text's serialised array and how many ids it has."""
+    kind = f"<u{width}"
+    last = np.array([end], kind).tobytes()
+    for part, ids, counts in bpe.encode_batches(batch, 1, 1000):
+        flat, ends = ids.astype(kind).tobytes(), (np.cumsum(counts) * width).tolist()
+        yield part, [flat[s:e] + last for s, e in zip([0, *ends], ends)], counts + 1
+
+
 def _width(path: str, end: int) -> int:
     return 2 if max(len(coder(path).token_bytes), end + 1) <= 1 << 16 else 4
 
@@ -95,16 +100,18 @@ def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(content) if content else None
 
 
-def framed(ids: DataFrame, dictionary: bytes) -> DataFrame:
-    """Rows of :func:`serialised` with the array as a frame, and its CRC-32."""
+def framed(docs: DataFrame, path: str, dictionary: bytes, end: int = END) -> DataFrame:
+    """(doc_id, frame, n_tokens, crc32): each text's array as a frame, and the CRC-32 of the array.  Encoded and compressed
+    in one pass, so that arrays never leave their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_dict_id=False)
+        bpe, frames = coder(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_dict_id=False)
         for b in batches:
-            arrays = b.column(1).to_pylist()
-            yield pa.record_batch([b.column(0), pa.array([frames.compress(a) for a in arrays], pa.binary()), b.column(2), pa.array([zlib.crc32(a) for a in arrays], pa.int64())], names=["doc_id", "frame", "n_tokens", "crc32"])
+            for part, arrays, counts in _arrays(bpe, b, _width(path, end), end):
+                yield pa.record_batch([part.column(0), pa.array([frames.compress(a) for a in arrays], pa.binary()), pa.array(counts), pa.array([zlib.crc32(a) for a in arrays], pa.int64())], names=["doc_id", "frame", "n_tokens", "crc32"])
+        give_back()
 
-    return ids.mapInArrow(run, "doc_id long, frame binary, n_tokens long, crc32 long")
+    return texts(docs).mapInArrow(run, "doc_id long, frame binary, n_tokens long, crc32 long")
 
 
 class _Writer:
@@ -149,7 +156,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     files.create_dir(place, recursive=True)
     with files.open_output_stream(f"{place}/{said}.dictionary") as out:
         out.write(dictionary)
-    held = cut_lineage(framed(serialised(docs, path, end), dictionary).withColumn("_row", F.monotonically_increasing_id()))
+    held = cut_lineage(framed(docs, path, dictionary, end).withColumn("_row", F.monotonically_increasing_id()))
     size = held.agg(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)).alias("n")).first().n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
