@@ -67,9 +67,9 @@ def checksum(rows: DataFrame) -> list[Column]:
     return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum")]
 
 
-def stage(rows: DataFrame, folder: str) -> dict:
+def stage(rows: DataFrame, folder: str, path: str | None = None) -> dict:
     """Writes a group of files that doesn't count yet, and what is found on reading it again."""
-    path = f"{folder}/data/{uuid.uuid4().hex}"
+    path = path or f"{folder}/data/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     found = rows.sparkSession.read.schema(rows.schema).parquet(path)
     return {"path": path, **found.agg(*checksum(found)).first().asDict()}
@@ -77,7 +77,9 @@ def stage(rows: DataFrame, folder: str) -> dict:
 
 def drop(group: dict) -> None:
     files, path = files_of(group["path"])
-    files.delete_dir(path)
+    # A write that failed may have left no folder.
+    if files.get_file_info(path).type.name != "NotFound":
+        files.delete_dir(path)
 
 
 def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
@@ -117,27 +119,49 @@ def verify(spark: SparkSession, folder: str, version: int | None = None) -> list
 def migrate(source: DataFrame, folder: str, key: str, batch_size: int, change: Callable[[DataFrame], DataFrame] | None = None, rollback_on_failure: bool = True, note: str = "migrated") -> dict:
     """Adds the rows of ``source`` to the store in batches of ``batch_size`` by ``key``, each passed through ``change``.
 
-    Every batch is staged and read again before the next begins; the version that holds them all is committed once, at the
-    end.  If a batch fails, the staged ones are removed and the version before stays the current one; without
+    Runs of batches are staged and read again together, and a run that fails is halved until the batch that fails is found,
+    so the number of jobs grows with the failures and not with the batches.  ``change`` gets the rows of several batches, told
+    apart by a column ``_batch``; one that drops it gets every batch by itself.  The version that holds them all is committed
+    once, at the end.  If a batch fails, the staged ones are removed and the version before stays the current one; without
     ``rollback_on_failure`` the batches that succeeded are committed.  Returns status, migrated, failed, rolled_back,
     version and target_count."""
     spark = source.sparkSession
-    # A folder a batch, so that staging one reads no other.
+    # Written once, in the order of the batches, so that files without a run's batches are skipped.
     held = {"path": f"{folder}/batches/{uuid.uuid4().hex}"}
-    ranked(source.withColumn("_all", F.lit(0)), ["_all"], [key]).withColumn("_batch", F.floor(F.col("_i") / batch_size)).drop("_all", "_i", "_n").write.partitionBy("_batch").parquet(held["path"])
-    batch = lambda k: spark.read.schema(source.schema).parquet(f"{held['path']}/_batch={k}")
-    sizes = {r["_batch"]: r["count"] for r in spark.read.parquet(held["path"]).groupBy("_batch").count().collect()} if not source.isEmpty() else {}
-    staged, failed, status = [], 0, "ok"
-    for k in sorted(sizes):
-        rows = batch(k)
+    ranked(source.withColumn("_all", F.lit(0)), ["_all"], [key]).withColumn("_batch", F.floor(F.col("_i") / batch_size).cast("long")).drop("_all", "_i", "_n").write.parquet(held["path"])
+    dealt = spark.read.schema(StructType.fromJson(source.schema.jsonValue()).add("_batch", "long")).parquet(held["path"])
+    total = dealt.count()
+    staged, failed = [], 0
+
+    def whole(first: int, stop: int) -> dict | None:
+        """What was staged of a run of batches, if every batch of it has its rows."""
+        rows = dealt.filter((F.col("_batch") >= first) & (F.col("_batch") < stop))
+        path = f"{folder}/data/{uuid.uuid4().hex}"
         try:
-            group = stage(change(rows) if change else rows, folder)
-            if group["rows"] != sizes[k]:
-                drop(group)
-                raise ValueError(f"batch {k} has {group['rows']} rows of {sizes[k]}")
+            changed = change(rows) if change else rows
+            if "_batch" not in changed.columns and stop - first > 1:
+                return None
+            group = stage(changed.drop("_batch"), folder, path)
+            size = F.least(F.lit(batch_size), F.lit(total) - F.col("_batch") * batch_size)
+            if group["rows"] == min(stop * batch_size, total) - first * batch_size and (stop - first == 1 or changed.groupBy("_batch").count().filter(F.col("count") != size).isEmpty()):
+                return group
+        except PySparkException:
+            pass
+        drop({"path": path})
+        return None
+
+    # Runs yet to be tried, the next one last.
+    batches, status = -(-total // batch_size), "ok"
+    ahead = [(0, batches)] if batches else []
+    while ahead:
+        first, stop = ahead.pop()
+        if group := whole(first, stop):
             staged.append(group)
-        except (PySparkException, ValueError):
-            failed += sizes[k]
+        elif stop - first > 1:
+            middle = (first + stop) // 2
+            ahead += [(middle, stop), (first, middle)]
+        else:
+            failed += min(stop * batch_size, total) - first * batch_size
             if rollback_on_failure:
                 status = "rolled_back"
                 break

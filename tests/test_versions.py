@@ -86,3 +86,23 @@ def test_nothing_to_migrate(spark, docs, tmp_path):
     V.write(docs, folder)
     said = V.migrate(docs.limit(0), folder, "id", 10)
     assert (said["status"], said["migrated"], said["target_count"]) == ("ok", 0, 100)
+
+
+def test_many_batches_take_few_jobs(spark, docs, tmp_path):
+    many = spark.range(400).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    try:
+        spark.sparkContext.setJobGroup("whole", "")
+        assert V.migrate(many, f"file://{tmp_path}/whole", "id", 2)["target_count"] == 400
+        assert 0 < jobs("whole") < 40
+        # Two batches that fail, one of which loses as many rows as the other gains.
+        moved = lambda rows: rows.filter("id <> 20").unionByName(rows.filter("id = 300"))
+        said = V.migrate(many, f"file://{tmp_path}/moved", "id", 2, moved, rollback_on_failure=False)
+        assert (said["status"], said["migrated"], said["failed"]) == ("ok", 396, 4)
+        assert {r.id for r in many.join(V.read(spark, f"file://{tmp_path}/moved"), "id", "left_anti").collect()} == {20, 21, 300, 301}
+        # Batches whose change drops the number of their batch are staged one by one.
+        spark.sparkContext.setJobGroup("single", "")
+        said = V.migrate(many, f"file://{tmp_path}/single", "id", 100, lambda rows: rows.select("id", "text"))
+        assert said["migrated"] == 400 and len(V.manifest(f"file://{tmp_path}/single")["groups"]) == 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
