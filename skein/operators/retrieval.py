@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from skein.functions.text import word_set
 from skein.operators.aggregation import running_total
 
+#: Documents and queries of one block, and pairs of them that are counted at once.
+DOCS, QUERIES, CELLS = 16384, 2048, 1 << 21
+#: Share of a slice's pairs from which on a word is counted by a product of matrices instead of by its pairs.
+DENSE = 0.01
+#: Pairs of a word's places that are listed at once.
+LISTED = 1 << 21
+
 #: English heads and synonyms of our own choice, beside the fixed dictionaries of skein.operators.answers.
 SYNONYMS = {"use": ["utilize", "employ", "apply"], "make": ["create", "build", "produce"], "fast": ["quick", "rapid", "speedy"], "the": ["this", "that"], "of": ["from", "about"]}
 QUESTION_HEADS = {"what": ["Definition of", "Explanation of", "Meaning of"], "how": ["Steps for", "Guide to", "Method of"], "why": ["Reason for", "Cause of", "Purpose of"], "where": ["Location of", "Place of", "Site of"], "when": ["Time of", "Date of", "Schedule of"]}
@@ -36,9 +49,111 @@ def placed(counts: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     return first_of_each(counts, ["query_id"], order, k)
 
 
+def _dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows with the number of their block, equal ids in one block, and how many blocks there are."""
+    n = df.count()
+    parts = max(1, -(-n // size), min(df.sparkSession.sparkContext.defaultParallelism, n // 1024) if name == "r" else 1)
+    return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), parts
+
+
+def _postings_of(words: pa.ChunkedArray, number: np.ndarray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and of the term of every word that is a term."""
+    lists = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    term = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+    text = np.repeat(number, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return text[term >= 0], term[term >= 0]
+
+
+def _counts(d: np.ndarray, dt: np.ndarray, q: np.ndarray, qt: np.ndarray, nd: int, nq: int, terms: int) -> np.ndarray:
+    """How many words each query and each document of a slice have in common; ``q`` is in the order of ``qt``."""
+    of_d, of_q = np.bincount(dt, minlength=terms), np.bincount(qt, minlength=terms)
+    dense = of_d * of_q > DENSE * nd * nq
+    place = np.cumsum(dense) - 1
+    rows, columns = np.zeros((nq, dense.sum()), np.float32), np.zeros((nd, dense.sum()), np.float32)
+    own, theirs = dense[qt], dense[dt]
+    np.add.at(rows, (q[own], place[qt[own]]), 1)
+    np.add.at(columns, (d[theirs], place[dt[theirs]]), 1)
+    out = np.rint(rows @ columns.T).astype(np.int64).ravel()
+    d, dt = d[~theirs], dt[~theirs]
+    first, size = np.cumsum(of_q) - of_q, of_q[dt]
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(d):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LISTED, side="right")))
+        n = size[at:stop]
+        behind = np.repeat(np.cumsum(n) - n, n)
+        found = q[np.repeat(first[dt[at:stop]], n) + np.arange(n.sum()) - behind]
+        out += np.bincount(found * nd + np.repeat(d[at:stop], n), minlength=nq * nd)
+        at = stop
+    return out.reshape(nq, nd)
+
+
+def _best_of(counts: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and documents of the k largest counts of each query, none of them 0; ties by rank."""
+    order = counts * len(rank) + (len(rank) - 1 - rank)
+    best = np.argpartition(order, len(rank) - k, axis=1)[:, len(rank) - k :] if len(rank) > k else np.tile(np.arange(len(rank)), (len(counts), 1))
+    q = np.repeat(np.arange(len(counts)), best.shape[1])
+    held = counts[q, best.ravel()] > 0
+    return q[held], best.ravel()[held]
+
+
+def _candidates(k: int, ends: tuple[bool, ...]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        kinds = {"query_id": asked.schema.field("id").type, "id": docs.schema.field("id").type, "n": pa.int64()}
+        if not docs.num_rows or not asked.num_rows:
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+        terms = pc.unique(asked["words"].combine_chunks().flatten())
+        q, qt = _postings_of(asked["words"], np.arange(asked.num_rows), terms)
+        q, qt = q[np.argsort(qt, kind="stable")], np.sort(qt)
+        # Documents are numbered by the order of their ids; rows of one id are one document.
+        ids = docs["id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        by_id = pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy(zero_copy_only=False)
+        number = np.argsort(by_id)[ids.indices.to_numpy(zero_copy_only=False)]
+        order = np.argsort(number, kind="stable")
+        docs, number = docs.take(pa.array(order)), number[order]
+        width = max(512, CELLS // asked.num_rows)
+        found = []
+        for start in range(0, len(by_id), width):
+            lo, hi = np.searchsorted(number, [start, start + width])
+            d, dt = _postings_of(docs["words"].slice(lo, hi - lo), number[lo:hi] - start, terms)
+            nd = min(width, len(by_id) - start)
+            counts = _counts(d, dt, q, qt, nd, asked.num_rows, len(terms))
+            for last in ends:
+                rank = np.arange(nd)[::-1] if last else np.arange(nd)
+                a, b = _best_of(counts, rank, k)
+                found.append(np.stack([a, b + start, counts[a, b], np.full(len(a), last)]))
+        a, b, n, last = np.concatenate(found, axis=1)
+        # The best of all slices.
+        keep = np.lexsort((np.where(last == 1, -b, b), -n, a, last))
+        group = last[keep] * asked.num_rows + a[keep]
+        keep = keep[np.arange(len(keep)) - np.searchsorted(group, group, side="left") < k]
+        a, b, n = np.unique(np.stack([a[keep], b[keep], n[keep]]), axis=1)
+        told = ids.dictionary.take(pa.array(by_id[b]))
+        return pa.table({"query_id": asked["id"].combine_chunks().take(pa.array(a)), "id": told, "n": pa.array(n, pa.int64())})
+
+    return run
+
+
+def keyword_candidates(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str, k: int, ends: tuple[bool, ...] = (False,)) -> DataFrame:
+    """(query_id, id, n): at least the k documents of each query that hold most of its different words, and no document that
+    holds none.  Ties at the end go to the smaller id; to the larger one as well, if ``ends`` names True beside False.
+
+    Blocks of documents meet blocks of queries, each pair of blocks keeps k documents a query, and no pair of a document and
+    a query is ever a row, however many documents hold a query's words."""
+    said = lambda df, id_: df.select(F.col(id_).alias("id"), F.coalesce(word_set(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    own, rows = _dealt(said(docs, doc_id), DOCS, "r")
+    # Rows of one id are one query.
+    once = said(queries, query_id).groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"))
+    asked, blocks = _dealt(once, QUERIES, "q")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = asked.withColumn("r", each(rows))
+    schema = StructType().add("query_id", asked.schema["id"].dataType).add("id", own.schema["id"].dataType).add("n", LongType())
+    return own.withColumn("q", each(blocks)).groupBy("r", "q").cogroup(sent.groupBy("r", "q")).applyInArrow(_candidates(k, ends), schema)
+
+
 def keyword_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str, k: int) -> DataFrame:
     """(query_id, id, n, rank): documents by how many of a query's different words they hold; ties to the smaller id."""
-    return placed(keyword_counts(docs, queries, doc_id, query_id, text), [F.desc("n"), "id"], k)
+    return placed(keyword_candidates(docs, queries, doc_id, query_id, text, k), [F.desc("n"), "id"], k)
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, alpha: Column | float, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from skein.functions import scoring as S
 from skein.functions import text as X
 from skein.operators import retrieval as R
 from skein.operators import vectors as V
+from skein.operators.store import settled
 from skein.plans.registry import query, table
 
 _COS = "CASE WHEN list_inner_product(a,a)=0 OR list_inner_product(b,b)=0 THEN 0 ELSE list_inner_product(a,b)/(sqrt(list_inner_product(a,a))*sqrt(list_inner_product(b,b))) END"
@@ -106,7 +107,7 @@ def keyword(spark, d):
 SELECT qid AS query_id, id, round(sem,4) AS semantic, round(kw,4) AS keyword, round(0.7*sem+0.3*kw,6) AS score FROM f WHERE 0.7*sem+0.3*kw >= 0.3""")
 def fusion(spark, d):
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
-    n = R.keyword_counts(docs, asked, "doc_id", "item_id", "text")
+    n = settled(R.keyword_candidates(docs, asked, "doc_id", "item_id", "text", 20, (False, True)))
     kw, sem = R.placed(n, [F.desc("n"), "id"], 20), R.placed(n, [F.desc("n"), F.desc("id")], 20)
     f = R.fuse(sem, kw, 0.7, ["query_id", "id"]).filter("score >= 0.3")
     return f.select("query_id", "id", F.round("semantic", 4).alias("semantic"), F.round("keyword", 4).alias("keyword"), F.round("score", 6).alias("score"))
