@@ -215,15 +215,19 @@ def trends(spark, d):
     t = t.withColumns({"mean": mean(F.col("v")), "recent": mean(F.slice("v", -3, 3)), "past": mean(F.slice("v", F.lit(1), F.greatest(F.col("n") - 3, F.lit(1)))), "step": F.when(F.col("n") >= 5, (at(-1) - F.get("v", F.col("n") - 5)) / 4)})
     ordered = F.array_sort("v")
     middle = (F.get(ordered, F.floor((F.col("n") - 1) / 2).cast("int")) + F.get(ordered, F.floor(F.col("n") / 2).cast("int"))) / 2
-    spread = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / (F.col("n") - 1))
+    # By Welford's sums, and rounded after scaling, as the SQL engine does: with numbers of sixteen digits and more every other way differs.
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    stepped = lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["mean"] + (x - s["mean"]) / (s["n"] + 1)).alias("mean"), (s["squares"] + (x - s["mean"]) * (x - (s["mean"] + (x - s["mean"]) / (s["n"] + 1)))).alias("squares"))
+    spread = F.aggregate("v", zero, stepped, lambda s: F.sqrt(s["squares"] / (s["n"] - 1)))
+    rounded = lambda c: F.round(c * 1e6) / 1e6
     pairs = F.zip_with(F.slice("v", F.lit(1), F.col("n") - 1), F.slice("v", F.lit(2), F.col("n") - 1), lambda a, b: F.when(b != 0, a / b))
     margin = lambda r: (r >= 0.01) & (r <= 2)
     long_ = F.col("n") >= 5
     return t.select(
-        "doc_id", "n", F.round("mean", 6).alias("mean"), F.round(middle, 6).alias("median"), F.round(spread, 6).alias("volatility"),
+        "doc_id", "n", rounded(F.col("mean")).alias("mean"), rounded(middle).alias("median"), rounded(spread).alias("volatility"),
         F.when(long_ & (F.col("recent") > F.col("past") * 1.05), "bullish").when(long_ & (F.col("recent") < F.col("past") * 0.95), "bearish").otherwise("neutral").alias("sentiment"),
         F.size(F.filter(pairs, margin)).alias("margins"), F.size(F.filter(pairs, lambda r: ~margin(r) & (r >= 0.1) & (r <= 10))).alias("debts"),
-        F.round(at(-1) + F.col("step"), 6).alias("next_period"), F.round(at(-1) + 3 * F.col("step"), 6).alias("next_3_periods"), F.when(long_, F.when(F.col("step") > 0, "positive").otherwise("negative")).alias("direction"),
+        rounded(at(-1) + F.col("step")).alias("next_period"), rounded(at(-1) + 3 * F.col("step")).alias("next_3_periods"), F.when(long_, F.when(F.col("step") > 0, "positive").otherwise("negative")).alias("direction"),
     )
 
 

@@ -75,3 +75,20 @@ def test_first_rows_of_a_hot_key(spark, capfd):
     retrieval.first_of_each(df, ["k"], ["v"], 4).explain()
     plan = capfd.readouterr().out
     assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
+def test_long_numbers_are_spread_and_rounded_as_by_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from skein.plans import catalog
+
+    rng = random.Random(1)
+    rows = [(k, " ".join(str(rng.randrange(10 ** rng.randrange(1, 18))) for _ in range(rng.randrange(3, 9)))) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "fun14_trends_and_forecasts"
+    want = sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
+    assert sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()) == want
