@@ -130,3 +130,10 @@ def test_where_documents():
     assert P.where({"$or": [{"a": 1}]}) == {"$or": [{"a": 1}]}
     with pytest.raises(ValueError):
         P.read({"a": {"$x": 1}})
+
+
+def test_references_without_semicolon_stay():
+    from skein.sources import pages as PG
+
+    said = PG.main_text("<title>a &amp;&amp</title><p>b &lt; c &ampd; &unknown; &#39;x&#39 &copy</p>", PG.FILE_MAIN)
+    assert said == "a &&amp\nb < c &ampd; &unknown; 'x&#39 &copy"
