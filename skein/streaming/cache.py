@@ -29,8 +29,9 @@ class Expiring(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", "made long, hits long")
 
-    def _row(self, key, made: int, hits: int) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "made": [made], "ended": [made + self.ttl], "hits": [hits]})
+    def _rows(self, key, held: list[tuple[int, int]]) -> pd.DataFrame:
+        made, hits = zip(*held, strict=True)
+        return pd.DataFrame({self.key: [key[0]] * len(made), "made": made, "ended": [m + self.ttl for m in made], "hits": hits})
 
     def _keep(self, made: int, hits: int) -> None:
         self.entry.update((made, hits))
@@ -40,23 +41,26 @@ class Expiring(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.entry.get() if self.entry.exists() else None
         made, hits = held if held else (None, 0)
+        over: list[tuple[int, int]] = []
         for t in sorted(t for pdf in rows for t in pdf["t"].tolist()):
             if made is not None and t - made <= self.ttl:
                 hits += 1
                 continue
             if made is not None:
-                if held:
-                    self.handle.deleteTimer((held[0] + self.ttl) // 1000 + 1)
-                    held = None
-                yield self._row(key, made, hits)
+                over.append((made, hits))
             made, hits = t, 0
+        if held and over:
+            self.handle.deleteTimer((held[0] + self.ttl) // 1000 + 1)
         self._keep(made, hits)
+        # One table a key: one an entry costs a table and a message for almost every access.
+        if over:
+            yield self._rows(key, over)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.entry.exists():
             made, hits = self.entry.get()
             self.entry.clear()
-            yield self._row(key, made, hits)
+            yield self._rows(key, [(made, hits)])
 
     def close(self) -> None:
         pass

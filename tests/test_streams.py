@@ -37,3 +37,21 @@ def test_state_goes_without_new_events_and_outlives_a_restart(spark, tmp_path):
     assert {(1, 0, 100, 2), (2, 10, 110, 0)} <= second and (1, 150, 250, 1) not in second
     put("c", [(3, 500)])
     assert run() == {(1, 0, 100, 2), (2, 10, 110, 0), (1, 150, 250, 1), (3, 200, 300, 0)}
+
+
+def test_a_key_gives_one_table_a_batch():
+    import pandas as pd
+
+    class Handle:
+        def registerTimer(self, at):
+            self.timer = at
+
+    class Entry:
+        exists = lambda self: False
+        update = lambda self, held: setattr(self, "held", held)
+
+    p = cache.Expiring("k", 100)
+    p.handle, p.entry = Handle(), Entry()
+    tables = list(p.handleInputRows((7,), iter([pd.DataFrame({"t": [900, 0]}), pd.DataFrame({"t": [50, 300, 600]})]), None))
+    assert [t.values.tolist() for t in tables] == [[[7, 0, 100, 1], [7, 300, 400, 0], [7, 600, 700, 0]]]
+    assert p.entry.held == (900, 0)
