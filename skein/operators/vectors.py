@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one block of vectors, and of one block of queries.
 ROWS, QUERIES = 4096, 512
+#: Rows that an encoder gives on at once.
+PART = 1024
 #: Vectors that centroids are fitted on at most, those of least hash of id; rounds of fitting.
 SAMPLE, ROUNDS = 10_000, 15
 
@@ -156,11 +158,15 @@ def embedded(df: DataFrame, key: str, text: str, load, size: int = 32) -> DataFr
         embed = load()
         for b in batches:
             told = b.column(1).dictionary_encode()
-            names, made = told.dictionary.to_pylist(), []
-            for at in range(0, len(names), size):
-                made.append(np.asarray(embed(names[at : at + size]), np.float64))
+            made = []
+            for at in range(0, len(told.dictionary), size):
+                made.append(np.asarray(embed(told.dictionary.slice(at, size).to_pylist()), np.float64))
             rows = np.concatenate(made) if made else np.zeros((0, 0))
-            yield pa.record_batch([b.column(0), pa.array(list(rows[told.indices.to_numpy()]), pa.list_(pa.float64()))], names=["key", "embedding"])
+            # Only a part of a batch is told as texts or given as rows at once.
+            for at in range(0, b.num_rows, PART):
+                own = rows[told.indices.slice(at, PART).to_numpy()]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * rows.shape[1], pa.int32()), pa.array(own.ravel()))
+                yield pa.record_batch([b.column(0).slice(at, PART), lists], names=["key", "embedding"])
 
     plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
     return df.select(F.col(key).cast("long").alias("key"), plain.alias("text")).mapInArrow(run, "key long, embedding array<double>").withColumnRenamed("key", key)
