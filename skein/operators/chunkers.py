@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import hits, words
 
 SIZE, OVERLAP = 358, 50
+#: Rows of an Arrow batch that are Python objects at once.
+AT_ONCE = 128
 
 
 def token_chunks(c: Column, size: int = SIZE, overlap: int = OVERLAP, most: int | None = None) -> Column:
@@ -29,8 +31,6 @@ def id_chunks(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str,
     ``size - overlap`` ids after the last; ``first`` is the place of its first id.  ``path`` names a file of ranks (a token in
     base 64 and its number a line), ``pattern`` how texts are split before merging.  A character that is cut in two becomes
     the replacement character on both sides.  A blank text has no chunk."""
-    import pyarrow as pa
-
     step = size - min(overlap, size - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +130,25 @@ def merged(pieces: list[str], least: int = 400, most: int = 600) -> list[str]:
     return out
 
 
-def optimised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, chunk, content): paragraphs folded to chunks near the target size, whole batches at a time."""
+def rows_of_texts(docs: DataFrame, made: Callable[[object], Iterable[tuple]], **kinds: str) -> DataFrame:
+    """Rows of ``made`` for each value of the second column of ``docs``, behind its key in the first; ``kinds`` names their
+    columns.  Only AT_ONCE values of a batch are Python objects at once, however long a batch is."""
+    key = docs.columns[0]
+    arrow = {"int": pa.int32(), "string": pa.string()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(d, i, c) for d, ps in zip(b[doc_id], b["pieces"]) for i, c in enumerate(merged(list(ps)))]
-            yield pd.DataFrame(made, columns=[doc_id, "chunk", "content"])
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                rows = [(d, *row) for d, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for row in made(value)]
+                columns = list(zip(*rows, strict=True)) or [[]] * (len(kinds) + 1)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *(arrow[k] for k in kinds.values())], strict=True)], names=["key", *kinds])
 
-    return docs.select(doc_id, F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "").alias("pieces")).mapInPandas(run, f"{doc_id} long, chunk int, content string")
+    ddl = ", ".join(f"{n} {k}" for n, k in kinds.items())
+    return docs.select(F.col(key).cast("long").alias("key"), docs.columns[1]).mapInArrow(run, f"key long, {ddl}").withColumnRenamed("key", key)
+
+
+def optimised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, chunk, content): paragraphs folded to chunks near the target size."""
+    pieces = docs.select(doc_id, F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "").alias("pieces"))
+    return rows_of_texts(pieces, lambda ps: enumerate(merged(ps or [])), chunk="int", content="string")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import word_set
-from skein.operators.chunkers import sentences
+from skein.operators.chunkers import rows_of_texts, sentences
 
 
 def grouped(parts: list[str], least: float) -> list[list[int]]:
@@ -59,20 +59,15 @@ def grouped(parts: list[str], least: float) -> list[list[int]]:
 def semantic_chunks(docs: DataFrame, doc_id: str, text: str, least: float = 0.7, most_chars: int = 2000) -> DataFrame:
     """(doc_id, chunk, first, last, content): sentences grouped by similarity, in order of their first sentence."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for d, parts in zip(b[doc_id], b["parts"]):
-                parts = list(parts)
-                n = 0
-                for g in grouped(parts, least):
-                    content = " ".join(parts[i] for i in g)
-                    for cut in range(0, max(1, len(content)), most_chars):
-                        out.append((d, n, g[0], g[-1], content[cut : cut + most_chars]))
-                        n += 1
-            yield pd.DataFrame(out, columns=[doc_id, "chunk", "first", "last", "content"])
+    def made(parts: list[str] | None) -> Iterator[tuple]:
+        n = 0
+        for g in grouped(parts or [], least):
+            content = " ".join(parts[i] for i in g)
+            for cut in range(0, max(1, len(content)), most_chars):
+                yield n, g[0], g[-1], content[cut : cut + most_chars]
+                n += 1
 
-    return docs.select(F.col(doc_id).cast("long").alias(doc_id), sentences(F.col(text)).alias("parts")).mapInPandas(run, f"{doc_id} long, chunk int, first int, last int, content string")
+    return rows_of_texts(docs.select(doc_id, sentences(F.col(text)).alias("parts")), made, chunk="int", first="int", last="int", content="string")
 
 
 def tree(text: str, small: int = 100, large: int = 2000) -> list[tuple[int, int, str]]:
@@ -112,12 +107,8 @@ def tree(text: str, small: int = 100, large: int = 2000) -> list[tuple[int, int,
 
 
 def hierarchical_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(d, i, *node) for d, t in zip(b[doc_id], b[text]) for i, node in enumerate(tree(t or ""))]
-            yield pd.DataFrame(out, columns=[doc_id, "chunk", "level", "parent", "content"])
-
-    return docs.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInPandas(run, f"{doc_id} long, chunk int, level int, parent int, content string")
+    made = lambda t: ((i, *node) for i, node in enumerate(tree(t or "")))
+    return rows_of_texts(docs.select(doc_id, text), made, chunk="int", level="int", parent="int", content="string")
 
 
 def folded_keywords(docs: DataFrame, doc_id: str, text: str, stop: list[str]) -> DataFrame:

@@ -85,3 +85,37 @@ def test_bucketed_search_finds_neighbours(spark):
 def test_bucketed_search_compares_few_rows(spark, sf, most):
     (r,) = catalog.queries()["vec05_06_measured"](spark, f"/root/testdata/{sf}").collect()
     assert r.recall >= 0.9 and r.compared_share <= most
+
+
+def test_a_long_batch_is_never_whole_in_python(monkeypatch):
+    """Values of a batch become Python objects by slices."""
+    import pyarrow as pa
+
+    held = {}
+
+    class Docs:
+        columns = ["id", "t"]
+        select = lambda self, *_: self
+        withColumnRenamed = lambda self, *_: self
+
+        def mapInArrow(self, run, ddl):
+            held["run"] = run
+            return self
+
+    monkeypatch.setattr(chunkers, "F", type("F", (), {"col": staticmethod(lambda k: type("C", (), {"cast": lambda s, _: s, "alias": lambda s, _: s})())}))
+    chunkers.rows_of_texts(Docs(), lambda t: [(0, t)] if t else [], chunk="int", content="string")
+    n = 3 * chunkers.AT_ONCE + 1
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array([None, *["x"] * (n - 1)])], names=["id", "t"])
+    out = list(held["run"](iter([batch])))
+    assert [b.num_rows for b in out] == [chunkers.AT_ONCE - 1, chunkers.AT_ONCE, chunkers.AT_ONCE, 1]
+
+
+def test_encoded_rows_leave_in_parts(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from skein.operators import vectors as V
+
+    texts = spark.range(3000).select("id", (F.col("id") % 7).cast("string").alias("text")).coalesce(1)
+    made = V.embedded(texts, "id", "text", lambda: lambda names: np.array([[float(t), 1.0] for t in names]))
+    assert all(r.embedding == [r.id % 7, 1.0] for r in made.collect()) and made.count() == 3000
