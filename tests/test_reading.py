@@ -137,3 +137,21 @@ def test_references_without_semicolon_stay():
 
     said = PG.main_text("<title>a &amp;&amp</title><p>b &lt; c &ampd; &unknown; &#39;x&#39 &copy</p>", PG.FILE_MAIN)
     assert said == "a &&amp\nb < c &ampd; &unknown; 'x&#39 &copy"
+
+
+def test_grams_of_words_are_cut_once(monkeypatch):
+    from collections import Counter
+
+    from skein.functions import language as LG
+
+    text = "Ab c\u00e9, ab! \u00c0\u00c9 9x\u00b2y " + "long" * 20 + " ab ab"
+    want: Counter = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        padded = f" {word} "
+        want.update(g for size in (1, 2, 3) for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) != " ")
+    assert LG.grams(text) == want
+    assert list(LG.ranks(want)) == [g for g, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[: LG.TOP]]
+    before = LG._grams_of.cache_info()
+    LG.grams(text)
+    after = LG._grams_of.cache_info()
+    assert after.misses == before.misses and after.hits > before.hits
