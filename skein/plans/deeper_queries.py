@@ -269,14 +269,20 @@ def adaptive_chunks(spark, d):
 
 #: Documents of a file.
 FILE = 50
+#: Stands for null in a folder's name; an encoded name never is a single mark of per cent.
+NAMELESS = "%"
 
 
 @query("src01_27_text_files", f"WITH f AS (SELECT source, doc_id // {FILE} AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1, 2) SELECT source, part, length(text) AS chars, md5(text) AS digest, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS lines FROM f")
 def text_files(spark, d):
     """Documents written as text files in folders, and all files of the tree read whole."""
     folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
-    docs = table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / FILE).alias("part"), "doc_id", "text")
-    docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "text").write.partitionBy("source", "part").text(folder)
-    files = TX.load(spark, f"{folder}/*")
-    at = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1)
-    return files.select(at("source").alias("source"), at("part").cast("long").alias("part"), F.length("text").alias("chars"), F.md5("text").alias("digest"), F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("lines"))
+    docs = table(spark, d, "documents").groupBy("source", F.floor(F.col("doc_id") / FILE).alias("part")).agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("doc_id", "text")))).alias("held"))
+    named = lambda c: F.coalesce(F.url_encode(F.col(c).cast("string")), F.lit(NAMELESS))
+    # A file none of whose documents has a text is empty; the others end with a line end.
+    text = F.when(F.size("held") > 0, F.concat(F.array_join(F.transform("held", lambda x: x["text"]), "\n"), F.lit("\n")))
+    TX.write_tree(docs.select(F.concat(F.lit("source="), named("source"), F.lit("/part="), named("part"), F.lit("/texts.txt")).alias("path"), text.alias("text")), folder)
+    files = TX.load_tree(spark, folder).withColumn("text", F.when(F.col("text") != "", F.col("text")))
+    name = lambda x: F.regexp_extract("path", f"/{x}=([^/]*)/", 1)
+    at = lambda x: F.when(name(x) != NAMELESS, F.url_decode(name(x)))
+    return files.select(at("source").alias("source"), at("part").cast("long").alias("part"), F.length("text").alias("chars"), F.md5("text").alias("digest"), F.when(F.col("text").isNotNull(), F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))).alias("lines"))

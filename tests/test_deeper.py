@@ -7,6 +7,7 @@ from skein.operators import chunkers, folds, retrieval
 from skein.operators import expansion as E
 from skein.operators import spans as S
 from skein.plans import deeper_queries as D
+from skein.plans.registry import ORACLES
 from skein.sources import texts
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,30 @@ def test_long_numbers_are_spread_and_rounded_as_by_sql(spark, tmp_path):
     name = "fun14_trends_and_forecasts"
     want = sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
     assert sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"t/a{k % 3}/b{k}/c").mkdir(parents=True)
+        (tmp_path / f"t/a{k % 3}/b{k}/c/x.txt").write_bytes(f"text {k}".encode() + b"\xff" * (k == 7))
+    for name in ("t/top.txt", "t/a0/one.txt", "t/a0/_left.txt", "t/.out"):
+        (tmp_path / name).write_text(name)
+    told = lambda df: sorted((r.path.rpartition("/t/")[2], r.text) for r in df.collect())
+    want = told(texts.load(spark, f"{tmp_path}/t"))
+    assert len(want) == 42 and told(texts.load_tree(spark, f"{tmp_path}/t")) == want
+
+
+def test_text_files_of_any_source(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "b", "s/1 %"), (2, None, "s/1 %"), (0, "a\n", "s/1 %"), (50, None, "s/1 %"), (3, "x", None), (4, "é", ""), (5, "y", "%")] + [(60 * k, f"t{k}", "many") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sparkContext.setJobGroup("text files", "")
+    got = {tuple(r) for r in D.text_files(spark, str(tmp_path)).collect()}
+    status = spark.sparkContext.statusTracker()
+    tasks = sum(s.numTasks for j in status.getJobIdsForGroup("text files") for k in status.getJobInfo(j).stageIds if (s := status.getStageInfo(k)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(ORACLES["src01_27_text_files"]).fetchall()) and len(got) == 305
+    assert tasks < 100, tasks
