@@ -2,7 +2,7 @@
 
 ``format("sqlite")`` reads a table of every file that ``path`` names (option ``table``), one partition for each range of
 row numbers, and writes one file a task.  ``format("sheets")`` reads the rows of all sheets of every workbook (.xlsx) that
-``path`` names: file, sheet, row and cells, one partition a workbook.  Both list files by Arrow's file systems; a workbook
+``path`` names: file, sheet, row and cells; small workbooks share a partition.  Both list files by Arrow's file systems; a workbook
 or SQLite file is copied to the task's temporary folder, as the library needs a local one, and removed after.
 """
 
@@ -17,15 +17,21 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cache
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from skein.operators.versions import files_of
 
-#: Rows of a partition.
+#: Rows of a partition; workbooks of one, and the bytes from which on it takes no more of them.
 ROWS = 100_000
+BOOKS, BYTES = 64, 1 << 24
+#: Rows handed over at once, and the bytes up to which a sheet is parsed as one piece.
+AT_ONCE, PIECE = 1024, 1 << 20
 KINDS = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "string": "TEXT", "boolean": "INTEGER"}
 
 
@@ -43,14 +49,18 @@ def _local(path: str, place: str):
         os.unlink(name)
 
 
-def _named(path: str, ending: str) -> list[str]:
+def _sized(path: str, ending: str) -> list[tuple[str, int]]:
     from pyarrow import fs
 
     files, place = files_of(path)
     info = files.get_file_info(place)
     if info.type == fs.FileType.File:
-        return [place]
-    return sorted(f.path for f in files.get_file_info(fs.FileSelector(place, recursive=True)) if f.path.endswith(ending))
+        return [(place, info.size)]
+    return sorted((f.path, f.size) for f in files.get_file_info(fs.FileSelector(place, recursive=True)) if f.path.endswith(ending))
+
+
+def _named(path: str, ending: str) -> list[str]:
+    return [place for place, _ in _sized(path, ending)]
 
 
 @dataclass
@@ -60,6 +70,11 @@ class Rows(InputPartition):
     last: int
 
 
+@dataclass
+class Books(InputPartition):
+    places: list[str]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     place: str
@@ -145,39 +160,61 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def _column(reference: str) -> int:
+@cache
+def _column(letters: str) -> int:
     """Number from 0 of a cell's letters."""
     n = 0
-    for c in re.match(r"[A-Z]+", reference)[0]:
+    for c in re.match(r"[A-Z]+", letters)[0]:
         n = n * 26 + ord(c) - 64
     return n - 1
 
 
+@cache
+def _letters(column: int) -> str:
+    letters, n = "", column + 1
+    while n:
+        n, k = divmod(n - 1, 26)
+        letters = chr(65 + k) + letters
+    return letters
+
+
+ROW, CELL, VALUE, TEXT = (MAIN + x for x in ("row", "c", "v", "t"))
+
+
+def _elements(book: zipfile.ZipFile, name: str) -> Iterator[ElementTree.Element]:
+    """The rows of a sheet; of a long one each goes when the next is asked for."""
+    if book.getinfo(name).file_size <= PIECE:
+        yield from ElementTree.fromstring(book.read(name)).iter(ROW)
+        return
+    with book.open(name) as source:
+        for _, row in ElementTree.iterparse(source):
+            if row.tag == ROW:
+                yield row
+                row.clear()
+
+
 def sheet_rows(file) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row from 1, cells) of a workbook; cells are texts as they are stored, missing ones None."""
     with zipfile.ZipFile(file) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+            shared = ["".join(t.text or "" for t in item.iter(TEXT)) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
-            target = links[sheet.get(f"{LINK}id")].lstrip("/")
-            with book.open(target if target.startswith("xl/") else f"xl/{target}") as source:
-                for _, row in ElementTree.iterparse(source):
-                    if row.tag != f"{MAIN}row":
-                        continue
-                    cells: list[str | None] = []
-                    for c in row.iter(f"{MAIN}c"):
-                        at = _column(c.get("r")) if c.get("r") else len(cells)
+            target, title = links[sheet.get(f"{LINK}id")].lstrip("/"), sheet.get("name")
+            for row in _elements(book, target if target.startswith("xl/") else f"xl/{target}"):
+                cells: list[str | None] = []
+                for c in row.iter(CELL):
+                    place, kind = c.get("r"), c.get("t")
+                    at = _column(place.rstrip("0123456789")) if place else len(cells)
+                    if at >= len(cells):
                         cells += [None] * (at + 1 - len(cells))
-                        value = c.find(f"{MAIN}v")
-                        if c.get("t") == "inlineStr":
-                            cells[at] = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
-                        elif value is not None and value.text is not None:
-                            cells[at] = shared[int(value.text)] if c.get("t") == "s" else value.text
-                    yield sheet.get("name"), int(row.get("r") or 0), cells
-                    row.clear()
+                    if kind == "inlineStr":
+                        cells[at] = "".join([t.text or "" for t in c.iter(TEXT)])
+                    elif (value := c.findtext(VALUE)) not in (None, ""):
+                        cells[at] = shared[int(value)] if kind == "s" else value
+                yield title, int(row.get("r") or 0), cells
 
 
 class SheetsReader(DataSourceReader):
@@ -185,13 +222,24 @@ class SheetsReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [Rows(p, 0, 0) for p in _named(self.path, ".xlsx")] or [Rows("", 0, 0)]
-
-    def read(self, partition: Rows) -> Iterator[tuple]:
-        if partition.place:
-            with _local(self.path, partition.place) as name:
-                for sheet, row, cells in sheet_rows(name):
-                    yield partition.place, sheet, row, cells
+        found: list[InputPartition] = []
+        held: list[str] = []
+        size = 0
+        for place, n in _sized(self.path, ".xlsx"):
+            if held and (len(held) == BOOKS or size + n > BYTES):
+                found.append(Books(held))
+                held, size = [], 0
+            held.append(place)
+            size += n
+        return [*found, Books(held)]
+
+    def read(self, partition: Books) -> Iterator[pa.RecordBatch]:
+        for place in partition.places:
+            with _local(self.path, place) as name:
+                rows = sheet_rows(name)
+                while held := list(islice(rows, AT_ONCE)):
+                    sheet, row, cells = zip(*held, strict=True)
+                    yield pa.record_batch([pa.array([place] * len(held), pa.string()), pa.array(sheet, pa.string()), pa.array(row, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["file", "sheet", "row", "cells"])
 
 
 class SheetsSource(DataSource):
@@ -217,13 +265,9 @@ def workbook(sheets: dict[str, list[list]]) -> bytes:
     from xml.sax.saxutils import escape
 
     def cell(value, column: int, row: int) -> str:
-        letters, n = "", column + 1
-        while n:
-            n, k = divmod(n - 1, 26)
-            letters = chr(65 + k) + letters
-        at = f"{letters}{row}"
         if value is None:
             return ""
+        at = f"{_letters(column)}{row}"
         if isinstance(value, str):
             return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
         return f'<c r="{at}"><v>{value}</v></c>'

@@ -67,3 +67,19 @@ def test_workbooks(spark, tmp_path):
     rows = spark.read.format("sheets").option("path", f"file://{tmp_path}/in").load()
     assert sorted((r.file[-6:], r.sheet, r.row, len(r.cells)) for r in rows.collect()) == [("a.xlsx", "First & last", 1, 3), ("a.xlsx", "First & last", 2, 2), ("a.xlsx", "Wide", 1, 31), ("b.xlsx", "First & last", 4, 2), ("b.xlsx", "Wide", 1, 31)]
     assert rows.filter("file LIKE '%b.xlsx' AND row = 4").first().cells == ["two runs", "plain"]
+
+
+def test_small_workbooks_share_a_task(spark, tmp_path, monkeypatch):
+    for k in range(20):
+        (tmp_path / f"{k:02d}.xlsx").write_bytes(S.workbook({"s": [[k, "a"], [None, "b"]] if k else []}))
+    S.register(spark)
+    rows = spark.read.format("sheets").option("path", f"file://{tmp_path}").load()
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == 38
+    assert sorted(r.cells[0] for r in rows.filter("row = 1").collect()) == sorted(str(k) for k in range(1, 20))
+    monkeypatch.setattr(S, "BYTES", 2000)
+    assert [x for p in S.SheetsReader(f"file://{tmp_path}").partitions() for x in p.places] == sorted(f"{tmp_path}/{k:02d}.xlsx" for k in range(20))
+    assert len(S.SheetsReader(f"file://{tmp_path}").partitions()) > 5
+    # A long sheet is read row by row, a short one at once: the same rows.
+    whole = list(S.sheet_rows(tmp_path / "07.xlsx"))
+    monkeypatch.setattr(S, "PIECE", 0)
+    assert list(S.sheet_rows(tmp_path / "07.xlsx")) == whole == [("s", 1, ["7", "a"]), ("s", 2, [None, "b"])]
