@@ -155,3 +155,12 @@ def test_grams_of_words_are_cut_once(monkeypatch):
     LG.grams(text)
     after = LG._grams_of.cache_info()
     assert after.misses == before.misses and after.hits > before.hits
+
+
+def test_markdown_shuffles_nothing_and_parts_code_of_one_kind(spark, capfd):
+    # A private character of the text parts nothing, rows of one key stay apart, and what a fence holds keeps its marks.
+    rows = [(1, "ab *c*\n`d`"), (1, "```\n\t\\* <b> & `x` | \n```\n| a |\n|---|\n| \\| |"), (2, "*a\nb* _c\nd_ [e\n](f) <g\nh>")]
+    df = M.to_text(spark.createDataFrame(rows, "id long, md string"), ["id"], "md")
+    assert sorted(r.text for r in df.collect()) == sorted(["ab\nc\nd", "\t\\* <b> & `x` | \na\n|", "*a\nb* _c\nd_ [e\n](f) <g\nh>"])
+    df.explain()
+    assert "Exchange" not in capfd.readouterr().out
