@@ -19,7 +19,16 @@ o AS (SELECT o_custkey, o_orderkey, '## Order ' || o_orderkey || chr(10) || 'Pla
 docs AS (SELECT o_custkey AS id, '# Customer ' || o_custkey || chr(10) || string_agg(part, '' ORDER BY o_orderkey) AS text FROM o GROUP BY 1)"""
 
 
+#: Orders whose reports one task reads: lines and sentences are many times their rows, and all of a text's pass its task.
+ORDERS = 25_000
+
+
+def _parts(spark, d) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "orders").count() // ORDERS))
+
+
 def reports(spark, d) -> DataFrame:
+    """(id, text), dealt out by id: what follows by id needs no shuffle and stays in tasks of bounded size."""
     lines = F.array_sort(F.collect_list(F.when(F.col("l_linenumber").isNotNull(), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))).alias("ls")
     o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice").agg(lines)
     rows = F.array_join(F.transform("ls", lambda x: F.concat_ws("\t", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), F.concat(x["l_suppkey"].cast("string"), F.lit("\n")))), "")
@@ -29,7 +38,8 @@ def reports(spark, d) -> DataFrame:
         rows, F.lit("[Table] Lines of order "), F.col("o_orderkey").cast("string"), F.lit(" end here.\n```\ncodes "), codes, F.lit("\n```\n"),
     )
     parts = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "part"))), lambda x: x["part"])
-    whole = o.withColumn("part", part).groupBy(F.col("o_custkey").alias("id")).agg(parts.alias("parts"))
+    dealt = o.withColumn("part", part).select("o_custkey", "o_orderkey", "part").repartition(_parts(spark, d), "o_custkey")
+    whole = dealt.groupBy(F.col("o_custkey").alias("id")).agg(parts.alias("parts"))
     return whole.select("id", F.concat(F.lit("# Customer "), F.col("id").cast("string"), F.lit("\n"), F.array_join("parts", "")).alias("text"))
 
 

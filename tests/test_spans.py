@@ -113,3 +113,14 @@ def test_groups_are_cut_at_spans_and_sized(spark):
     got = S.sized(spark.createDataFrame(rows, "id long, k long, start long, stop long, content string"), ["id"], ["k"], 8, 10).orderBy("chunk").collect()
     assert [(r.chunk, r.start, r.stop, r.content) for r in got][:2] == [(0, 0, 9, "tiny"), (1, 10, 29, "a b c d e f x")]
     assert [r.content.split()[0] for r in got[2:]] == ["0", "10", "20"] and got[-1].content.endswith("24 end") and got[-1].stop == 49
+
+
+def test_reports_are_dealt_out_by_their_number(spark, monkeypatch):
+    from skein.plans import span_queries as Q
+
+    d = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in Q.structural_groups(spark, d).collect()}
+    monkeypatch.setattr(Q, "ORDERS", 100)
+    n = -(-spark.read.parquet(f"{d}/orders.parquet").count() // 100)
+    assert n > 4 and Q.reports(spark, d).rdd.getNumPartitions() == n
+    assert {tuple(r) for r in Q.structural_groups(spark, d).collect()} == want
