@@ -20,10 +20,14 @@ def token_chunks(c: Column, size: int = SIZE, overlap: int = OVERLAP, most: int
 
     ``most``: the words behind so many chunks are left out; without it, none are."""
     step = size - min(overlap, size - 1)
-    w = words(c)
-    last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), last if most is None else F.least(last, F.lit(most - 1))), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(F.size(w) <= size, F.array(c)).otherwise(cut)
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - size) / step).cast("int"))
+        windows = F.transform(F.sequence(F.lit(0), last if most is None else F.least(last, F.lit(most - 1))), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(F.size(w) <= size, F.array(c)).otherwise(windows)
+
+    # By an array of one, so a text is split once and not once a window.
+    return F.transform(F.array(words(c)), cut)[0]
 
 
 def id_chunks(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, size: int = 512, overlap: int = 50) -> DataFrame:

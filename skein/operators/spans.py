@@ -147,7 +147,7 @@ def sized(chunks: DataFrame, keys: list[str], order: list[str], least: int, most
     homes = counted.withColumn("_home", F.sum(new).over(at.rowsBetween(Window.unboundedPreceding, 0)))
     held = homes.groupBy(*keys, "_home").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_list(F.struct("_k", "content"))).alias("_all"))
     first, tail = F.col("_all")[0]["content"], F.transform(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(1))), lambda x: F.ltrim(x["content"]))
-    cut = held.select(*keys, "_home", "start", "stop", tail.alias("_tail"), F.posexplode(token_chunks(first, most, overlap)).alias("_piece", "content"), F.size(token_chunks(first, most, overlap)).alias("_pieces"))
+    cut = held.select(*keys, "_home", "start", "stop", tail.alias("_tail"), first.alias("_first")).withColumn("_cut", token_chunks(F.col("_first"), most, overlap)).select(*keys, "_home", "start", "stop", "_tail", F.posexplode("_cut").alias("_piece", "content"), F.size("_cut").alias("_pieces"))
     whole = cut.withColumn("content", F.when((F.col("_piece") == F.col("_pieces") - 1) & (F.size("_tail") > 0), F.concat_ws(" ", F.rtrim("content"), F.array_join("_tail", " "))).otherwise(F.col("content")))
     number = (F.row_number().over(Window.partitionBy(*keys).orderBy("_home", "_piece")) - 1).alias("chunk")
     return whole.select(*keys, number, "start", "stop", n.alias("tokens"), "content")
