@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType, StructType
 
 from skein.functions.text import word_set
 from skein.operators.aggregation import running_total
+from skein.operators.store import settled
 
 #: Documents and queries of one block, and pairs of them that are counted at once.
 DOCS, QUERIES, CELLS = 16384, 2048, 1 << 21
@@ -20,6 +21,12 @@ DOCS, QUERIES, CELLS = 16384, 2048, 1 << 21
 DENSE = 0.01
 #: Pairs of a word's places that are listed at once.
 LISTED = 1 << 21
+#: Bytes of texts whose words are hashed at once, and bits of the bitmap of the runs that are looked for: 8 MB, whatever
+#: their number.
+HASHED, SLOTS = 1 << 20, 1 << 26
+
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BASE, _STEP, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 #: English heads and synonyms of our own choice, beside the fixed dictionaries of skein.operators.answers.
 SYNONYMS = {"use": ["utilize", "employ", "apply"], "make": ["create", "build", "produce"], "fast": ["quick", "rapid", "speedy"], "the": ["this", "that"], "of": ["from", "about"]}
@@ -156,6 +163,96 @@ def keyword_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: s
     return placed(keyword_candidates(docs, queries, doc_id, query_id, text, k), [F.desc("n"), "id"], k)
 
 
+def _mixed(v: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        v ^= v >> np.uint64(32)
+        v *= _MIX
+    return v ^ (v >> np.uint64(32))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for value in (_BASE, pow(_BASE, -1, 2**64)):
+        x = np.full(n, value, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _run_hashes(data: np.ndarray, edges: np.ndarray, run: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and hash of every run of so many words; texts lie between the edges, none of them empty."""
+    blank, edge = _BLANK[data], np.zeros(len(data) + 1, bool)
+    edge[edges] = True
+    first = np.flatnonzero(~blank & (edge[:-1] | np.concatenate(([True], blank[:-1]))))
+    end = np.flatnonzero(~blank & (edge[1:] | np.concatenate((blank[1:], [True])))) + 1
+    text = np.searchsorted(edges, first, side="right") - 1
+    # Hashes of words from running sums modulo 2 ** 64.
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[0][: len(data)], out=sums[1:])
+    word = _mixed((sums[end] - sums[first]) * powers[1][first])
+    n = max(0, len(word) - run + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(run):
+        total = total * _STEP + word[k : k + n]
+    whole = np.flatnonzero(text[:n] == text[run - 1 :]) if n else np.arange(0)
+    return text[whole], _mixed(total[whole])
+
+
+def _runs_of(run: int, sent=None):
+    """(id, run) of (id, text); of the runs in the bitmap, if one was sent."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, bits = _powers(HASHED), sent and sent.value
+        for b in batches:
+            texts = b.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else [0]
+            data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) else None
+            at = 0
+            while at < len(texts):
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + HASHED, side="right")) - 1)
+                part = data[ends[at] : ends[stop]]
+                if len(part) > len(powers[0]):
+                    powers = _powers(len(part))
+                text, runs = _run_hashes(part, ends[at : stop + 1] - ends[at], run, powers)
+                if bits is not None:
+                    slot = runs & np.uint64(SLOTS - 1)
+                    held = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    text, runs = text[held], runs[held]
+                if len(runs):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + text)), pa.array(runs.view(np.int64))], names=["id", "run"])
+                at = stop
+
+    return found
+
+
+def word_runs(df: DataFrame, id_: str, text: str, run: int, sent=None) -> DataFrame:
+    """(id, run): a hash of every run of so many words of a text, in any case."""
+    schema = StructType().add("id", df.schema[id_].dataType).add("run", LongType())
+    # So many words are twice as many bytes less one, in capitals too; a filter behind lower() would call it twice.
+    long = df.filter(F.octet_length(F.col(text)) >= 2 * run - 1)
+    return long.select(F.col(id_).alias("id"), F.lower(F.col(text)).alias("text")).mapInArrow(_runs_of(run, sent), schema)
+
+
+def marked(runs: DataFrame):
+    """A bitmap of SLOTS bits, broadcast, in which the slot of each run is set."""
+    slot = F.col("run").bitwiseAND(F.lit(SLOTS - 1))
+    # Spark builds bitmaps of 4096 bytes.
+    rows = runs.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).toArrow()
+    bits = np.zeros((SLOTS >> 15, 4096), np.uint8)
+    for at, held in zip(rows["at"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+        bits[at] = np.frombuffer(held, np.uint8)
+    return runs.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def quoting(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, run: int) -> DataFrame:
+    """(item, id): which documents share a run of so many words with which items, once each.
+
+    The items' runs are hashed and marked in a bitmap of fixed size, and only such runs of documents become rows.  The more
+    items, the fuller the bitmap and the more rows are sent to the join in vain; the result is the same."""
+    asked = settled(word_runs(items, item_id, text, run).distinct().toDF("item", "run"))
+    return asked.join(word_runs(docs, doc_id, text, run, marked(asked)), "run").select("item", "id").distinct()
+
+
 def fuse(semantic: DataFrame, keyword: DataFrame, alpha: Column | float, keys: list[str]) -> DataFrame:
     """Two ranked lists (keys, rank) by position: 1 - i / n each, alpha for the first list."""
     place = lambda df, name: df.select(*keys, (1 - (F.col("rank") - 1) / F.count(F.lit(1)).over(Window.partitionBy(keys[0]))).alias(name))

@@ -16,7 +16,7 @@ from skein.operators import retrieval as R
 from skein.operators import scans as SC
 from skein.operators import spans as SP
 from skein.operators import vectors as V
-from skein.operators.store import shared_folder
+from skein.operators.store import settled, shared_folder
 from skein.plans.registry import query, table
 from skein.sources import texts as TX
 
@@ -85,12 +85,6 @@ BRIEF, RUN = 5, 8
 _LOW = "list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')"
 
 
-def _word_runs(df: DataFrame, key: str) -> DataFrame:
-    w = A.word_list(F.lower("text"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - RUN + 1, F.lit(1)))
-    return df.select(F.col(key).alias(key), w.alias("w")).filter(F.size("w") >= RUN).select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, RUN), " "))))).alias("run"))
-
-
 @query("fun21_expansion_evaluation", f"""
 WITH d AS (SELECT doc_id, {_LOW} AS w FROM documents), b AS (SELECT item_id, {_LOW} AS w FROM benchmark),
  dt AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM d), bo AS (SELECT item_id, unnest(list_distinct(w[1:{BRIEF}])) AS term FROM b), be AS (SELECT item_id, unnest(list_distinct(w)) AS term FROM b),
@@ -107,7 +101,8 @@ def expansion_evaluation(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     brief = items.withColumn("text", F.array_join(F.slice(A.word_list(F.lower("text")), 1, BRIEF), " "))
     found = lambda q: R.keyword_search(docs, q, "doc_id", "item_id", "text", 10).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank")
-    relevant = _word_runs(items, "item_id").join(_word_runs(docs, "doc_id"), "run").select("item_id", "doc_id").distinct()
+    # Used three times and a fraction of the table, so it is written down.
+    relevant = settled(R.quoting(docs, items, "doc_id", "item_id", "text", RUN).toDF("item_id", "doc_id"))
     told = EX.evaluated(found(brief), found(items), relevant, "item_id", "doc_id")
     return told.select("item_id", *[F.round(c, 6).alias(c) for c in ("original_recall_5", "expanded_recall_5", "recall_delta", "mrr_improvement", "ndcg_improvement", "improvement_ratio")])
 
