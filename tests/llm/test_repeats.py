@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from skein.llm import repeats
+from skein.llm import queries, repeats
 
 
 def brute(texts, length):
@@ -64,3 +64,15 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "b" * 30 + "c" * 60), (1, "b" * 30 + "c" * 60), (None, None)], "doc_id long, text string")
     assert [len(r.kept) for r in repeats.remove(docs, 40, 20).collect()] == [0, 0, 0]
     assert repeats.remove(docs.limit(0), 40, 20).count() == 0
+
+
+def test_query_removes_from_400_bytes_on(spark, tmp_path):
+    """A passage of over 50 words is removed by its bytes, not by its words."""
+    words = lambda k: "".join(f"{chr(97 + k)}{i:04d} " for i in range(67))
+    passage = {n: words(n - 399)[:n] for n in (399, 400)}
+    own = iter("0123456789")
+    texts = [next(own) * 30 + passage[n] + next(own) * 30 for n in (399, 399, 400, 400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert all(len(p.split()) > 50 for p in passage.values())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in queries.op2_repeated_passages(spark, str(tmp_path)).collect()}
+    assert got == {0: (459, 0, 0), 1: (459, 0, 0), 2: (460, 400, 1), 3: (460, 400, 1)}
