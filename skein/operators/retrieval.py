@@ -23,7 +23,7 @@ DENSE = 0.01
 LISTED = 1 << 21
 #: Bytes of texts whose words are hashed at once, and bits of the bitmap of the runs that are looked for: 8 MB, whatever
 #: their number.
-HASHED, SLOTS = 1 << 20, 1 << 26
+HASHED, SLOTS = 1 << 17, 1 << 26
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _BASE, _STEP, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
